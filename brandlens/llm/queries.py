@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import op01_mixing, op05_sharding, op09_rules
+from . import op01_mixing, op03_tokens, op05_sharding, op09_rules
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op01_mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op03_tokens.count_tokens(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_sharding.shard(_docs(spark, sf_dir))
 
@@ -28,6 +32,6 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pareto_mix, op5_sampled_splitters, op9_quality_rules)
+    f.__name__: f for f in (op1_pareto_mix, op3_transducer_counts, op5_sampled_splitters, op9_quality_rules)
 }
 ORACLE: dict[str, str] = {}
