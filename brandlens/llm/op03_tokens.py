@@ -28,6 +28,8 @@ from . import textnum
 
 #: Bytes of a chunk; states kept before the table starts anew (1.3 kB each).
 CHUNK = 128
+#: Bytes that the lanes hold at once, but for a longer piece.
+SEGMENT = 1 << 20
 MOST_STATES = 1 << 17
 START, DEAD = 0, 1
 #: A node from which at most so many tokens can grow tells apart only what matters to them.
@@ -260,7 +262,13 @@ class Transducer:
             return np.zeros(len(offsets) - 1, np.int64)
         spans = [s for t in self.special for s in _spans(buf, offsets, t)]
         cuts = np.unique(np.concatenate([offsets, *([np.array(spans).ravel()] if spans else [])]))
-        change = self.changes(buf, piece_starts(buf, cuts)).astype(np.int64)
+        starts = piece_starts(buf, cuts)
+        change, low = np.zeros(len(buf), np.int64), 0
+        while low < len(buf):
+            later = low + SEGMENT
+            high = later + int(starts[later:].argmax()) if later < len(buf) and starts[later:].any() else len(buf)
+            change[low:high] = self.changes(buf[low:high], starts[low:high])
+            low = high
         for low, high in spans:
             change[low:high] = 0
             change[low] = 1
