@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_mixing, op03_tokens, op05_sharding, op07_near_dedup, op09_rules
+from . import op01_mixing, op03_tokens, op05_sharding, op07_near_dedup, op08_language, op09_rules
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,12 +30,16 @@ def op7_hamming_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op07_near_dedup.near_duplicates(_docs(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op8_language_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op08_language.identify(_docs(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ("doc_id", *op09_rules.BASE, "base_failed", "kept")
     return op09_rules.apply_rules(_docs(spark, sf_dir).select("doc_id", "text")).select(*columns)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pareto_mix, op3_transducer_counts, op5_sampled_splitters, op7_hamming_near_dedup, op9_quality_rules)
+    f.__name__: f for f in (op1_pareto_mix, op3_transducer_counts, op5_sampled_splitters, op7_hamming_near_dedup, op8_language_svm, op9_quality_rules)
 }
 ORACLE: dict[str, str] = {}
