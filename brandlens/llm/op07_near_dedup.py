@@ -5,16 +5,19 @@ CHUNKS * (ERRORS + 1) values have, by pigeonhole, a chunk with at most ERRORS =
 enters under every chunk with each one value left out, and all such pairs meet under some key. Pairs that meet are
 confirmed on their full shingle sets. Documents with equal sets are one node from the start. In a shared key, all
 members are first compared with one of them; what is then not yet connected is compared with everything else under
-the key, so that a group of near copies costs no quadratic work and no link between different texts is lost.
+the key, so that a group of near copies costs no quadratic work and no link between different texts is lost. In
+between, groups that meet under a key try a few pairs of members, which joins most of what belongs together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import textnum
@@ -27,6 +30,9 @@ ERRORS = 1
 VALUES = CHUNKS * WIDTH
 #: Pairs that agree in fewer values are not confirmed: at similarity 0.8 that has odds of about one in a million.
 LEAST_AGREE = 24
+#: Rounds in which groups that meet try a few pairs before all open pairs are compared, and pairs of two groups.
+TURNS = 2
+TRIES = 8
 SHINGLE = 2
 PERCENT = 80
 
@@ -201,21 +207,34 @@ class _Join:
         first = self.confirmed(
             met.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("v")).select(F.col("node").alias("u"), "v"), "first"
         )
-        # Each node has one link to a smaller one at most: two jumps along them gather most of every group.
-        group = first.select(F.col("u").alias("node"), F.col("v").alias("to"))
-        for k in range(2):
-            up = group.select(F.col("node").alias("up"), F.col("to").alias("top"))
-            group = self.stash.put(f"jump-{k}", group.join(up, F.col("to") == F.col("up"), "left").select("node", F.coalesce("top", "to").alias("to")))
-        placed = self.stash.put("placed", met.join(group, "node", "left").select("key", "node", F.coalesce("to", "node").alias("group")))
-        held = placed.groupBy("key", "group").agg(F.count("*").alias("k"))
-        main = held.groupBy("key").agg(F.max(F.struct("k", "group"))["group"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        mixed = placed.join(main.drop("parts"), "key")
+        links = [first]
+        for turn in range(TURNS):
+            held = self.held(met, links, f"turn-{turn}", turn)
+            pairs = held.where("group <> main.group").select(
+                F.greatest("some", "main.some").alias("u"), F.least("some", "main.some").alias("v"), "group", F.col("main.group").alias("to")
+            )
+            # A few tries for each two groups; whatever they leave open is compared in full below.
+            order = W.partitionBy("group", "to").orderBy(F.xxhash64("u", "v"), "u", "v")
+            pairs = pairs.distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= TRIES)
+            links.append(self.confirmed(pairs.select("u", "v"), f"turn-{turn}"))
+        held = self.held(met, links, "last", TURNS)
+        mixed = self.placed.join(held.groupBy("key").agg(F.min("main.group").alias("main")), "key")
         few = mixed.where("group <> main").select("key", F.col("node").alias("u"), F.col("group").alias("gu"))
         every = mixed.select("key", F.col("node").alias("v"), F.col("group").alias("gv"), "main")
         cross = few.join(every, "key").where("gu <> gv AND (gv = main OR u > v)")
         pairs = cross.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         second = self.confirmed(pairs, "second")
-        return components(self.stash, first.union(second))
+        return components(self.stash, reduce(DataFrame.union, [*links, second]))
+
+    def held(self, met: DataFrame, links: list[DataFrame], name: str, turn: int) -> DataFrame:
+        """(key, group, k, some, main) for the keys under which two or more groups meet: the members k of each group
+        there, one of them, and the same of the largest group."""
+        found = components(self.stash, reduce(DataFrame.union, links), name)
+        self.placed = self.stash.put(f"placed-{name}", met.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("group")))
+        some = F.min_by("node", F.xxhash64("node", "key", F.lit(turn))).alias("some")
+        held = self.placed.groupBy("key", "group").agg(F.count("*").alias("k"), some)
+        main = held.groupBy("key").agg(F.max(F.struct("k", "group", "some")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        return self.stash.put(f"held-{name}", held.join(main.drop("parts"), "key"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:

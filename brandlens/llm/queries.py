@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_mixing, op03_tokens, op05_sharding, op07_near_dedup, op08_language, op09_rules
+from . import op01_mixing, op03_tokens, op05_sharding, op07_near_dedup, op08_language, op09_rules, op10_pieces
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op09_rules.apply_rules(_docs(spark, sf_dir).select("doc_id", "text")).select(*columns)
 
 
+def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_pieces.digest(op10_pieces.encode(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pareto_mix, op3_transducer_counts, op5_sampled_splitters, op7_hamming_near_dedup, op8_language_svm, op9_quality_rules)
+    f.__name__: f for f in (op1_pareto_mix, op3_transducer_counts, op5_sampled_splitters, op7_hamming_near_dedup, op8_language_svm, op9_quality_rules, op10_unigram_pieces)
 }
 ORACLE: dict[str, str] = {}
