@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op01_mixing, op03_tokens, op05_sharding, op07_near_dedup, op08_language, op09_rules, op10_pieces
+from . import op01_mixing, op02_likelihood, op03_tokens, op05_sharding, op07_near_dedup, op08_language, op09_rules, op10_pieces
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op01_mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op02_likelihood.score(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op3_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op03_tokens.count_tokens(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -44,6 +48,6 @@ def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pareto_mix, op3_transducer_counts, op5_sampled_splitters, op7_hamming_near_dedup, op8_language_svm, op9_quality_rules, op10_unigram_pieces)
+    f.__name__: f for f in (op1_pareto_mix, op2_lattice_likelihood, op3_transducer_counts, op5_sampled_splitters, op7_hamming_near_dedup, op8_language_svm, op9_quality_rules, op10_unigram_pieces)
 }
 ORACLE: dict[str, str] = {}

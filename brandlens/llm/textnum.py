@@ -53,10 +53,10 @@ def _powers(n: int, which: str) -> np.ndarray:
 
 
 def groups(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets within them) of runs of rows; a null counts as an empty text."""
-    column = column.cast(pa.large_string())
+    """(first row, end row, bytes, offsets within them) of runs of rows of text or binary; a null is empty."""
+    column = column.cast(pa.large_binary())
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"")
     n = len(column)
     if not n:
         return
