@@ -146,3 +146,15 @@ def _take(stash: Stash, ranked: DataFrame, plan: DataFrame, same: Column) -> Dat
     return joined.select(
         "doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "source"
     )
+
+
+def mix_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, total: float = TOTAL, most: int = MOST) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it, with the columns of docs.
+
+    Rows that share doc_id, source and size share a rank and so a number of copies.
+    """
+    taken = mix(docs, weights, total, most).where("copies > 0")
+    taken = taken.select(F.col("doc_id").alias("_m_id"), F.col("source").alias("_m_source"), F.col("size").alias("_m_size"), F.col("copies").alias("_m_copies")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_m_id")) & F.col("source").eqNullSafe(F.col("_m_source")) & (n_words() == F.col("_m_size"))
+    rows = docs.join(taken, same)
+    return rows.withColumn("_m_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
