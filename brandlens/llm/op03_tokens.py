@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
+from ..shipping import ship
 from . import textnum
 
 #: Bytes of a chunk; states kept before the table starts anew (1.3 kB each).
@@ -314,6 +315,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, key: str =
     counts as empty: 0 bytes, 0 tokens. Long texts are handled in chunks like all others; equal rows get equal
     rows; an empty table gives an empty result; other columns are not looked at.
     """
+    ship(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     context.addFile(vocabulary)
     name = vocabulary.rsplit("/", 1)[-1]

@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship
 from . import textnum
 
 #: Family of each language code; a code that is not here is a family of its own. Fixed values.
@@ -203,6 +204,7 @@ def classify(docs: DataFrame, model: Model, text: str = "text", prefix: str = ""
     A text that is null or has no letter is ``und`` with score 0, as is every text where nothing was learned.
     Prediction reads the whole text and nothing else; equal texts get equal results.
     """
+    ship(docs.sparkSession)
     lang, score = f"{prefix}lang_pred", f"{prefix}score"
     rest = [c for c in docs.columns if c not in (lang, score)]
     readable = F.when(F.col(f"`{text}`").rlike(r"\p{L}"), F.col(f"`{text}`"))

@@ -146,6 +146,12 @@ def apply_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "tex
 
 
 def keep_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text") -> DataFrame:
-    """The documents that pass, with their own columns only."""
+    """The documents that pass, with their own columns only.
+
+    The verdict feeds a generator that gives one row or none: a filter on it would be pushed below the projection,
+    where every reference to a measure is worked out anew.
+    """
     out = apply_rules(docs, rules, text, prefix="_rule_")
-    return out.where(F.col("_rule_kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    once = F.when(F.col("_rule_kept"), F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*own, F.explode(once).alias("_rule_once")).select(*own)

@@ -15,6 +15,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import textnum
 from .lattice import DoubleArray, Lattice, Vocabulary, blocks, gather, load_vocabulary
 
@@ -101,6 +102,7 @@ def encoder(path: str) -> Encoder:
 
 
 def _ship(df: DataFrame, vocabulary: str) -> str:
+    ship(df.sparkSession)
     df.sparkSession.sparkContext.addFile(vocabulary)
     return vocabulary.rsplit("/", 1)[-1]
 

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 _LOCAL_DIRS: dict[str, str] = {}
 
 
@@ -31,6 +33,7 @@ class Stash:
     """
 
     def __init__(self, spark: SparkSession, operator: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/brandlens/{operator}-{uuid.uuid4().hex}"
 
