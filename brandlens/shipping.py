@@ -9,10 +9,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SENT: set[str] = set()
+#: Rows of an Arrow batch where the session leaves Spark's default: texts are long, and a batch is held several times.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+ROWS = "1000"
 
 
 def ship(spark: SparkSession) -> None:
     """Once per application; workers then import the same code wherever they run."""
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, ROWS)
     app = spark.sparkContext.applicationId
     if app in _SENT:
         return
