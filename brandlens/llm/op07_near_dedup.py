@@ -33,6 +33,9 @@ LEAST_AGREE = 24
 #: Rounds in which groups that meet try a few pairs before all open pairs are compared, and pairs of two groups.
 TURNS = 2
 TRIES = 8
+#: Open pairs of a group from which on sets are compared block by block, and nodes of a block.
+BLOCK_PAIRS = 5_000
+BLOCK = 256
 SHINGLE = 2
 PERCENT = 80
 
@@ -110,6 +113,35 @@ def _sign(size: int):
     return run
 
 
+def _meet(percent: int):
+    def flat(table: pa.Table, head: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        sets = table.column(f"{head}set").combine_chunks()
+        n = pa.compute.list_value_length(sets).to_numpy(zero_copy_only=False).astype(np.int64)
+        return table.column(f"{head}node").to_numpy(), table.column(f"{head}group").to_numpy(), sets.flatten().to_numpy(), n
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if left.num_rows and right.num_rows:
+            a, ga, xa, na = flat(left)
+            b, gb, xb, nb = flat(right, "r_")
+            order = np.argsort(xb, kind="stable")
+            shingle, owner = xb[order], np.repeat(np.arange(len(b)), nb)[order]
+            at = np.concatenate([[0], np.cumsum(na)])
+            for i in range(len(a)):
+                mine = xa[at[i] : at[i + 1]]
+                low, high = np.searchsorted(shingle, mine, "left"), np.searchsorted(shingle, mine, "right")
+                count = high - low
+                hits = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                both = np.bincount(owner[hits], minlength=len(b))
+                near = np.flatnonzero((100 * both >= percent * (na[i] + nb - both)) & (gb != ga[i]))
+                _, first = np.unique(gb[near], return_index=True)
+                us.append(np.full(len(first), a[i]))
+                vs.append(b[near[first]])
+        return pa.table([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+
+    return run
+
+
 SIGNS = [f"s{k}" for k in range(VALUES // 8)]
 
 
@@ -188,12 +220,7 @@ class _Join:
         )
         near = self.stash.put(f"near-{name}", near)
         wanted = near.select(F.col("u").alias("node")).union(near.select("v")).distinct()
-        who = wanted.join(self.nodes.select("node", F.col("first.doc_id").alias("w_id"), F.col("first.text_hash").alias("w_hash")), "node")
-        texts = self.docs.select("doc_id", "text").join(
-            who, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.xxhash64("text") == F.col("w_hash"))
-        )
-        sets = texts.select("node", "text").mapInArrow(_sets(self.size), "node long, set array<long>")
-        sets = self.stash.put(f"sets-{name}", sets.dropDuplicates(["node"]))
+        sets = self.sets(wanted, name)
         both = F.size(F.array_intersect("a.set", "b.set"))
         ok = 100 * both >= self.percent * (F.col("nu") + F.col("nv") - both)
         links = near.join(sets.alias("a"), F.col("u") == F.col("a.node")).join(sets.alias("b"), F.col("v") == F.col("b.node")).where(ok)
@@ -219,12 +246,48 @@ class _Join:
             links.append(self.confirmed(pairs.select("u", "v"), f"turn-{turn}"))
         held = self.held(met, links, "last", TURNS)
         mixed = self.placed.join(held.groupBy("key").agg(F.min("main.group").alias("main")), "key")
-        few = mixed.where("group <> main").select("key", F.col("node").alias("u"), F.col("group").alias("gu"))
-        every = mixed.select("key", F.col("node").alias("v"), F.col("group").alias("gv"), "main")
+        # All keys of one largest group are taken together: who meets it, and who is in it.
+        seats = self.stash.put("seats", mixed.select("main", "node", "group", (F.col("group") != F.col("main")).alias("asks")).distinct())
+        load = seats.groupBy("main").agg(F.count(F.when(F.col("asks"), 1)).alias("asking"), F.count("*").alias("all"))
+        heavy = self.stash.put("heavy", load.where(F.col("asking") * F.col("all") > BLOCK_PAIRS))
+        light = mixed.join(heavy.select("main"), "main", "left_anti")
+        few = light.where("group <> main").select("key", F.col("node").alias("u"), F.col("group").alias("gu"))
+        every = light.select("key", F.col("node").alias("v"), F.col("group").alias("gv"), "main")
         cross = few.join(every, "key").where("gu <> gv AND (gv = main OR u > v)")
         pairs = cross.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         second = self.confirmed(pairs, "second")
-        return components(self.stash, reduce(DataFrame.union, [*links, second]))
+        third = self.blocks(seats.join(heavy, "main"))
+        return components(self.stash, reduce(DataFrame.union, [*links, second, third]))
+
+    def blocks(self, seats: DataFrame) -> DataFrame:
+        """(u, v) links between the askers of a large group and all its seats, block against block.
+
+        Seats are dealt into blocks of about BLOCK; every asking block meets every block once, and one link a node
+        and group comes out, which is all that components need. Nothing holds more than two blocks of sets.
+        """
+        mine = lambda n: F.pmod(F.xxhash64("node", F.lit(9)), F.col(n)).cast("int")
+        others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        blocks = lambda c: F.ceil(F.col(c) / F.lit(BLOCK)).cast("int")
+        seats = seats.withColumn("na", blocks("asking")).withColumn("nb", blocks("all"))
+        sets = self.sets(seats.select("node").distinct(), "blocks")
+        full = seats.join(sets, "node")
+        left = full.where("asks").select("main", mine("na").alias("pa"), others("nb").alias("pb"), "node", "group", "set")
+        # Other names on the right: both sides come from one table.
+        again = [F.col(c).alias(f"r_{c}") for c in ("main", "node", "group", "set")]
+        right = full.select(*again, others("na").alias("r_pa"), mine("nb").alias("r_pb"))
+        links = left.groupBy("main", "pa", "pb").cogroup(right.groupBy("r_main", "r_pa", "r_pb")).applyInArrow(_meet(self.percent), "u long, v long")
+        links = self.stash.put("links-blocks", links)
+        self.stash.drop("sets-blocks")
+        return links
+
+    def sets(self, wanted: DataFrame, name: str) -> DataFrame:
+        """(node, set) of the wanted nodes, from the text of the document that stands for each."""
+        who = wanted.join(self.nodes.select("node", F.col("first.doc_id").alias("w_id"), F.col("first.text_hash").alias("w_hash")), "node")
+        texts = self.docs.select("doc_id", "text").join(
+            who, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.xxhash64("text") == F.col("w_hash"))
+        )
+        sets = texts.select("node", "text").mapInArrow(_sets(self.size), "node long, set array<long>")
+        return self.stash.put(f"sets-{name}", sets.dropDuplicates(["node"]))
 
     def held(self, met: DataFrame, links: list[DataFrame], name: str, turn: int) -> DataFrame:
         """(key, group, k, some, main) for the keys under which two or more groups meet: the members k of each group

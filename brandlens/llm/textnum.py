@@ -6,6 +6,8 @@ bytes never fall in that set, byte runs and ``[^\\x20\\x09-\\x0D]+`` agree.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +16,9 @@ import pyarrow as pa
 #: Bytes of text that one vectorised step handles, unless a single text is longer.
 GROUP_BYTES = 1 << 21
 
+_NAME = ctypes.util.find_library("c")
+_LIBC = ctypes.CDLL(_NAME) if _NAME and hasattr(ctypes.CDLL(_NAME), "malloc_trim") else None
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, dtype=bool)
@@ -52,6 +57,13 @@ def _powers(n: int, which: str) -> np.ndarray:
     return have[:n]
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def groups(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets within them) of runs of rows of text or binary; a null is empty."""
     column = column.cast(pa.large_binary())
@@ -68,6 +80,8 @@ def groups(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[int, in
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + limit, side="right")) - 1)
         yield low, high, every[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]
         low = high
+    del column, every, offsets
+    release()
 
 
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
