@@ -35,7 +35,7 @@ class _Page(HTMLParser):
         self.images = self.missing = self.lists = self.tables = self.dls = 0
         self.json: list[list[str]] = []
         self.types: list[str] = []
-        self.author = self.dated = False
+        self.author = self.dated = self.linked = False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = {k: v or "" for k, v in attrs}
@@ -63,8 +63,9 @@ class _Page(HTMLParser):
             self.headings.append([tag, []])
         elif tag == "p":
             self.paragraphs.append([])
-        elif tag == "script" and a.get("type", "").lower() == "application/ld+json":
-            self.json.append([])
+        elif tag == "script":
+            self.linked = a.get("type", "").lower() == "application/ld+json"
+            self.json += [[]] if self.linked else []
         if a.get("itemtype"):
             self.types.append(a["itemtype"].rstrip("/").rsplit("/", 1)[-1])
         classes = a.get("class", "")
@@ -79,7 +80,7 @@ class _Page(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1] == "script":
-            if self.json:
+            if self.linked:
                 self.json[-1].append(data)
             return
         if self.open and self.open[-1] == "title" and self.title is not None:

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 LAYERS = ("raw", "extracted", "geo", "aeo", "questions", "clusters", "report")
 
-RUN = T.StructType.fromDDL(
+RUN = (
     "runId string, promptId string, promptText string, dimensions struct<intent:string,persona:struct<role:string,teamSize:string>,"
     "specificity:string,attribute:string,language:string,brandsNamed:array<string>>, source string, templateId string, stage string, "
     "temperature double, timestamp string, finishReason string, rawText string, error string"
 )
-PAGE = T.StructType.fromDDL("product string, url string, url_hash string, status int, headers map<string,string>, fetched_at string, error string, html string")
+PAGE = "product string, url string, url_hash string, status int, headers map<string,string>, fetched_at string, error string, html string"
 
 
 class Lake:
@@ -39,7 +38,7 @@ class Lake:
         path = self.path(layer, table)
         return self.spark.read.parquet(path) if self.exists(path) else None
 
-    def read_or_empty(self, layer: str, table: str, schema: T.StructType) -> DataFrame:
+    def read_or_empty(self, layer: str, table: str, schema: str) -> DataFrame:
         found = self.read(layer, table)
         return self.spark.createDataFrame([], schema) if found is None else found
 
@@ -49,6 +48,6 @@ class Lake:
         return (empty if pages is None else pages.select("product").distinct()).orderBy("product")
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """One JSON document a file, with an explicit schema; ``file`` keeps the order of names."""
     return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
