@@ -9,7 +9,7 @@ from brandlens.sources import clients, lake, sitemap
 
 PAGE = """<html><head><title> Tool </title><meta name="description" content="A tool that is the best way to plan your work.">
 <script type="application/ld+json">{"@graph": [{"@type": "Product"}, {"@type": ["A", "B"]}]}</script></head>
-<body><nav><a href="/nav">n</a></nav><main><h1>One</h1><h3>Three</h3><p>It is a tool. By Ann Lee<p>More <b>text
+<body><nav><a href="/nav">n</a></nav><main><h1>One</h1><h3>Three</h3><p>It is a tool by Ann Lee<p>More <b>text
 <img src=x alt=""><img src=y alt="y"><a href="https://other.org/x">out</a><a href="mailto:a@b.c">m</a><ul><li>1<li>2</ul>
 <script>var x = "</p>";</script></main></body></html>"""
 
