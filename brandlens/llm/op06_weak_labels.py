@@ -189,7 +189,7 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: flo
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     voted = stash.put("votes", votes(rows).select("doc_id", F.xxhash64("text").alias("h"), F.array_join(F.col("votes").cast("array<string>"), ",").alias("votes"), F.length("text").alias("n")))
     found = sorted(voted.groupBy("votes").count().collect())
-    patterns = np.array([[int(v) for v in r[0].split(",")] for r in found]).reshape(len(found), len(LABELLERS))
+    patterns = np.array([[int(v) for v in r[0].split(",")] for r in found], np.int64).reshape(len(found), len(LABELLERS))
     model = fit(patterns, np.array([r[1] for r in found], float))
     posterior = dict(zip([r[0] for r in found], model.posterior(patterns).tolist()))
     draw = F.xxhash64(F.col("doc_id").cast("string"), F.col("h"))
