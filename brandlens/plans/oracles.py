@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import text as T
+from ..operators.questions import ASKERS, SHORT
 from .catalog import BRANDS, THEMES
 
 
@@ -121,3 +122,16 @@ LEFT JOIN (SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'assist
     "labels_quality_split": """SELECT source, lang, count(*) AS n, round(avg(quality), 6) AS quality_rate, round(avg(toxic), 6) AS toxic_rate
 FROM documents JOIN labels USING (doc_id) GROUP BY ALL""",
 }
+
+ORACLE["phrase_cloud"] = f"""WITH {_cloud('source')},
+cut AS (SELECT site, page, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ss FROM pages_),
+lines AS (SELECT site, page, unnest(ss) AS line, unnest(range(len(ss))) AS sentence FROM cut),
+near AS (SELECT DISTINCT site, page, sentence, line, unnest(regexp_extract_all(lower(line), '{T.TOKEN}')) AS term FROM lines),
+hits AS (SELECT site, term, page, line, row_number() OVER (PARTITION BY site, term ORDER BY page, sentence) AS pos FROM near JOIN (SELECT site, term FROM cloud WHERE rank <= 30) USING (site, term)
+         WHERE regexp_matches(line, '(?i)\\b' || term || '\\b'))
+SELECT site, term, pos, page, CASE WHEN length(line) > {T.SNIPPET} THEN substring(line, 1, {T.SNIPPET}) || '…' ELSE line END AS snippet FROM hits WHERE pos <= 5"""
+
+_SHORT = " UNION ALL ".join(f"SELECT {i} AS t, '{a}' AS template_id, '{p}' AS pattern" for i, (a, p) in enumerate(SHORT))
+ORACLE["hook_question_set"] = f"""WITH {_cloud('source')}, templates AS ({_SHORT}),
+numbered AS (SELECT term AS hook, template_id, pattern, row_number() OVER (ORDER BY site, rank, t) - 1 AS n FROM cloud CROSS JOIN templates WHERE rank <= 3)
+SELECT n AS ord, template_id || '-' || n AS id, replace(replace(pattern, '{{persona}}', ({_list(ASKERS)})[(n % 4 + 1)::INT]), '{{hook}}', hook) AS text, template_id, hook, 'tagcloud' AS hook_source FROM numbered"""
