@@ -30,8 +30,12 @@ class Lake:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
-    def write(self, layer: str, table: str, df: DataFrame) -> None:
-        writer = df.write.mode("overwrite")
+    def write(self, layer: str, table: str, df: DataFrame, product: str | None = None) -> None:
+        """Replaces one product's part (then df has no product column, and may be empty), or the parts in df."""
+        if product is not None:
+            df.write.mode("overwrite").parquet(f"{self.path(layer, table)}/product={product}")
+            return
+        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         (writer.partitionBy("product") if "product" in df.columns else writer).parquet(self.path(layer, table))
 
     def read(self, layer: str, table: str) -> DataFrame | None:

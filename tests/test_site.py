@@ -98,3 +98,18 @@ def test_sitemap_and_clients(spark, tmp_path):
     assert store.read("raw", "page") is None and store.products().count() == 0
     store.write("raw", "page", spark.createDataFrame([("p", "u")], "product string, url string"))
     assert [r[0] for r in store.products().collect()] == ["p"]
+
+
+def test_jobs_end_to_end(spark, tmp_path):
+    from brandlens.plans import jobs
+
+    store = lake.Lake(spark, str(tmp_path / "lake"))
+    entries = spark.createDataFrame([(0, "https://site.org/", None), (1, "https://site.org/pricing", None), (2, "https://site.org/gone", None)], "ord long, url string, priority double")
+    jobs.scrape(store, "p", entries, "User-agent: *\n", lambda u: (404, "") if u.endswith("gone") else (200, PAGE))
+    cover = store.read("extracted", "sitemap_coverage").first()
+    assert (cover["total_urls"], cover["fetched_urls"], cover["broken_urls"]) == (3, 2, 1)
+    jobs.make_questions(store, "p", "Zed", ["A", "B"])
+    assert store.read("questions", "hook_question").count() > 0
+    text = jobs.audit(store, "p", "Mine", ["Other"], "planning", lambda prompt: "Mine is the best, Other is slow." if "Mine" in prompt else None)
+    assert "| Mine | 100% |" in text and "## Priorities" in text
+    assert jobs.cluster(store, "p").count() > 0 and store.read("clusters", "theme_answer") is not None
