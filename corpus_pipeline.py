@@ -14,6 +14,8 @@ from brandlens.llm import op01_mixing, op07_near_dedup, op08_language, op09_rule
 from brandlens.llm.storage import Stash
 
 PIECES = "piece_bpe_32k.model"
+#: Words of a shingle in this stage; the two words of op07_near_dedup.SHINGLE are those of the query op7_ only.
+SHINGLE = 5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +29,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    return op07_near_dedup.keep_documents(docs)
+    """One document of each group of near duplicates by five-word shingles: the one with the smallest id."""
+    return op07_near_dedup.keep_documents(docs, size=SHINGLE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
