@@ -5,8 +5,8 @@ sliding window over character classes. Inside a piece the merges are a determini
 holds, for each suffix that may still grow into a token, the token before that suffix, and every transition carries
 the change in the number of emitted tokens. States are made when first met and kept in one table, which starts anew
 when it is full. Texts are cut into chunks of equal length that advance together: a chunk whose start state is
-unknown has a constant state map from its first piece on, and the maps are composed chunk after chunk by a scan to
-resolve the bytes before.
+unknown has a constant state map from its first piece on. The bytes before are resolved in order, once the end state of
+the chunk before is known: a piece of many chunks takes as many rounds. No maps of whole chunks are composed.
 
 It rests on a property of BPE: a token sequence is the encoding of its bytes exactly if each adjacent pair is the
 encoding of its own bytes.
@@ -232,7 +232,7 @@ class Transducer:
         self.exits = states = np.full(lanes, DEAD, np.int64)
         for j in range(chunk):
             states, out[j] = self.step(np.where(mark[j], START, states), text[j])
-        # Scan: the bytes before a chunk's first piece start from the state that the chunk before ends in.
+        # In order: the bytes before a chunk's first piece start from the state that the chunk before ends in.
         head = np.where(mark.any(axis=0), mark.argmax(axis=0), chunk)
         ends = states.astype(np.int64)
         waiting = np.flatnonzero(head[1:] > 0) + 1
