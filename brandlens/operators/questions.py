@@ -67,6 +67,8 @@ INFERENTIAL = [
 ]
 # Scrape artifacts that are no hooks.
 ARTIFACTS = ["contextreply", "americalearn", "syncstatus"]
+#: Tag-cloud hooks of a site.
+MOST_HOOKS = 20
 
 # A claim's verbs, what they may address, and the audiences looked for; all may be replaced.
 DROPPED_VERBS = ("help", "helps", "helping")
@@ -132,7 +134,19 @@ def generate_prompts(spark: SparkSession, brand: str, competitors: Sequence[str]
     )
 
 
-def scan_hooks(seo: DataFrame, geo: DataFrame, tagcloud: DataFrame, phrases: DataFrame, exclude: Sequence[str] = (), most: int = 20) -> DataFrame:
+def hook_terms(tagcloud: DataFrame, exclude: Sequence[str] = ()) -> DataFrame:
+    """The terms of a tag cloud that may be hooks."""
+    return tagcloud.where((F.col("document_frequency") >= 2) & (F.length("term") >= 4) & ~F.col("term").isin([*ARTIFACTS, *[e.lower() for e in exclude]]))
+
+
+def site_hooks(tagcloud: DataFrame, exclude: Sequence[str] = (), most: int = MOST_HOOKS) -> DataFrame:
+    """(ord, hook, source) of many sites: the tag-cloud hooks that scan_hooks finds for each, by site and rank."""
+    place = F.row_number().over(W.partitionBy("site").orderBy("rank"))
+    top = hook_terms(tagcloud, exclude).withColumn("place", place).where(F.col("place") <= most)
+    return top.select(F.row_number().over(W.orderBy("site", "rank")).alias("ord"), F.col("term").alias("hook"), F.lit("tagcloud").alias("source"))
+
+
+def scan_hooks(seo: DataFrame, geo: DataFrame, tagcloud: DataFrame, phrases: DataFrame, exclude: Sequence[str] = (), most: int = MOST_HOOKS) -> DataFrame:
     """(ord, hook, source, document_frequency, evidence): meta descriptions, definitions, tag cloud; the first of
     equal hooks counts. phrases is (term, pos, page, snippet)."""
     proof = "array<struct<url:string,snippet:string>>"
@@ -142,8 +156,7 @@ def scan_hooks(seo: DataFrame, geo: DataFrame, tagcloud: DataFrame, phrases: Dat
     meta = row(seo.where((F.length("meta_description") >= 20) & keep("meta_description")), "meta_description", "meta_description", 0)
     told = row(geo.where(F.col("definition").isNotNull() & keep("definition")), "definition", "definition", 1)
     seen = phrases.where("pos <= 3").groupBy("term").agg(F.sort_array(F.collect_list(F.struct("pos", F.col("page").alias("url"), "snippet"))).alias("hits"))
-    good = tagcloud.where((F.col("document_frequency") >= 2) & (F.length("term") >= 4) & ~F.col("term").isin([*ARTIFACTS, *[e.lower() for e in exclude]]))
-    top = good.orderBy("rank").limit(most).join(seen, "term", "left")
+    top = hook_terms(tagcloud, exclude).orderBy("rank").limit(most).join(seen, "term", "left")
     shown = F.coalesce(F.transform("hits", lambda h: F.struct(h["url"].cast("string").alias("url"), h["snippet"].alias("snippet"))), F.array().cast(proof))
     cloud = top.select(F.lit(2).alias("part"), F.col("rank").alias("n"), F.col("term").alias("hook"), F.lit("tagcloud").alias("source"), "document_frequency", shown.alias("evidence"))
     every = meta.unionByName(told).unionByName(cloud)

@@ -170,6 +170,11 @@ def hook_question_set(spark, sf):
     return questions.hook_questions(hooks)
 
 
+def hook_question_set_full(spark, sf):
+    """Questions of all hooks of every site: the operator's own filters and limit."""
+    return questions.hook_questions(questions.site_hooks(tagcloud.site_tagcloud(_site_pages(spark, sf))))
+
+
 def prompt_run_groups(spark, sf):
     turns = _t(spark, sf, "conversations")
     prompts = turns.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("prompt"))
@@ -193,6 +198,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         mentions_text, brand_metrics_text, brand_metrics_orders, brand_cooccurrence, sov_by_dimension, tagcloud_site, tagcloud_page,
         keyword_density, phrase_cloud, geo_text_signals, page_index, robots_filter, quick_url_selection, html_signals, html_tag_counts,
         findings_priorities, geo_aeo_gaps, theme_clusters, theme_answer_stats, theme_sankey_edges, prompt_set, hook_question_set,
-        prompt_run_groups, question_quota, labels_quality_split,
+        hook_question_set_full, prompt_run_groups, question_quota, labels_quality_split,
     )
 }

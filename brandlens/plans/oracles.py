@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import text as T
-from ..operators.questions import ASKERS, SHORT
+from ..operators.questions import ARTIFACTS, ASKERS, MOST_HOOKS, SHORT
 from .catalog import BRANDS, THEMES
 
 
@@ -135,3 +135,8 @@ _SHORT = " UNION ALL ".join(f"SELECT {i} AS t, '{a}' AS template_id, '{p}' AS pa
 ORACLE["hook_question_set"] = f"""WITH {_cloud('source')}, templates AS ({_SHORT}),
 numbered AS (SELECT term AS hook, template_id, pattern, row_number() OVER (ORDER BY site, rank, t) - 1 AS n FROM cloud CROSS JOIN templates WHERE rank <= 3)
 SELECT n AS ord, template_id || '-' || n AS id, replace(replace(pattern, '{{persona}}', ({_list(ASKERS)})[(n % 4 + 1)::INT]), '{{hook}}', hook) AS text, template_id, hook, 'tagcloud' AS hook_source FROM numbered"""
+ORACLE["hook_question_set_full"] = f"""WITH {_cloud('source')}, templates AS ({_SHORT}),
+good AS (SELECT site, rank, term, row_number() OVER (PARTITION BY site ORDER BY rank) AS place FROM cloud
+         WHERE rank <= 50 AND document_frequency >= 2 AND length(term) >= 4 AND NOT list_contains({_list(ARTIFACTS)}, term)),
+numbered AS (SELECT term AS hook, template_id, pattern, row_number() OVER (ORDER BY site, rank, t) - 1 AS n FROM good CROSS JOIN templates WHERE place <= {MOST_HOOKS})
+SELECT n AS ord, template_id || '-' || n AS id, replace(replace(pattern, '{{persona}}', ({_list(ASKERS)})[(n % 4 + 1)::INT]), '{{hook}}', hook) AS text, template_id, hook, 'tagcloud' AS hook_source FROM numbered"""
