@@ -159,6 +159,18 @@ def theme_sankey_edges(spark, sf):
     return clusters.sankey(per)
 
 
+def theme_sankey_asked(spark, sf):
+    """As theme_sankey_edges, with the themes that users ask about found in their turns."""
+    cloud = _clustered(spark, sf)
+    # The 50 terms at most of the one cloud, which three branches read.
+    found = spark.createDataFrame(cloud.collect(), cloud.schema)
+    asked = _t(spark, sf, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    questioned = clusters.theme_questions(found, asked).select("theme", F.lit(True).alias("has_question")).distinct()
+    stats = clusters.theme_answers(found, _runs(spark, sf)).select("theme", (F.col("runs_mentioning") > 0).alias("has_mention"))
+    per = clusters.themes(found).join(stats, "theme").join(questioned, "theme", "left")
+    return clusters.sankey(per.withColumn("has_question", F.coalesce("has_question", F.lit(False))))
+
+
 def prompt_set(spark, sf):
     return questions.generate_prompts(spark, BRANDS[0], BRANDS[1:], "tracking", 24).withColumn("brands_named", F.array_join("brands_named", "|"))
 
@@ -197,7 +209,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         mentions_text, brand_metrics_text, brand_metrics_orders, brand_cooccurrence, sov_by_dimension, tagcloud_site, tagcloud_page,
         keyword_density, phrase_cloud, geo_text_signals, page_index, robots_filter, quick_url_selection, html_signals, html_tag_counts,
-        findings_priorities, geo_aeo_gaps, theme_clusters, theme_answer_stats, theme_sankey_edges, prompt_set, hook_question_set,
+        findings_priorities, geo_aeo_gaps, theme_clusters, theme_answer_stats, theme_sankey_edges, theme_sankey_asked, prompt_set, hook_question_set,
         hook_question_set_full, prompt_run_groups, question_quota, labels_quality_split,
     )
 }

@@ -140,3 +140,9 @@ good AS (SELECT site, rank, term, row_number() OVER (PARTITION BY site ORDER BY
          WHERE rank <= 50 AND document_frequency >= 2 AND length(term) >= 4 AND NOT list_contains({_list(ARTIFACTS)}, term)),
 numbered AS (SELECT term AS hook, template_id, pattern, row_number() OVER (ORDER BY site, rank, t) - 1 AS n FROM good CROSS JOIN templates WHERE place <= {MOST_HOOKS})
 SELECT n AS ord, template_id || '-' || n AS id, replace(replace(pattern, '{{persona}}', ({_list(ASKERS)})[(n % 4 + 1)::INT]), '{{hook}}', hook) AS text, template_id, hook, 'tagcloud' AS hook_source FROM numbered"""
+
+ORACLE["theme_sankey_asked"] = _CLUSTERED + _STATS + f""", said AS (SELECT unnest({TOKENS}) AS term FROM conversations WHERE role = 'user'),
+wanted AS (SELECT DISTINCT theme, true AS q FROM said JOIN clustered USING (term) WHERE theme IS NOT NULL),
+per AS (SELECT theme, count(*) AS v, CASE WHEN coalesce(bool_or(q), false) THEN 'asked' ELSE 'not asked' END AS q,
+CASE WHEN coalesce(max(n), 0) > 0 THEN 'mentioned' ELSE 'not mentioned' END AS m FROM clustered LEFT JOIN told USING (theme) LEFT JOIN wanted USING (theme) WHERE theme IS NOT NULL GROUP BY theme)
+SELECT source, target, sum(v)::BIGINT AS value FROM (SELECT theme AS source, q AS target, v FROM per UNION ALL SELECT q, m, v FROM per) GROUP BY ALL"""
