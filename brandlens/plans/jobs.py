@@ -84,7 +84,7 @@ def audit(lake: Lake, product: str, brand: str, competitors: Sequence[str], cate
     own = measured.where(F.col("brand") == brand).select(site.aeo_score(F.col("share_of_voice"), F.col("sentiment_score"))).first()
     scores = {"seo": seo.agg(site.seo_score(seo, broken.count())).first()[0], "geo": geo.agg(site.geo_score()).first()[0], "aeo": own[0] if own else 0}
     missing = [r["term"] for r in gaps.where("NOT mentioned_by_model").orderBy(F.desc("site_score"), "term").limit(10).collect()]
-    return report.render_report(brand, scores, measured.orderBy(F.desc("share_of_voice"), "brand").collect(), site.prioritised(every).limit(100).collect(), missing)
+    return report.render_report(brand, scores, measured.orderBy(F.desc("share_of_voice"), "brand").collect(), site.prioritised(every).collect(), missing)
 
 
 def cluster(lake: Lake, product: str, ask: Callable[[str], str | None] | None = None) -> DataFrame:
