@@ -84,6 +84,30 @@ def groups(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[int, in
     release()
 
 
+def segments(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """As ``groups``, but a text much longer than limit comes in several parts, cut at white space."""
+    for low, high, buf, offsets in groups(column, limit):
+        if len(buf) <= 2 * limit:
+            yield low, high, buf, offsets
+            continue
+        at = 0
+        while at < len(buf):
+            space = np.flatnonzero(SPACE[buf[at + limit : at + 2 * limit]])
+            # A word longer than limit is not cut: the part goes on to where it ends.
+            end = at + limit + int(space[0]) if len(space) else _next_space(buf, at + 2 * limit)
+            yield low, high, buf[at:end], np.array([0, end - at])
+            at = end
+
+
+def _next_space(buf: np.ndarray, at: int) -> int:
+    while at < len(buf):
+        space = np.flatnonzero(SPACE[buf[at : at + GROUP_BYTES]])
+        if len(space):
+            return at + int(space[0])
+        at += GROUP_BYTES
+    return len(buf)
+
+
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and row numbers of the words; rows never share one."""
     if not len(buf):
