@@ -1,8 +1,10 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A source's target is filled with whole copies first (certain), then a fixed-size Pareto sample: documents are
-ranked by their random odds over their inclusion odds and taken in that order until the remaining words are
-reached. Inclusion odds grow with the square root of a document's size, so that inclusion is unequal.
+A source's target is filled with whole copies first (certain), then by a Pareto sample: every document has a
+probability of inclusion that grows with the square root of its size, such that the expected words are the rest of the
+target; those whose probability would reach 1 are certain. Documents are ranked by their random odds over their
+inclusion odds and taken in that order. The sample's size is fixed by the words that are wanted: it ends at the document
+that brings them nearest, which is close to the sum of the probabilities.
 """
 
 from __future__ import annotations
@@ -61,9 +63,30 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, total: float = T
     )
 
 
-def uniform(key: Column) -> Column:
-    """A number in (0, 1) from a key, the same wherever and whenever it is computed."""
-    return (F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 12), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 48))
+def uniform(key: Column, text: Column) -> Column:
+    """A number in (0, 1) from a document's id and text, the same wherever and whenever it is computed."""
+    either = F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+    return (F.conv(F.substring(F.md5(either), 1, 12), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 48))
+
+
+def weight(size: Column) -> Column:
+    """What inclusion probabilities are in proportion to: the root of the size, in thousandths."""
+    return F.floor(F.sqrt(size.cast("double")) * 1000).cast("long")
+
+
+def factors(sized: DataFrame, plan: DataFrame, same: Column) -> DataFrame:
+    """(f_source, factor): min(1, factor * weight) are the probabilities whose expected words are a source's rest.
+
+    Over sizes from the largest down, the larger ones being certain gives a factor; the first size at which it leaves
+    the probability below 1 has the right one. Sums are over distinct sizes, counted before the shuffle.
+    """
+    down = W.partitionBy("source").orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, -1)
+    on = W.partitionBy("source").orderBy(F.desc("size")).rowsBetween(0, W.unboundedFollowing)
+    sizes = sized.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
+    seen = sizes.withColumn("larger", F.coalesce(F.sum(F.col("n") * F.col("size")).over(down), F.lit(0))).withColumn("open", F.sum(F.col("n") * F.col("size") * weight(F.col("size"))).over(on))
+    tried = seen.join(plan.select("s_source", "rest"), same).withColumn("factor", (F.col("rest") - F.col("larger")) / F.col("open"))
+    fits = tried.where((F.col("rest") > 0) & (F.col("factor") * weight(F.col("size")) < 1))
+    return fits.groupBy(F.col("source").alias("f_source")).agg(F.max_by("factor", "size").alias("factor"))
 
 
 def mix(
@@ -76,85 +99,77 @@ def mix(
     source: str = "source",
     buckets: int = BUCKETS,
 ) -> DataFrame:
-    """key, size, source_size, target, copies and taken for every row of docs.
+    """key, size, source_size, target, copies, taken and source for every row of docs.
 
-    Null text has size 0; a null source is a source of its own, the last; a null key is a key like another, and
-    repeated keys rank by size. A document without words is never sampled, only copied whole. An empty table
-    gives an empty result. Other columns are not looked at. One source may hold any share of the rows: sums are
-    made before the shuffle, and only the bucket of ranks in which a source's sample ends is sorted row by row.
+    Null text has size 0; a null source is a source of its own, the last; a null key is a key like another. Rows that
+    share key and text rank alike, and as many of them are taken as fit. A document without words is never sampled,
+    only copied whole. An empty table gives an empty result. Other columns are not looked at. One source may hold any
+    share of the rows: sums are made before the shuffle, and only the bucket of ranks in which a source's sample ends
+    is sorted row by row.
     """
     stash = Stash(docs.sparkSession, "mix")
-    sized = stash.put("sized", docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), n_words(f"`{text}`").alias("size")))
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = stash.put(
-        "targets",
-        targets(sizes, weights, total, most)
-        .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-        .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")),
-    ).withColumnRenamed("source", "s_source")
-    same = F.col("source").eqNullSafe(F.col("s_source"))
-    u = uniform(F.col("doc_id"))
-    # The factor that all documents of a source share does not change their order and is left out.
-    rank = (u / (F.lit(1.0) - u)) / F.sqrt(F.col("size").cast("double"))
-    ranked = sized.withColumn("rank", F.when(F.col("size") > 0, rank)).withColumn(
-        "bucket", F.when(F.col("rank").isNotNull(), F.floor(F.lit(float(buckets)) * _even(F.col("rank"), F.col("size")))).cast("long")
-    )
-    return _take(stash, ranked, plan, same)
-
-
-def _even(rank: Column, size: Column) -> Column:
-    """A rising map of ranks to [0, 1) that spreads them: sizes of about 400 words are typical."""
-    scaled = rank * F.lit(20.0)
-    return scaled / (scaled + F.lit(1.0))
-
-
-def _take(stash: Stash, ranked: DataFrame, plan: DataFrame, same: Column) -> DataFrame:
-    before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    filled = (
-        ranked.where("bucket is not null")
-        .groupBy("source", "bucket")
-        .agg(F.sum("size").alias("words"))
-        .withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    )
-    edge = stash.put(
-        "edges",
-        filled.join(plan, same)
-        .where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
-        .select(F.col("source").alias("e_source"), F.col("bucket").alias("edge"), F.col("before").alias("edge_before"), "rest"),
-    )
-    at_edge = ranked.join(edge, F.col("source").eqNullSafe(F.col("e_source")) & (F.col("bucket") == F.col("edge")))
-    upto = W.partitionBy("e_source").orderBy("rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    last = at_edge.withColumn("so_far", F.col("edge_before") + F.coalesce(F.sum("size").over(upto), F.lit(0)))
-    # The document that crosses the line is taken when that brings the total nearer.
-    cut = stash.put(
-        "cuts",
-        last.where(F.col("so_far") + F.col("size") / 2.0 <= F.col("rest"))
-        .groupBy("e_source")
-        .agg(F.max(F.struct("rank", "doc_id", "size")).alias("cut")),
-    ).withColumnRenamed("e_source", "c_source")
-    joined = (
-        ranked.join(plan, same)
-        .join(edge.drop("rest"), F.col("source").eqNullSafe(F.col("e_source")), "left")
-        .join(cut, F.col("source").eqNullSafe(F.col("c_source")), "left")
-    )
-    sampled = (F.col("rest") > 0) & F.col("bucket").isNotNull() & (
-        (F.col("bucket") < F.col("edge"))
-        | F.col("edge").isNull()
-        | ((F.col("bucket") == F.col("edge")) & F.col("cut").isNotNull() & (F.struct("rank", "doc_id", "size") <= F.col("cut")))
-    )
-    copies = F.col("whole") + F.when(F.coalesce(sampled, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
-    return joined.select(
-        "doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "source"
-    )
+    k, t, s = (F.col(f"`{c}`") for c in (key, text, source))
+    sized = stash.put("sized", docs.select(k.alias("doc_id"), s.alias("source"), n_words(f"`{text}`").alias("size"), uniform(k, t).alias("u"), F.monotonically_increasing_id().alias("row")))
+    cuts = _Cuts(stash, sized, weights, total, most, buckets)
+    copies = F.col("copies")
+    return cuts.taken(sized).select("doc_id", "size", "source_size", "target", "copies", (copies * F.col("size")).alias("taken"), "source")
+
+
+class _Cuts:
+    """Where the sample of each source ends: tables of one row a source, found from (doc_id, source, size, u, row)."""
+
+    def __init__(self, stash: Stash, sized: DataFrame, weights: Sequence[int], total: float, most: int, buckets: int):
+        self.buckets = buckets
+        sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+        whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+        rest = F.col("target") - F.col("whole") * F.col("source_size")
+        plan = stash.put("targets", targets(sizes, weights, total, most).withColumn("whole", whole).withColumn("rest", rest)).withColumnRenamed("source", "s_source")
+        self.plan = stash.put("plan", plan.join(factors(sized, plan, self._of("s_source")), F.col("s_source").eqNullSafe(F.col("f_source")), "left").drop("f_source"))
+        ranked = self.ranked(sized)
+        before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+        filled = ranked.where("bucket IS NOT NULL").groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+        filled = filled.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
+        edge = filled.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
+        self.edge = stash.put("edges", edge.select(F.col("source").alias("e_source"), F.col("bucket").alias("edge"), F.col("before").alias("edge_before")))
+        at_edge = ranked.join(self.edge, self._of("e_source") & (F.col("bucket") == F.col("edge")))
+        upto = W.partitionBy("e_source").orderBy("rank", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, -1)
+        last = at_edge.withColumn("so_far", F.col("edge_before") + F.coalesce(F.sum("size").over(upto), F.lit(0)))
+        # The document that crosses the line is taken when that brings the total nearer.
+        inside = last.where(F.col("so_far") + F.col("size") / 2.0 <= F.col("rest"))
+        self.cut = stash.put("cuts", inside.groupBy(F.col("e_source").alias("c_source")).agg(F.max(F.struct("rank", "doc_id", "size", "row")).alias("cut")))
+
+    @staticmethod
+    def _of(other: str) -> Column:
+        return F.col("source").eqNullSafe(F.col(other))
+
+    def ranked(self, rows: DataFrame) -> DataFrame:
+        """rows with their source's plan, inclusion (the probability), rank and bucket (null: never sampled)."""
+        wide = rows.join(self.plan, self._of("s_source"))
+        wide = wide.withColumn("inclusion", F.when(F.col("size") > 0, F.least(F.lit(1.0), F.col("factor") * weight(F.col("size")))))
+        odds = F.col("inclusion") / (F.lit(1.0) - F.col("inclusion"))
+        rank = F.when(F.col("inclusion") >= 1, F.lit(0.0)).when(F.col("inclusion") > 0, F.col("u") / (F.lit(1.0) - F.col("u")) / odds)
+        wide = wide.withColumn("rank", rank)
+        # A rising map of ranks to [0, 1); samples end near rank 1.
+        return wide.withColumn("bucket", F.floor(F.lit(float(self.buckets)) * F.col("rank") / (F.col("rank") + 1)).cast("long"))
+
+    def taken(self, rows: DataFrame) -> DataFrame:
+        """rows with ``copies``: how often the mix takes each."""
+        wide = self.ranked(rows).join(self.edge, self._of("e_source"), "left").join(self.cut, self._of("c_source"), "left")
+        upto = F.col("cut").isNotNull() & (F.struct("rank", "doc_id", "size", "row") <= F.col("cut"))
+        sampled = (F.col("rest") > 0) & F.col("bucket").isNotNull() & ((F.col("bucket") < F.col("edge")) | F.col("edge").isNull() | ((F.col("bucket") == F.col("edge")) & upto))
+        return wide.withColumn("copies", F.col("whole") + F.when(F.coalesce(sampled, F.lit(False)), F.lit(1)).otherwise(F.lit(0)))
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, total: float = TOTAL, most: int = MOST) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with the columns of docs.
 
-    Rows that share doc_id, source and size share a rank and so a number of copies.
+    Nulls, empty texts, equal rows and an empty table are as in ``mix``; columns may have any names. Texts are written
+    once and never shuffled: each row finds its source's cut.
     """
-    taken = mix(docs, weights, total, most).where("copies > 0")
-    taken = taken.select(F.col("doc_id").alias("_m_id"), F.col("source").alias("_m_source"), F.col("size").alias("_m_size"), F.col("copies").alias("_m_copies")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_m_id")) & F.col("source").eqNullSafe(F.col("_m_source")) & (n_words() == F.col("_m_size"))
-    rows = docs.join(taken, same)
-    return rows.withColumn("_m_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    stash = Stash(docs.sparkSession, "mix")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    rows = stash.put("rows", docs.select(own, F.monotonically_increasing_id().alias("row")))
+    sized = rows.select("own", "row", F.col("own.doc_id").alias("doc_id"), F.col("own.source").alias("source"), n_words("own.text").alias("size"), uniform(F.col("own.doc_id"), F.col("own.text")).alias("u"))
+    slim = stash.put("sized", sized.drop("own"))
+    taken = _Cuts(stash, slim, weights, total, most, BUCKETS).taken(sized).where("copies > 0")
+    return taken.select("own", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("own.*")

@@ -10,7 +10,7 @@ W = r"[^\x20\x09-\x0D]+"
 def mix_sql() -> str:
     weights, total, most = list(op01_mixing.WEIGHTS), op01_mixing.TOTAL, op01_mixing.MOST
     return f"""
-WITH sized AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{W}')) AS size FROM documents),
+WITH sized AS (SELECT doc_id, source, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '{W}')) AS size FROM documents),
 sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, ({weights})[((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % {len(weights)} + 1)::INT] AS w FROM sizes),
 levels AS (SELECT *, (source_size * {most})::DOUBLE / w AS full_at FROM weighed),
@@ -20,11 +20,18 @@ shares AS (SELECT *, (all_size * {total}::DOUBLE - size_before * {most}) / w_lef
 common AS (SELECT max(share) AS c FROM shares WHERE share <= full_at),
 plan AS (SELECT source, source_size, least(source_size * {float(most)}::DOUBLE, w * coalesce(c, 'inf'::DOUBLE)) AS target FROM shares, common),
 rests AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM plan),
-ranked AS (SELECT s.*, source_size, target, whole, target - whole * source_size AS rest, u / (1.0::DOUBLE - u) / sqrt(size::DOUBLE) AS rank FROM
-  (SELECT *, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT + 0.5::DOUBLE) / {1 << 48}::DOUBLE AS u FROM sized) s
-  JOIN rests r ON s.source IS NOT DISTINCT FROM r.source),
-placed AS (SELECT *, coalesce(sum(CASE WHEN size > 0 THEN size END) OVER (PARTITION BY source ORDER BY size = 0, rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so_far FROM ranked)
-SELECT doc_id, size, source_size, target, ((whole + CASE WHEN rest > 0 AND size > 0 AND so_far + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM placed"""
+hist AS (SELECT source, size, count(*) AS n, floor(sqrt(size::DOUBLE) * 1000)::BIGINT AS z FROM sized WHERE size > 0 GROUP BY ALL),
+tried AS (SELECT h.source, size, z, target - whole * source_size AS rest, (target - whole * source_size - larger) / open AS factor FROM
+  (SELECT *, coalesce(sum(n * size) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS larger,
+   (sum(n * size * z) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS open FROM hist) h
+  JOIN rests r ON h.source IS NOT DISTINCT FROM r.source),
+factors AS (SELECT source, max_by(factor, size) AS factor FROM tried WHERE rest > 0 AND factor * z < 1 GROUP BY source),
+drawn AS (SELECT *, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(text)), 1, 12))::BIGINT + 0.5::DOUBLE) / {1 << 48}::DOUBLE AS u FROM sized),
+included AS (SELECT s.*, source_size, target, whole, target - whole * source_size AS rest, CASE WHEN size > 0 THEN least(1.0::DOUBLE, factor * floor(sqrt(size::DOUBLE) * 1000)::BIGINT) END AS inclusion
+  FROM drawn s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source LEFT JOIN factors f ON s.source IS NOT DISTINCT FROM f.source),
+ranked AS (SELECT *, CASE WHEN inclusion >= 1 THEN 0.0::DOUBLE WHEN inclusion > 0 THEN u / (1.0::DOUBLE - u) / (inclusion / (1.0::DOUBLE - inclusion)) END AS rank FROM included),
+placed AS (SELECT *, coalesce(sum(CASE WHEN rank IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY rank IS NULL, rank, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so_far FROM ranked)
+SELECT doc_id, size, source_size, target, ((whole + CASE WHEN rest > 0 AND rank IS NOT NULL AND so_far + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM placed"""
 
 
 def rules_sql() -> str:
