@@ -33,6 +33,8 @@ def components(stash: Stash, edges: DataFrame, name: str = "components") -> Data
         if seen == mark:
             break
         now, mark = then, seen
+    else:
+        raise RuntimeError("components: no fixed point after 99 rounds")
     return then.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         then.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

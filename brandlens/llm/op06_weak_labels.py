@@ -59,6 +59,8 @@ SAMPLE_A_PATTERN = 60
 SAMPLE = 4000
 MOST_CHARS = 20_000
 PASSES = 30
+#: Parts of a vote pattern that are ranked apart before its best rows are.
+PARTS = 64
 #: A document stays when the mean of its posterior and score reaches this.
 KEEP = 0.4
 
@@ -181,7 +183,8 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: flo
     """doc_id, n_votes, posterior, score, kept for every row of docs.
 
     Patterns are counted over all documents; the driver gets one row a pattern. The sample for the scorer takes the
-    rows with the least id hashes of each pattern, SAMPLE_A_PATTERN of each and whole texts of up to MOST_CHARS.
+    rows with the least hashes of id and text of each pattern, SAMPLE_A_PATTERN of each and whole texts of up to
+    MOST_CHARS; repeated rows count once.
     ``kept``: the mean of posterior and score reaches ``keep``. A null or wordless text has no votes, score 0 and is
     not kept; equal texts get equal results; an empty table gives an empty result; other columns are not looked at.
     """
@@ -193,10 +196,14 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: flo
     model = fit(patterns, np.array([r[1] for r in found], float))
     posterior = dict(zip([r[0] for r in found], model.posterior(patterns).tolist()))
     draw = F.xxhash64(F.col("doc_id").cast("string"), F.col("h"))
-    rank = F.row_number().over(W.partitionBy("votes").orderBy("draw", "doc_id"))
-    some = voted.where(F.col("n").between(1, MOST_CHARS)).select("doc_id", "h", "votes", draw.alias("draw")).withColumn("k", rank).where(F.col("k") <= SAMPLE_A_PATTERN)
-    picked = some.orderBy("draw").limit(SAMPLE).select(F.col("doc_id").alias("p_id"), F.col("h").alias("p_h"), "votes")
-    texts = rows.join(picked, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.xxhash64("text") == F.col("p_h"))).select("votes", "text").limit(2 * SAMPLE).collect()
+    # Of rows that repeat an id and text one can be drawn; patterns are ranked in parts, then the best of the parts.
+    some = voted.where(F.col("n").between(1, MOST_CHARS)).select("h", "votes", draw.alias("draw"), F.pmod(draw, F.lit(PARTS)).alias("part"))
+    best = lambda df, *by: df.withColumn("k", F.dense_rank().over(W.partitionBy(*by).orderBy("draw"))).where(F.col("k") <= SAMPLE_A_PATTERN)
+    parts = some.groupBy("votes", "part", "draw", "h").count().drop("count")
+    picked = best(best(parts, "votes", "part"), "votes").orderBy("draw", "h").limit(SAMPLE).select("votes", F.col("draw").alias("p_draw"), F.col("h").alias("p_h"))
+    drawn = rows.select("text", F.xxhash64("text").alias("h"), F.xxhash64(F.col("doc_id").cast("string"), F.xxhash64("text")).alias("draw"))
+    found = drawn.join(picked, (F.col("draw") == F.col("p_draw")) & (F.col("h") == F.col("p_h")))
+    texts = found.groupBy("draw", "h").agg(F.first("votes").alias("votes"), F.first("text").alias("text")).collect()
     scorer = train([(r["text"], posterior[r["votes"]]) for r in texts])
     logs = np.log(model.table)
     odds = F.lit(float(np.log(model.prior) - np.log(1 - model.prior)))

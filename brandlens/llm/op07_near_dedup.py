@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from . import textnum
 from .graph import components
+from .names import unused
 from .storage import Stash
 
 CHUNKS = 8
@@ -319,8 +320,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
 
 
 def keep_documents(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """One document of each group, with the columns of docs. Rows that repeat an id and text are one document."""
-    kept = near_duplicates(docs, percent=percent, size=size).where("kept").select(F.col("doc_id").alias("_k_id"), F.col("text_hash").alias("_k_hash")).distinct()
-    marked = docs.withColumn("_hash", F.xxhash64("text"))
-    out = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_k_id")) & (F.col("_hash") == F.col("_k_hash")), "left_semi")
-    return out.dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    """One document of each group, with the columns of docs: that with the least id. Rows that repeat an id and text
+    are one document.
+
+    Null, empty and wordless texts link with nothing and stay. A null id is never least: a group without another keeps
+    the documents of null id. An empty table gives an empty result; columns may have any names.
+    """
+    k_id, k_hash, own = (unused(docs.columns, n) for n in ("_k_id", "_k_hash", "_own_hash"))
+    kept = near_duplicates(docs, percent=percent, size=size).where("kept").select(F.col("doc_id").alias(k_id), F.col("text_hash").alias(k_hash)).distinct()
+    marked = docs.withColumn(own, F.xxhash64("text"))
+    out = marked.join(kept, F.col("doc_id").eqNullSafe(F.col(k_id)) & (F.col(own) == F.col(k_hash)), "left_semi")
+    return out.dropDuplicates(["doc_id", own]).drop(own)

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..shipping import ship
 from . import textnum
+from .names import unused, unused_prefix
 
 #: Family of each language code; a code that is not here is a family of its own. Fixed values.
 FAMILIES = {
@@ -27,13 +28,17 @@ FAMILIES = {
 }
 #: Hash buckets of the 1-, 2- and 3-grams.
 DIMENSIONS = 1 << 13
-#: Bounds of the training sample: rows a language, and characters of a row (longer rows are not drawn).
+#: Bounds of the training sample: rows a language, languages (the most frequent), and characters of a row (longer rows
+#: are not drawn).
 ROWS = 600
+MOST_LANGUAGES = 256
 MOST_CHARS = 20_000
 EPOCHS = 12
 #: A document goes when its language's score is below this.
 LEAST_SCORE = 0.15
 UNKNOWN = "und"
+#: Parts of a language that are ranked apart before its best rows are.
+PARTS = 64
 SEGMENT = 1 << 20
 
 _GRAM = (textnum.spread(3, 5) | np.uint64(1)).astype(np.uint32)
@@ -181,34 +186,38 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def sample(labelled: DataFrame, rows: int = ROWS, most_chars: int = MOST_CHARS) -> list[tuple[str, str]]:
-    """Whole texts of at most ``rows`` rows a language: those with the least hashes of their ids.
+    """Whole texts of at most ``rows`` rows a language: those with the least hashes of id and text.
 
-    The bounds hold whatever the input; rows that share an id at the boundary come along.
+    The bounds hold whatever the ids: of equal hashes no more than ``rows`` are taken. Ranks are made in two steps,
+    within parts of a language and then among the best of its parts, so that no task sees all rows of a language.
     """
-    few = labelled.where((F.length("text") <= most_chars) & F.col("lang").isNotNull()).withColumn(
-        "h", F.xxhash64(F.col("doc_id").cast("string"))
+    few = labelled.where((F.length("text") <= most_chars) & F.col("lang").isNotNull()).select(
+        "lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("draw")
     )
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    ends = few.select("lang", "h").withColumn("k", rank).where(F.col("k") <= rows).groupBy("lang").agg(F.max("h").alias("end")).collect()
-    if not ends:
-        return []
+    names = [r["lang"] for r in few.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
+    slim = few.where(F.col("lang").isin(names)).select("lang", "draw", F.pmod("draw", F.lit(PARTS)).alias("part"))
+    best = lambda df, *by: df.withColumn("k", F.row_number().over(W.partitionBy(*by).orderBy("draw"))).where(F.col("k") <= rows)
+    ends = best(best(slim, "lang", "part"), "lang").groupBy("lang").agg(F.max("draw").alias("end")).collect()
     inside = F.lit(False)
     for lang, end in ends:
-        inside = inside | ((F.col("lang") == F.lit(lang)) & (F.col("h") <= F.lit(end)))
-    return [(r["text"], r["lang"]) for r in few.where(inside).select("lang", "text").collect()]
+        inside = inside | ((F.col("lang") == F.lit(lang)) & (F.col("draw") <= F.lit(end)))
+    # Below the last hash there are fewer than ``rows``; rows that share it are ranked once more.
+    spread = few.where(inside).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
+    return [(r["text"], r["lang"]) for r in best(best(spread, "lang", "part"), "lang").select("lang", "text").collect()]
 
 
 def classify(docs: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
     """All columns of docs plus ``lang_pred`` and ``score`` under a prefix (replacing columns of those names).
 
-    A text that is null or has no letter is ``und`` with score 0, as is every text where nothing was learned.
+    A text that is null or has no letter is ``und`` with score 0, as is every text where nothing was learned. Of equal
+    margins or votes the first language by name is taken.
     Prediction reads the whole text and nothing else; equal texts get equal results.
     """
     ship(docs.sparkSession)
     lang, score = f"{prefix}lang_pred", f"{prefix}score"
     rest = [c for c in docs.columns if c not in (lang, score)]
     readable = F.when(F.col(f"`{text}`").rlike(r"\p{L}"), F.col(f"`{text}`"))
-    given = docs.select(readable.alias("_read"), *[F.col(f"`{c}`") for c in rest])
+    given = docs.select(readable.alias(unused(docs.columns, "_read")), *[F.col(f"`{c}`") for c in rest])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,7 +253,14 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 
 def keep_documents(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """Documents in a language that was learned, with their own columns; ``und`` and unsure ones go."""
+    """Documents in a language that was learned, with their own columns; ``und`` and unsure ones go.
+
+    A text that is null, empty or without letters goes, as do all where nothing was learned; a null lang or id is no
+    hindrance to stay. Equal rows stay or go together; an empty table gives an empty result; columns may have any
+    names.
+    """
     model = train(sample(docs.where(~held_out())))
-    out = classify(docs, model, prefix="_id_")
-    return out.where((F.col("_id_lang_pred") != UNKNOWN) & (F.col("_id_score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    prefix = unused_prefix(docs.columns, "_id_")
+    out = classify(docs, model, prefix=prefix)
+    good = (F.col(f"`{prefix}lang_pred`") != UNKNOWN) & (F.col(f"`{prefix}score`") >= least)
+    return out.where(good).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .names import unused_prefix
+
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 
@@ -149,9 +151,11 @@ def keep_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "
     """The documents that pass, with their own columns only.
 
     The verdict feeds a generator that gives one row or none: a filter on it would be pushed below the projection,
-    where every reference to a measure is worked out anew.
+    where every reference to a measure is worked out anew. A null or empty text goes; equal rows stay or go together;
+    an empty table gives an empty result; columns may have any names.
     """
-    out = apply_rules(docs, rules, text, prefix="_rule_")
-    once = F.when(F.col("_rule_kept"), F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))
+    prefix = unused_prefix(docs.columns, "_rule_")
+    out = apply_rules(docs, rules, text, prefix=prefix)
+    once = F.when(F.col(f"{prefix}kept"), F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))
     own = [F.col(f"`{c}`") for c in docs.columns]
-    return out.select(*own, F.explode(once).alias("_rule_once")).select(*own)
+    return out.select(*own, F.explode(once).alias(f"{prefix}once")).select(*own)
