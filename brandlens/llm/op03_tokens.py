@@ -4,9 +4,11 @@ The splitting pattern of byte-level BPE looks at no more than a few neighbouring
 sliding window over character classes. Inside a piece the merges are a deterministic transducer over bytes: a state
 holds, for each suffix that may still grow into a token, the token before that suffix, and every transition carries
 the change in the number of emitted tokens. States are made when first met and kept in one table, which starts anew
-when it is full. Texts are cut into chunks of equal length that advance together: a chunk whose start state is
-unknown has a constant state map from its first piece on. The bytes before are resolved in order, once the end state of
-the chunk before is known: a piece of many chunks takes as many rounds. No maps of whole chunks are composed.
+when it is full. Texts are cut into chunks of equal length that advance together, each from the state in which a piece
+begins. A chunk's state map takes the states in which it may be entered to those in which it ends, with the changes on
+the way; a map that holds a piece start is constant. Entries are the ends of the chunk before: maps grow, all at once,
+until every end of a map is an entry of the next one. Then the maps are composed by a parallel prefix scan, in as many
+steps as the logarithm of the chunks of a piece, which tells the state in which each chunk really is entered.
 
 It rests on a property of BPE: a token sequence is the encoding of its bytes exactly if each adjacent pair is the
 encoding of its own bytes.
@@ -105,6 +107,8 @@ class Transducer:
             self.ranks[raw(left), raw(right)] = rank
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
         self.most_states = most_states
+        #: Arrays of states that are renumbered when the table starts anew.
+        self.pinned: list[np.ndarray] = []
         self.trie: list[dict[int, int]] = [{}]
         self.ends: list[int] = [-1]
         for token, i in self.tokens.items():
@@ -215,11 +219,15 @@ class Transducer:
         return after, self.change.ravel()[at]
 
     def _anew(self, states: np.ndarray) -> np.ndarray:
-        """Empties the table but for the states in use; their new numbers."""
-        live, place = np.unique(states, return_inverse=True)
+        """Empties the table but for the states in use and those pinned; the new numbers of those in use."""
+        live, place = np.unique(np.concatenate([states, *self.pinned]), return_inverse=True)
         keys = [self.keys[i] for i in live]
         self._empty()
-        return np.array([DEAD if not k else self._state(k) for k in keys], states.dtype)[place]
+        fresh, low = np.array([DEAD if not k else self._state(k) for k in keys], states.dtype)[place], len(states)
+        for pin in self.pinned:
+            pin[:] = fresh[low : low + len(pin)]
+            low += len(pin)
+        return fresh[: len(states)]
 
     def changes(self, buf: np.ndarray, starts: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
         """For each byte, the change in the number of tokens; starts marks the pieces, the first byte begins one."""
@@ -229,34 +237,72 @@ class Transducer:
         text = np.concatenate([buf, np.zeros(pad, np.uint8)]).reshape(lanes, chunk).T.astype(np.int64)
         mark = np.concatenate([starts, np.ones(pad, bool)]).reshape(lanes, chunk).T.copy()
         out = np.zeros((chunk, lanes), np.int8)
-        self.exits = states = np.full(lanes, DEAD, np.int64)
+        states = np.full(lanes, START, np.int64)
         for j in range(chunk):
             states, out[j] = self.step(np.where(mark[j], START, states), text[j])
-        # In order: the bytes before a chunk's first piece start from the state that the chunk before ends in.
+        # Maps are needed of the bytes before a chunk's first piece start, where there are any.
         head = np.where(mark.any(axis=0), mark.argmax(axis=0), chunk)
-        ends = states.astype(np.int64)
-        waiting = np.flatnonzero(head[1:] > 0) + 1
-        while len(waiting):
-            known = waiting[ends[waiting - 1] != DEAD]
-            waiting = np.setdiff1d(waiting, known, assume_unique=True)
-            # Keys outlast a table that starts anew; numbers do not.
-            live, place = np.unique(ends, return_inverse=True)
-            keys = [self.keys[i] for i in live]
-            states, lane, j = ends[known - 1], known, 0
-            whole = []
-            while len(lane):
-                states, out[j, lane] = self.step(states, text[j, lane])
-                states, j = states.astype(np.int64), j + 1
-                done = head[lane] <= j
-                if j == chunk:
-                    whole = [(int(x), self.keys[s]) for x, s in zip(lane, states)]
-                    break
-                lane, states = lane[~done], states[~done]
-            ends = np.array([DEAD if not k else self._state(k) for k in keys], np.int64)[place]
-            for x, key in whole:
-                ends[x] = self._state(key)
+        waits = np.flatnonzero(head > 0)
+        if len(waits):
+            self._resolve(text, head, waits, states.astype(np.int64), out)
         return out.T.reshape(-1)[:n]
 
+    def _resolve(self, text: np.ndarray, head: np.ndarray, waits: np.ndarray, ends: np.ndarray, out: np.ndarray) -> None:
+        """Puts the changes of the bytes before each waiting chunk's first piece start right. ends: of all chunks, had
+        they begun a piece."""
+        chunk, lanes = out.shape
+        through = head == chunk
+        # A link of a map: a chunk, an entry, the end it leads to (its own where a piece starts in it), the changes.
+        lane, entry = waits, ends[waits - 1]
+        all_lane, all_entry, all_end, all_steps = [], [], [], []
+        known = {(int(x), self.keys[e]) for x, e in zip(lane, entry)}
+        while len(lane):
+            self.pinned = [ends, entry, *all_entry, *all_end]
+            end, steps = self._heads(text, head, lane, entry)
+            all_lane.append(lane)
+            all_entry.append(entry)
+            all_end.append(end)
+            all_steps.append(steps)
+            # Ends of maps without a piece start that the next chunk's map does not take yet.
+            on = np.flatnonzero(through[lane] & (lane + 1 < lanes))
+            on = on[head[lane[on] + 1] > 0]
+            new = [i for i in on if (key := (int(lane[i]) + 1, self.keys[end[i]])) not in known and not known.add(key)]
+            lane, entry = lane[new] + 1, end[new]
+        self.pinned = []
+        lane, entry, end = np.concatenate(all_lane), np.concatenate(all_entry), np.concatenate(all_end)
+        steps = np.concatenate(all_steps, axis=1)
+        # Links in order of chunk and entry; the link that each leads to, or a last one that leads to itself.
+        order = np.lexsort((entry, lane))
+        wide = np.int64(len(self.keys))
+        key = lane[order] * wide + entry[order]
+        goal = np.where(through[lane[order]], (lane[order] + 1) * wide + end[order], -1)
+        at = np.minimum(np.searchsorted(key, goal), len(key) - 1)
+        jump = np.append(np.where(key[at] == goal, at, len(key)), len(key))
+        # A chunk behind one with a piece start is entered as assumed; the scan doubles its reach each step.
+        first = ~through[lane[order] - 1]
+        real = np.append(first & (entry[order] == ends[lane[order] - 1]), False)
+        while True:
+            reached = real.copy()
+            reached[jump[real]] = True
+            reached[-1] = False
+            if (reached == real).all() and (jump[:-1] == len(key)).all():
+                break
+            real, jump = reached, jump[jump]
+        chosen = order[real[:-1]]
+        for x, j in zip(lane[chosen], chosen):
+            out[: head[x], x] = steps[: head[x], j]
+
+    def _heads(self, text: np.ndarray, head: np.ndarray, lane: np.ndarray, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after the bytes before each chunk's first piece start, from the given entries, and the changes."""
+        end, steps = entry.copy(), np.zeros((len(text), len(lane)), np.int8)
+        self.pinned.append(end)
+        live = np.arange(len(lane))
+        for j in range(int(head[lane].max())):
+            live = live[head[lane[live]] > j]
+            states, steps[j, live] = self.step(end[live], text[j, lane[live]])
+            end[live] = states
+        return end, steps
+
     def counts(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Tokens of each text. A special string is one token and splits its text."""
         if not len(buf):

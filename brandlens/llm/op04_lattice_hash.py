@@ -2,8 +2,8 @@
 
 Each table projects the vectors onto eight random orthonormal directions and decodes the result to the nearest
 point of the E8 lattice: a cell. A vector enters under its own cell in every table and asks for the neighbouring
-cells nearest to it as well. Vectors that meet are verified by their cosine in double precision, in blocks, and a
-pair counts in the first cell in which it meets only.
+cells nearest to it as well. Vectors that meet are verified by their cosine in double precision, in blocks; a pair
+that meets in several cells is one link.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from itertools import combinations, product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
@@ -197,6 +197,15 @@ def _verify(least: float):
     return run
 
 
+def _label(vectors: DataFrame, name: str) -> Column:
+    """A number for each label: whole numbers stand for themselves, others are hashed."""
+    column, kind = F.col(f"`{name}`"), vectors.select(F.col(f"`{name}`")).schema[0].dataType.typeName()
+    if kind in ("byte", "short", "integer", "long"):
+        return column.cast("long")
+    # Adding zero makes the two zeros one.
+    return F.when(column.isNotNull(), F.xxhash64(column + F.lit(0.0) if kind in ("float", "double") else column))
+
+
 def near_vectors(
     vectors: DataFrame,
     key: str = "vec_id",
@@ -208,14 +217,14 @@ def near_vectors(
 ) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of vectors.
 
-    Rows are compared when their labels are equal and not null; those with a cosine of at least ``least`` that the
+    Rows are compared when their labels, of any type, are equal and not null (told apart by 64-bit hashes); those with a cosine of at least ``least`` that the
     tables find are linked, none below it. Vectors that are null, empty, zero or hold null or non-finite components
     link with nothing. Equal vectors under a label are one node with a count, so copies cost nothing. Vectors of
-    different dimension do not meet. A null id is never smallest. An empty table gives an empty result; other
-    columns are not looked at.
+    different dimension do not meet. A cosine of exactly ``least`` links. A null id is never smallest; rows that repeat
+    an id are vectors like others. An empty table gives an empty result; other columns are not looked at.
     """
     stash = Stash(vectors.sparkSession, "vectors")
-    rows = vectors.select(F.col(f"`{key}`").alias("vec_id"), F.col(f"`{embedding}`").alias("embedding"), F.col(f"`{label}`").cast("long").alias("label"))
+    rows = vectors.select(F.col(f"`{key}`").alias("vec_id"), F.col(f"`{embedding}`").alias("embedding"), _label(vectors, label).alias("label"))
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = F.coalesce(F.col("label").isNotNull() & (F.size("embedding") > 0) & sound & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("usable", usable)

@@ -2,7 +2,9 @@
 
 Records are ordered by a key of their text's checksum and a hash of their id, so that equal texts lie together
 while no key is heavy. A size-weighted sample of keys gives quantile boundaries, ranges that turn out overfull are
-cut again by a denser sample of their own, and running sizes inside each range give every record its place.
+cut again by a denser sample of their own, and running sizes inside each range give every record its place. Records
+that are equal in all of key, id, size and checksum are one row with a count until the end, so that no number of them
+makes a range that cannot be cut.
 """
 
 from __future__ import annotations
@@ -14,8 +16,10 @@ from pyspark.sql import functions as F
 from .storage import Stash
 
 SHARDS = 16
-#: Ranges that the first sample cuts; sampled keys a range. Both bound what reaches the driver.
+#: The first sample cuts ranges of about RANGE_BYTES, RANGES at least; sampled keys a range. One number a range
+#: reaches the driver.
 RANGES = 256
+RANGE_BYTES = 8 << 30
 SAMPLES = 16
 #: A range above so many times its even share is cut again.
 OVERFULL = 1.5
@@ -100,30 +104,31 @@ def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str
     """
     stash = Stash(docs.sparkSession, "shard")
     crc = F.crc32(F.col(f"`{text}`")).cast("long")
-    slim = stash.put(
-        "slim",
-        docs.select(F.col(f"`{key}`").alias("doc_id"), size_of(f"`{text}`").alias("size"), crc.alias("text_crc32")).withColumn(
-            "key", range_key(F.col("text_crc32"), F.col("doc_id"))
-        ),
-    )
+    single = docs.select(F.col(f"`{key}`").alias("doc_id"), size_of(f"`{text}`").alias("each"), crc.alias("text_crc32"))
+    single = single.withColumn("key", range_key(F.col("text_crc32"), F.col("doc_id")))
+    alike = single.groupBy("key", "doc_id", "each", "text_crc32").agg(F.count("*").alias("times"))
+    slim = stash.put("slim", alike.withColumn("size", F.col("each") * F.col("times")))
     total = slim.agg(F.sum("size")).first()[0] or 0
-    splitters = splitters_of(slim, total, ranges) if total else []
-    stats = {r["range"]: (r["bytes"], r["n"]) for r in _stats(slim, splitters)}
+    splitters = splitters_of(slim, total, max(ranges, -(-total // RANGE_BYTES))) if total else []
+    stats = {r["range"]: r["bytes"] for r in _stats(slim, splitters)}
     offset, bytes_before = 0, {}
     for r in sorted(stats):
         bytes_before[r] = offset
-        offset += stats[r][0]
+        offset += stats[r]
     base = _lookup(bytes_before)
-    within = W.partitionBy("range").orderBy("key", "doc_id", "size", "text_crc32")
+    within = W.partitionBy("range").orderBy("key", "doc_id", "each", "text_crc32").rowsBetween(W.unboundedPreceding, 0)
     placed = slim.withColumn("range", _range_of(F.col("key"), splitters)).withColumns(
         {
-            "row": F.row_number().over(within),
-            "begin": F.get(base, F.col("range")) + F.sum("size").over(within.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"),
+            "row": F.sum("times").over(within) - F.col("times"),
+            "begin": F.get(base, F.col("range")) + F.sum("size").over(within) - F.col("size"),
         }
     )
-    # A record belongs where its middle byte lies.
-    place = F.floor((2 * F.col("begin") + F.col("size")).cast("decimal(38,0)") * shards / (2 * max(total, 1)))
-    placed = stash.put("placed", placed.withColumn("shard", F.least(place, F.lit(shards - 1)).cast("int")).drop("begin"))
+    # Of equal records, one after the other; a record belongs where its middle byte lies.
+    spread = placed.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    middle = (2 * (F.col("begin") + F.col("i") * F.col("each")) + F.col("each")).cast("decimal(38,0)")
+    place = F.floor(middle * shards / (2 * max(total, 1)))
+    spread = spread.select("doc_id", F.col("each").alias("size"), "text_crc32", "range", (F.col("row") + F.col("i")).alias("row"), F.least(place, F.lit(shards - 1)).cast("int").alias("shard"))
+    placed = stash.put("placed", spread)
     pieces = sorted(placed.groupBy("range", "shard").agg(F.count("*").alias("n"), F.min("row").alias("first")).collect())
     taken: dict[int, int] = {}
     shift = {}
@@ -144,6 +149,6 @@ def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str
 
 
 def _lookup(values: dict[int, int]) -> Column:
-    """The values at their keys as one array literal; there are at most a few thousand keys."""
+    """The values at their keys as one array literal; there are as many keys as ranges, times shards at most."""
     top = max(values, default=0)
     return F.array(*[F.lit(values.get(i, 0)).cast("long") for i in range(top + 1)])
