@@ -10,18 +10,22 @@ import argparse
 import importlib
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from .functions.urls import default_sitemap
 from .plans import jobs
-from .sources.lake import Lake
+from .sources import sitemap
+from .sources.clients import robots_text
+from .sources.lake import Lake, recorded_runs
 
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="brandlens")
     commands = top.add_subparsers(dest="job", required=True)
     for name, words in (
-        ("scrape", {"url": None, "mode": "quick", "quick-cap": 15, "robots": ""}),
+        ("scrape", {"url": None, "mode": "quick", "quick-cap": 15, "delay": 300, "timeout": 10, "retries": 2, "concurrency": 3}),
         ("questions", {"brand": None, "competitors": ""}),
-        ("aeo", {"brand": None, "competitors": None, "category": None, "mode": "quick"}),
+        ("aeo", {"brand": None, "competitors": None, "category": None, "mode": "quick", "prompts": 0, "runs": 0, "include-questions": "", "questions-runs": 2, "questions-limit": 0, "recorded": "", "delay": 500, "timeout": 30, "retries": 2}),
         ("clusters", {"method": "taxonomy"}),
     ):
         command = commands.add_parser(name)
@@ -44,17 +48,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if args.job in ("scrape", "aeo") and clients is None:
         raise SystemExit("--clients is needed")
     if args.job == "scrape":
-        from .sources import sitemap
-
-        _, xml = clients.fetch(args.url.rstrip("/") + "/sitemap.xml")
-        found = sitemap.entries(lake.spark.createDataFrame([(0, xml)], "ord int, xml string"))
-        entries = found.selectExpr("CAST(at AS BIGINT) AS ord", "loc AS url", "priority")
-        jobs.scrape(lake, args.product, entries, args.robots, clients.fetch, args.quick_cap if args.mode == "quick" else None)
+        root = lake.spark.range(1).select(default_sitemap(F.lit(args.url))).first()[0]
+        entries, xml = sitemap.site_entries(lake.spark, root, clients.fetch)
+        robots, cap = robots_text(args.url, clients.fetch), args.quick_cap if args.mode == "quick" else None
+        pacing = {"delay": args.delay / 1000, "timeout": float(args.timeout), "retries": args.retries}
+        jobs.scrape(lake, args.product, entries, robots, clients.fetch, cap, xml, tasks=args.concurrency, **pacing)
     elif args.job == "questions":
-        jobs.make_questions(lake, args.product, args.brand, names(args.competitors))
+        print(jobs.make_questions(lake, args.product, args.brand, names(args.competitors)))
     elif args.job == "aeo":
         count, runs = (10, 3) if args.mode == "quick" else (24, 6)
-        print(jobs.audit(lake, args.product, args.brand, names(args.competitors), args.category, clients.ask, count, runs))
+        asked = {"include": args.include_questions or None, "question_runs": args.questions_runs, "question_limit": args.questions_limit or None}
+        asked["recorded"] = recorded_runs(lake, args.recorded) if args.recorded else None
+        pacing = {"delay": args.delay / 1000, "timeout": float(args.timeout), "retries": args.retries}
+        print(jobs.audit(lake, args.product, args.brand, names(args.competitors), args.category, clients.ask, args.prompts or count, args.runs or runs, **asked, **pacing))
     else:
         jobs.cluster(lake, args.product, clients.ask if args.method == "llm" else None).show(50, False)
 

@@ -29,6 +29,7 @@ class _Page(HTMLParser):
         self.title: list[str] | None = None
         self.titled = False
         self.meta: dict[str, str] = {}
+        self.properties: dict[str, str] = {}
         self.headings: list[list] = []
         self.paragraphs: list[list[str]] = []
         self.links: list[tuple[str, bool]] = []
@@ -42,8 +43,8 @@ class _Page(HTMLParser):
         while self.open and tag in CLOSED_BY.get(self.open[-1], ()):
             self.open.pop()
         if tag == "meta":
-            name = a.get("name", "").lower() or a.get("property", "").lower()
-            self.meta.setdefault(name, a.get("content", ""))
+            self.meta.setdefault(a.get("name", ""), a.get("content", ""))
+            self.properties.setdefault(a.get("property", ""), a.get("content", ""))
         elif tag == "a" and "href" in a:
             self.links.append((a["href"], "main" in self.open or "article" in self.open))
         elif tag == "img":
@@ -130,7 +131,7 @@ def parse_page(url: str | None, html: str | None) -> dict:
             host = None
         if inside and host is not None and host != own:
             cited += 1
-        if not href.startswith(("#", "mailto:", "tel:")):
+        if href and not href.startswith(("#", "mailto:", "tel:")):
             outside = host is not None and host != own
             external, internal = external + outside, internal + (not outside)
     types = []
@@ -158,8 +159,8 @@ def parse_page(url: str | None, html: str | None) -> dict:
         "tables": page.tables,
         "definition_lists": page.dls,
         "has_author": bool(page.author or page.meta.get("author", "").strip() or by),
-        "has_publish_date": bool(page.meta.get("article:published_time") or page.dated or '"datePublished":' in raw),
-        "has_update_date": bool(page.meta.get("article:modified_time") or '"dateModified":' in raw),
+        "has_publish_date": bool("article:published_time" in page.properties or page.dated or re.search(r'"datePublished"\s*:', raw)),
+        "has_update_date": bool("article:modified_time" in page.properties or re.search(r'"dateModified"\s*:', raw)),
     }
 
 

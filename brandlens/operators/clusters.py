@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from .questions import ARTIFACTS
 
+#: Terms that a model groups, at most.
+MODEL_TERMS = 50
 # Themes and their keywords.
 TAXONOMY = {
     "AI & Automation": "agent agents ai automate automation automated assistant workflow workflows bot bots worker workers",
@@ -34,28 +38,40 @@ def cluster_terms(tagcloud: DataFrame, taxonomy: DataFrame) -> DataFrame:
     return tagcloud.where(~F.col("term").isin(ARTIFACTS)).join(taxonomy, "term", "left").select("theme", "term", "score")
 
 
+def candidate_terms(tagcloud: DataFrame, top: int = MODEL_TERMS) -> DataFrame:
+    """The best terms of a tag cloud that are no artifacts: what a model is asked to group."""
+    return tagcloud.where(~F.col("term").isin(ARTIFACTS)).orderBy(F.desc("score"), "term").limit(top)
+
+
+def grouping_prompt(terms: Sequence[str]) -> str:
+    """What a model is asked; its answer is read by parse_themes."""
+    return (
+        "Group these site terms into themes. Use only terms of the list, each at most once; leave out what fits nowhere.\n"
+        'Answer with JSON only: {"themes": [{"name": "...", "terms": ["..."]}], "unclustered": ["..."]}\n'
+        "Terms: " + ", ".join(terms)
+    )
+
+
 def parse_themes(text: str | None) -> list[tuple[str, str, int]]:
-    """(theme, term, ord) of a model's answer; an answer of another shape gives none."""
-    if text is None:
-        return []
-    body = text.strip()
-    if "```" in body:
-        body = body.split("```")[1].removeprefix("json")
+    """(theme, term, ord) of a model's answer: an object with lists ``themes`` and ``unclustered``, perhaps in a code
+    fence. An answer of another shape gives none."""
+    fence = re.search(r"```(?:json)?\s*([\s\S]*?)```", text or "")
     try:
-        found = json.loads(body)
-        themes = found["themes"] if isinstance(found, dict) else found
-        pairs = [(str(t["name"]), str(x)) for t in themes for x in t["terms"]]
+        found = json.loads((fence.group(1) if fence else text or "").strip())
+        if not isinstance(found, dict) or not isinstance(found.get("themes"), list) or not isinstance(found.get("unclustered"), list):
+            return []
+        pairs = [(str(t["name"]), str(x)) for t in found["themes"] for x in t["terms"]]
     except (ValueError, KeyError, TypeError):
         return []
     return [(name, term, i) for i, (name, term) in enumerate(pairs)]
 
 
-def cluster_terms_by_model(tagcloud: DataFrame, answer: str | None, top: int = 50) -> DataFrame:
+def cluster_terms_by_model(tagcloud: DataFrame, answer: str | None, top: int = MODEL_TERMS) -> DataFrame:
     """Like cluster_terms, with themes from a model: invented terms are dropped, the first theme to claim a term has it."""
     spark = tagcloud.sparkSession
     claims = spark.createDataFrame(parse_themes(answer), "theme string, term string, ord int")
     first = claims.withColumn("k", F.row_number().over(W.partitionBy("term").orderBy("ord"))).where("k = 1").select("theme", "term")
-    best = tagcloud.where(~F.col("term").isin(ARTIFACTS)).orderBy(F.desc("score"), "term").limit(top)
+    best = candidate_terms(tagcloud, top)
     return best.join(first, "term", "left").select("theme", "term", "score")
 
 
@@ -101,4 +117,5 @@ def sankey(per_theme: DataFrame) -> DataFrame:
 
 
 def dashboard_totals(clustered: DataFrame) -> DataFrame:
+    """(n_themes, n_unclustered) of one clustering."""
     return clustered.agg(F.countDistinct("theme").alias("n_themes"), F.count(F.when(F.col("theme").isNull(), 1)).alias("n_unclustered"))

@@ -85,9 +85,9 @@ def dimension_breakdown(runs: DataFrame, mentions: DataFrame, brands: DataFrame,
     flat = runs.select(run, F.explode(both).alias("d")).select(run, "d.*").where("value is not null")
     totals = flat.groupBy("dimension", "value").agg(F.count("*").alias("run_count"))
     hits = flat.join(mentions.select(run, "brand"), run).groupBy("dimension", "value", "brand").agg(F.count("*").alias("n"))
-    names = brands.agg(F.sort_array(F.collect_list(F.struct("brand_ord", "brand"))).alias("names"))
-    listed = [r["brand"] for r in names.first()["names"]]
-    dense = totals.withColumn("brand", F.explode(F.array(*[F.lit(b) for b in listed])))
+    # Every value gets the one list of brands, a row of an array; the list is a table of its own size, checked by Spark.
+    listed = brands.agg(F.collect_set("brand").alias("brands")).withColumn("one", F.lit(1))
+    dense = totals.withColumn("one", F.lit(1)).join(listed, "one").select("dimension", "value", "run_count", F.explode("brands").alias("brand"))
     return dense.join(hits, ["dimension", "value", "brand"], "left").select(
         "dimension", "value", "brand", (F.coalesce("n", F.lit(0)) / F.col("run_count")).alias("share_of_voice"), "run_count"
     )

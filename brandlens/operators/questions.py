@@ -72,7 +72,22 @@ MOST_HOOKS = 20
 
 # A claim's verbs, what they may address, and the audiences looked for; all may be replaced.
 DROPPED_VERBS = ("help", "helps", "helping")
-KEPT_VERBS = {v: b for b, vs in {"enable": "enable enables", "improve": "improve improves", "remove": "remove removes", "restore": "restore restores", "streamline": "streamline streamlines", "give": "give gives", "reduce": "reduce reduces"}.items() for v in vs.split()}
+KEPT_VERBS = {
+    "enable": "enable",
+    "enables": "enable",
+    "improve": "improve",
+    "improves": "improve",
+    "remove": "remove",
+    "removes": "remove",
+    "restore": "restore",
+    "restores": "restore",
+    "streamline": "streamline",
+    "streamlines": "streamline",
+    "give": "give",
+    "gives": "give",
+    "reduce": "reduce",
+    "reduces": "reduce",
+}
 OBJECTS = ("teams", "team", "you", "us", "people", "users", "companies", "everyone")
 ORG_TYPES = ("startups", "startup", "enterprises", "enterprise", "agencies", "agency")
 USER_TYPES = ("engineering teams", "engineering team", "product teams", "product team", "founders", "founder", "developers", "developer")
@@ -148,10 +163,10 @@ def site_hooks(tagcloud: DataFrame, exclude: Sequence[str] = (), most: int = MOS
 
 def scan_hooks(seo: DataFrame, geo: DataFrame, tagcloud: DataFrame, phrases: DataFrame, exclude: Sequence[str] = (), most: int = MOST_HOOKS) -> DataFrame:
     """(ord, hook, source, document_frequency, evidence): meta descriptions, definitions, tag cloud; the first of
-    equal hooks counts. phrases is (term, pos, page, snippet)."""
+    equal hooks counts, by the pages' ``ord`` where they have one, then by page. phrases is (term, pos, page, snippet)."""
     proof = "array<struct<url:string,snippet:string>>"
     alone = lambda c: F.array(F.struct(F.col("url"), F.col(c).alias("snippet"))).cast(proof)
-    row = lambda df, c, source, k: df.select(F.lit(k).alias("part"), F.monotonically_increasing_id().alias("n"), F.col(c).alias("hook"), F.lit(source).alias("source"), F.lit(1).cast("long").alias("document_frequency"), alone(c).alias("evidence"))
+    row = lambda df, c, source, k: df.select(F.lit(k).alias("part"), (F.col("ord").cast("long") if "ord" in df.columns else F.lit(0).cast("long")).alias("n"), F.col(c).alias("hook"), F.lit(source).alias("source"), F.lit(1).cast("long").alias("document_frequency"), alone(c).alias("evidence"))
     keep = lambda c: ~T.contains_excluded(F.col(c), exclude)
     meta = row(seo.where((F.length("meta_description") >= 20) & keep("meta_description")), "meta_description", "meta_description", 0)
     told = row(geo.where(F.col("definition").isNotNull() & keep("definition")), "definition", "definition", 1)
@@ -160,8 +175,8 @@ def scan_hooks(seo: DataFrame, geo: DataFrame, tagcloud: DataFrame, phrases: Dat
     shown = F.coalesce(F.transform("hits", lambda h: F.struct(h["url"].cast("string").alias("url"), h["snippet"].alias("snippet"))), F.array().cast(proof))
     cloud = top.select(F.lit(2).alias("part"), F.col("rank").alias("n"), F.col("term").alias("hook"), F.lit("tagcloud").alias("source"), "document_frequency", shown.alias("evidence"))
     every = meta.unionByName(told).unionByName(cloud)
-    once = every.withColumn("k", F.row_number().over(W.partitionBy("hook").orderBy("part", "n"))).where("k = 1")
-    return once.select(F.row_number().over(W.orderBy("part", "n")).cast("long").alias("ord"), "hook", "source", "document_frequency", "evidence")
+    once = every.withColumn("k", F.row_number().over(W.partitionBy("hook").orderBy("part", "n", "evidence"))).where("k = 1")
+    return once.select(F.row_number().over(W.orderBy("part", "n", "hook")).cast("long").alias("ord"), "hook", "source", "document_frequency", "evidence")
 
 
 def hook_questions(hooks: DataFrame) -> DataFrame:
@@ -204,13 +219,31 @@ def scan_claims(texts: DataFrame, exclude: Sequence[str] = (), least: int = 3) -
     rows = found.select("ord", "at", "url", "text", problem.alias("problem"), F.col("line").alias("snippet"))
     rows = rows.where((F.size(F.split("problem", r"\s+")) >= least) & ~T.contains_excluded(F.col("problem"), exclude))
     low = F.lower("text")
-    heard = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(a)), F.lit(a)) for a in (*ORG_TYPES, *USER_TYPES)]))
+    heard = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(a)), F.lit(a)) for a in (*USER_TYPES, *ORG_TYPES)]))
     grouped = rows.groupBy(F.lower("problem").alias("key")).agg(
         F.min(F.struct("ord", "at", "problem", heard.alias("audience"))).alias("first"), F.array_sort(F.collect_set(F.struct("url", "snippet"))).alias("evidence")
     )
     return grouped.select(F.row_number().over(W.orderBy("first.ord", "first.at", "key")).cast("long").alias("ord"), "first.problem", "first.audience", "evidence")
 
 
+def question_prompts(hook_questions: DataFrame | None, inferential: DataFrame | None, limit: int | None = None) -> DataFrame:
+    """(ord, id, text, source, template_id, stage): written questions as prompts that name the site's own claims.
+
+    Hook questions come first, then inferential ones, each in its order (their ``ord`` counts from 0). With both and a
+    limit each gets half and what the other lacks; with one, the first ``limit``.
+    """
+    sides = [(df, source) for df, source in ((hook_questions, "hook"), (inferential, "inferential")) if df is not None]
+    sizes = [df.count() for df, _ in sides]
+    if limit is not None:
+        sizes = list(question_quota(limit, *sizes)) if len(sides) == 2 else [min(limit, n) for n in sizes]
+    out, before = None, 0
+    for (df, source), n in zip(sides, sizes):
+        stage = F.col("stage") if "stage" in df.columns else F.lit(None).cast("string")
+        part = df.where(F.col("ord") < n).select((F.col("ord") + before).alias("ord"), "id", "text", F.lit(source).alias("source"), "template_id", stage.alias("stage"))
+        out, before = part if out is None else out.unionByName(part), before + n
+    return out
+
+
 def question_quota(limit: int, n_hooks: int, n_inferential: int) -> tuple[int, int]:
     """How many of each source a limit takes: half and half, either filling what the other lacks."""
     hooks = min(n_hooks, max((limit + 1) // 2, limit - n_inferential))

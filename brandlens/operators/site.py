@@ -68,23 +68,32 @@ def quick_urls(entries: DataFrame, cap: int, ord: str = "ord") -> DataFrame:
     return best.select("url", F.row_number().over(W.orderBy(*order)).cast("long").alias("pick"))
 
 
+def skipped_urls(entries: DataFrame, selected: DataFrame | None) -> DataFrame:
+    """(url) of the entries that a quick selection left out; none where all are taken."""
+    return (entries.join(selected, "url", "left_anti") if selected is not None else entries.limit(0)).select("url")
+
+
 def sitemap_coverage(entries: DataFrame, pages: DataFrame, selected: DataFrame | None = None) -> DataFrame:
-    """One row: total_urls, fetched_urls, broken_urls, skipped_urls (the last as a number; lists stay tables)."""
-    skipped = entries.join(selected, "url", "left_anti") if selected is not None else entries.limit(0)
-    return (
-        entries.agg(F.count("*").alias("total_urls"))
-        .join(ok_pages(pages).agg(F.count("*").alias("fetched_urls")))
-        .join(broken_pages(pages).agg(F.count("*").alias("broken_urls")))
-        .join(skipped.agg(F.count("*").alias("skipped_urls")))
-    )
+    """One row: total_urls, fetched_urls, broken_urls, skipped_urls as numbers; the lists are tables of their own."""
+    parts = {"total_urls": entries, "fetched_urls": ok_pages(pages), "broken_urls": broken_pages(pages), "skipped_urls": skipped_urls(entries, selected)}
+    every = None
+    for name, df in parts.items():
+        rows = df.select(F.lit(name).alias("part"))
+        every = rows if every is None else every.unionByName(rows)
+    return every.agg(*[F.count(F.when(F.col("part") == name, 1)).alias(name) for name in parts])
 
 
 def parsed(pages: DataFrame, id: str = "page_id") -> DataFrame:
     """Every page with its parsed struct flattened; the HTML is read once."""
-    own = [c for c in (id, "url") if c in pages.columns]
+    own = [c for c in (id, "ord", "url") if c in pages.columns]
     return pages.select(*own, parse_html(F.col("url"), F.col("html")).alias("h")).select(*own, "h.*")
 
 
+def _ord(pages: DataFrame) -> list[str]:
+    """The pages' order, where they have one, goes along with their signals."""
+    return ["ord"] if "ord" in pages.columns else []
+
+
 def heading_issues(headings: Column) -> Column:
     """Missing or repeated h1, and levels that are skipped going down."""
     level = lambda h: F.substring(h["tag"], 2, 1).cast("int")
@@ -103,6 +112,7 @@ def seo_signals(pages: DataFrame) -> DataFrame:
     """From parsed pages."""
     h1 = F.size(F.filter("headings", lambda h: h["tag"] == "h1"))
     return pages.select(
+        *_ord(pages),
         "url",
         "title",
         F.coalesce(F.length("title"), F.lit(0)).cast("long").alias("title_length"),
@@ -127,6 +137,7 @@ def geo_signals(pages: DataFrame) -> DataFrame:
     n, c, p = T.numbers(F.col("text")), T.comparatives(F.col("text")), T.promotional(F.col("text"))
     structure = F.col("lists") + F.col("tables") + F.col("definition_lists")
     return pages.select(
+        *_ord(pages),
         "url",
         F.coalesce(described, told).alias("definition"),
         n.alias("numbers"),
@@ -172,6 +183,7 @@ def aeo_score(share_of_voice: Column, sentiment: Column) -> Column:
     return T.round_half_up(0.6 * share_of_voice * 100 + 0.4 * ((sentiment + 1) / 2 * 100))
 
 
+# The sentences of the findings and actions.
 def _finding(when: Column, dimension: str, text: Column, impact: str, effort: str, action: str) -> Column:
     return F.when(when, F.struct(F.lit(dimension).alias("dimension"), text.alias("finding"), F.lit(impact).alias("impact"), F.lit(effort).alias("effort"), F.lit(action).alias("suggested_action")))
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 SITE_TOP, PAGE_TOP, PHRASE_TERMS, PHRASES, DENSITY_TOP = 50, 10, 30, 5, 10
+#: Parts of a site that are ranked apart before the best of them are.
+PARTS = 64
 
 
 def term_counts(pages: DataFrame, site: str = "site", page: str = "page", text: str = "text") -> DataFrame:
@@ -26,8 +28,10 @@ def site_tagcloud(pages: DataFrame, top: int = SITE_TOP, site: str = "site", pag
     terms = term_counts(pages, site, page, text).groupBy(site, "term").agg(F.count("*").alias("document_frequency"), F.sum("tf").alias("occurrences"))
     weight = F.log((F.col("n_pages") + 1) / (F.col("document_frequency") + 1)) + 1
     scored = terms.join(_idf(pages, site), site).withColumn("score", F.round(weight * F.col("occurrences"), 6))
-    rank = F.row_number().over(W.partitionBy(site).orderBy(F.desc("score"), "term"))
-    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top).select(site, "rank", "term", "score", "document_frequency", "occurrences")
+    # The vocabulary of one site may be everything: its parts are ranked first.
+    place = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.desc("score"), "term")).cast("long")
+    best = scored.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(PARTS))).withColumn("rank", place(site, "part")).where(F.col("rank") <= top)
+    return best.withColumn("rank", place(site)).where(F.col("rank") <= top).select(site, "rank", "term", "score", "document_frequency", "occurrences")
 
 
 def page_tagcloud(pages: DataFrame, top: int = PAGE_TOP, site: str = "site", page: str = "page", text: str = "text") -> DataFrame:
@@ -52,12 +56,15 @@ def keyword_density(pages: DataFrame, top: int = DENSITY_TOP, page: str = "page"
 def phrase_cloud(pages: DataFrame, terms: DataFrame, most: int = PHRASES, site: str = "site", page: str = "page", text: str = "text") -> DataFrame:
     """(site, term, pos, page, snippet): the first sentences of a site that hold a term as a word.
 
-    Sentences meet terms by their words in an equi-join; terms are plain tokens, and a token of a sentence is such a
-    word exactly if it is bounded in the ASCII sense, which is checked after the join.
+    A site's terms (a top list) are one array on its pages; each sentence looks for them in place, and only what is
+    found leaves its row, shortened. The first sentences are ranked within parts of the pages, then among those.
     """
-    lines = pages.select(site, page, F.posexplode(T.split_sentences(F.col(text))).alias("sentence", "line"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(T.TOKEN), F.lit(0)))
-    near = lines.withColumn("term", F.explode(words)).join(terms.select(site, "term"), [site, "term"])
-    hits = near.where(T.has_word(F.col("line"), F.col("term")))
-    rank = F.row_number().over(W.partitionBy(site, "term").orderBy(page, "sentence"))
-    return hits.withColumn("pos", rank.cast("long")).where(F.col("pos") <= most).select(site, "term", "pos", page, T.shorten(F.col("line")).alias("snippet"))
+    listed = terms.groupBy(site).agg(F.collect_set("term").alias("terms"))
+    lines = pages.join(listed, site).select(site, page, "terms", F.posexplode(T.split_sentences(F.col(text))).alias("sentence", "line"))
+    low = F.lower("line")
+    found = F.filter("terms", lambda t: F.contains(low, t))
+    hits = lines.select(site, page, "sentence", "line", F.explode(found).alias("term")).where(T.has_word(F.col("line"), F.col("term")))
+    hits = hits.select(site, "term", page, "sentence", T.shorten(F.col("line")).alias("snippet"), F.pmod(F.xxhash64(page), F.lit(PARTS)).alias("part"))
+    place = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(page, "sentence"))
+    first = hits.withColumn("pos", place(site, "term", "part")).where(F.col("pos") <= most)
+    return first.withColumn("pos", place(site, "term").cast("long")).where(F.col("pos") <= most).select(site, "term", "pos", page, "snippet")

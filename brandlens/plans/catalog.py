@@ -12,10 +12,15 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..operators import clusters, metrics, questions, site, tagcloud
 from ..shipping import ship
+from ..sources import sitemap
 
 #: Synthetic brands and themes: frequent tokens of the generated texts, frozen here.
 BRANDS = ["thtion", "thble", "thing", "ering", "antion"]
 THEMES = {"endings": "thtion tion ation ertion", "verbs": "thing ering inging", "others": "the thth and ther was"}
+STAGES = ["pain_only", "problem_framed", "comparing_with_criteria"]
+CLAIMS = [(0, "plan work", ["product teams", "startups"]), (1, "reduce noise", []), (2, "ship with focus", ["founders"])]
+#: Brands of a dashboard; the last has no mentions at all.
+PICKED = ["Brand#11", "Brand#22", "Brand#33", "Brand#44", "Brand#99"]
 ROBOTS = "User-agent: *\nDisallow: /de\nAllow: /de/blog\nDisallow: /fr # all\n\nUser-agent: other\nDisallow: /\n"
 
 
@@ -63,9 +68,9 @@ def brand_cooccurrence(spark, sf):
 
 def sov_by_dimension(spark, sf):
     runs = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.year("o_orderdate").alias("year"))
-    names = [r[0] for r in _t(spark, sf, "part").select("p_brand").distinct().orderBy("p_brand").collect()]
+    brands = _t(spark, sf, "part").select(F.col("p_brand").alias("brand")).distinct()
     found = _order_mentions(spark, sf).select("run_id", "brand")
-    return _rounded(metrics.dimension_breakdown(runs, found, metrics.brand_table(spark, names), ["status", "priority", "year"]))
+    return _rounded(metrics.dimension_breakdown(runs, found, brands, ["status", "priority", "year"]))
 
 
 def _site_pages(spark, sf):
@@ -149,7 +154,8 @@ def theme_clusters(spark, sf):
 
 
 def theme_answer_stats(spark, sf):
-    return clusters.theme_answers(_clustered(spark, sf), _runs(spark, sf)).drop("contexts")
+    found = clusters.theme_answers(_clustered(spark, sf), _runs(spark, sf))
+    return found.withColumn("contexts", F.array_join("contexts", " | "))
 
 
 def theme_sankey_edges(spark, sf):
@@ -204,12 +210,123 @@ def labels_quality_split(spark, sf):
     return d.groupBy("source", "lang").agg(F.count("*").alias("n"), F.round(F.avg("quality"), 6).alias("quality_rate"), F.round(F.avg("toxic"), 6).alias("toxic_rate"))
 
 
+def theme_treemap(spark, sf):
+    return _rounded(clusters.treemap(_clustered(spark, sf)))
+
+
+def cluster_totals(spark, sf):
+    return clusters.dashboard_totals(_clustered(spark, sf))
+
+
+def theme_questions(spark, sf):
+    asked = _t(spark, sf, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    return clusters.theme_questions(_clustered(spark, sf), asked)
+
+
+def brand_grounded_breakdown(spark, sf):
+    """Conversations as runs of the site's own questions: by turn of one source or the other, inferential ones by stage."""
+    turns = _t(spark, sf, "conversations").where("role = 'assistant' AND text IS NOT NULL")
+    hook = F.col("conv_id") % 2 == 0
+    stage = F.when(~hook, F.element_at(F.array(*[F.lit(x) for x in STAGES]), (F.col("conv_id") % 3 + 1).cast("int")))
+    runs = turns.select(F.concat_ws("-", "conv_id", "turn").alias("run_id"), "text", F.when(hook, "hook").otherwise("inferential").alias("source"), stage.alias("stage"))
+    found = metrics.extract_mentions(runs, BRANDS)
+    return _rounded(metrics.dimension_breakdown(runs, found, metrics.brand_table(spark, BRANDS), ["source", "stage"]))
+
+
+def question_prompts(spark, sf):
+    """Hook questions of the sites and inferential questions of three claims, 40 of both."""
+    hooks = questions.hook_questions(questions.site_hooks(tagcloud.site_tagcloud(_site_pages(spark, sf))))
+    claims = spark.createDataFrame(CLAIMS, "ord int, problem string, audience array<string>")
+    return questions.question_prompts(hooks, questions.inferential_questions(claims, BRANDS[1:4]), 40)
+
+
+def inferential_question_set(spark, sf):
+    claims = spark.createDataFrame(CLAIMS, "ord int, problem string, audience array<string>")
+    return questions.inferential_questions(claims, BRANDS[1:4])
+
+
+def link_classification(spark, sf):
+    ship(spark)
+    return site.parsed(_t(spark, sf, "pages")).select("page_id", "internal_links", "external_links", "outbound_citations")
+
+
+def seo_page_scores(spark, sf):
+    """The score of each page by its parsed signals, with its label."""
+    ship(spark)
+    signals = site.seo_signals(site.parsed(_t(spark, sf, "pages")))
+    score = site.seo_page_score()
+    return signals.select("url", F.round(score, 6).alias("score"), T.score_label(score).alias("label"))
+
+
+def seo_site_scores(spark, sf):
+    """The SEO score of each kind of page, three URLs of each being broken."""
+    ship(spark)
+    signals = site.seo_signals(site.parsed(_t(spark, sf, "pages"))).withColumn("kind", U.page_type(F.col("url")))
+    return signals.groupBy("kind").agg(site.seo_score(signals, 3).cast("long").alias("score"), F.sum("images_missing_alt").alias("missing_alt"))
+
+
+def _crawled(spark, sf):
+    status = F.when(F.col("page_id") % 11 == 0, F.lit(None)).when(F.col("page_id") % 7 == 0, 404).otherwise(200).cast("int")
+    return _t(spark, sf, "pages").select(F.col("page_id").alias("ord"), "url", status.alias("status"), F.when(F.col("page_id") % 13 == 0, "").otherwise(F.col("html")).alias("html"))
+
+
+def crawl_coverage(spark, sf):
+    """Pages as sitemap entries and as what a crawl brought, some broken; the quick choice skips the rest."""
+    pages = _crawled(spark, sf)
+    entries = pages.select("ord", "url", (F.col("ord") % 10 / 10.0).alias("priority"))
+    return site.sitemap_coverage(entries, pages, site.quick_urls(entries, 15))
+
+
+def crawl_url_lists(spark, sf):
+    """URLs by what became of them: fetched, broken, skipped by the quick choice."""
+    pages = _crawled(spark, sf)
+    entries = pages.select("ord", "url", (F.col("ord") % 10 / 10.0).alias("priority"))
+    parts = {"fetched": site.ok_pages(pages), "broken": site.broken_pages(pages), "skipped": site.skipped_urls(entries, site.quick_urls(entries, 15))}
+    rows = [df.select(F.lit(k).alias("state"), "url") for k, df in parts.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def sitemap_entries(spark, sf):
+    """Sitemaps of the pages' URLs, ten pages each, read back."""
+    node = F.concat(F.lit("<url><loc>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</loc>"), F.when(F.col("page_id") % 3 > 0, F.concat(F.lit("<priority>0."), F.col("page_id") % 10, F.lit("</priority>"))).otherwise(""), F.lit("</url>"))
+    docs = _t(spark, sf, "pages").groupBy(F.expr("page_id DIV 10").alias("ord")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", node.alias("node")))), lambda x: x["node"]), "").alias("nodes"))
+    found = sitemap.entries(docs.select("ord", F.concat(F.lit("<urlset>"), "nodes", F.lit("</urlset>")).alias("xml")))
+    return _rounded(found.select("ord", "at", "loc", "priority"))
+
+
+def text_measures(spark, sf):
+    """Word and sentence counts, long first sentences, definitions, and whether a promotional word is said."""
+    d = _t(spark, sf, "documents").where("text IS NOT NULL")
+    sentences = T.split_sentences(F.col("text"))
+    first = F.coalesce(F.get(sentences, F.lit(0)), F.lit(""))
+    return d.select("doc_id", T.word_count(F.col("text")).alias("words"), F.size(sentences).cast("long").alias("sentences"), T.is_long_form(first).alias("long_first"), T.contains_excluded(first, BRANDS).alias("names_brand"))
+
+
+def cross_audit(spark, sf):
+    """A dashboard's pick of one dimension's value for each of the first brands, 0 where it has none, best first."""
+    names = spark.createDataFrame([(b,) for b in PICKED], "brand string")
+    picked = sov_by_dimension(spark, sf).where("dimension = 'status' AND value = 'F'").select("brand", "share_of_voice")
+    out = names.join(picked, "brand", "left").select("brand", F.coalesce("share_of_voice", F.lit(0.0)).alias("value"))
+    return out.withColumn("place", F.row_number().over(W.orderBy(F.desc("value"), "brand")).cast("long"))
+
+
+def claims_of_answers(spark, sf):
+    """Problem clauses of sentences put together from each conversation's first words."""
+    word = F.element_at(F.split(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", "")), " +"), 1)
+    turns = _t(spark, sf, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.min_by(F.struct(word.alias("w")), "turn").alias("first"))
+    text = F.concat(F.lit("This tool helps teams plan "), F.col("first.w"), F.lit(" and track work. It reduces noise for product teams."))
+    told = turns.where("first.w <> ''").select(F.col("conv_id").alias("ord"), F.col("conv_id").cast("string").alias("url"), text.alias("text"))
+    return questions.scan_claims(told).select("problem", F.array_join("audience", ",").alias("audience"), F.size("evidence").cast("long").alias("evidence"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         mentions_text, brand_metrics_text, brand_metrics_orders, brand_cooccurrence, sov_by_dimension, tagcloud_site, tagcloud_page,
         keyword_density, phrase_cloud, geo_text_signals, page_index, robots_filter, quick_url_selection, html_signals, html_tag_counts,
         findings_priorities, geo_aeo_gaps, theme_clusters, theme_answer_stats, theme_sankey_edges, theme_sankey_asked, prompt_set, hook_question_set,
-        hook_question_set_full, prompt_run_groups, question_quota, labels_quality_split,
+        hook_question_set_full, theme_treemap, cluster_totals, theme_questions, brand_grounded_breakdown, question_prompts,
+        inferential_question_set, link_classification, seo_page_scores, seo_site_scores, crawl_coverage, crawl_url_lists, sitemap_entries,
+        text_measures, cross_audit, claims_of_answers, prompt_run_groups, question_quota, labels_quality_split,
     )
 }

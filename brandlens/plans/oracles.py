@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from ..functions import text as T
-from ..operators.questions import ARTIFACTS, ASKERS, MOST_HOOKS, SHORT
-from .catalog import BRANDS, THEMES
+from ..operators.questions import ARTIFACTS, ASKERS, ATTRIBUTES, CONTROL, INFERENTIAL, INTENTS, MOST_HOOKS, PERSONAS, SHORT
+from .catalog import BRANDS, CLAIMS, PICKED, STAGES, THEMES
 
 
 def _list(words) -> str:
@@ -108,8 +108,13 @@ len(regexp_extract_all(html, '(?i)<table[\s>]')) AS tables, len(regexp_extract_a
     "geo_aeo_gaps": f"WITH {MENTIONS}, {_cloud(chr(39) + 'all' + chr(39))}, vocab AS (SELECT DISTINCT unnest({TOKENS.replace('text', 'context')}) AS term FROM mentions WHERE brand = '{BRANDS[2]}') "
     "SELECT term, score AS site_score, term IN (SELECT term FROM vocab) AS mentioned_by_model FROM cloud WHERE rank <= 30",
     "theme_clusters": _CLUSTERED + " SELECT * FROM clustered",
-    "theme_answer_stats": _CLUSTERED + _STATS + """ SELECT theme, (SELECT count(*) FROM answers) AS runs_scanned, coalesce(n, 0) AS runs_mentioning
-FROM (SELECT DISTINCT theme FROM clustered WHERE theme IS NOT NULL) LEFT JOIN told USING (theme)""",
+    "theme_answer_stats": _CLUSTERED + _STATS + f""", spots AS (SELECT theme, run_id, min({{'ix': strpos(lower(a.text), term), 'term': term}}) AS m, any_value(a.text) AS text
+ FROM toks JOIN clustered USING (term) JOIN answers a USING (run_id) WHERE theme IS NOT NULL GROUP BY theme, run_id),
+seen AS (SELECT theme, row_number() OVER (PARTITION BY theme ORDER BY run_id) AS k,
+ trim(regexp_replace(substring(text, greatest(1, m.ix - {T.RADIUS}), m.ix + length(m.term) + {T.RADIUS} - greatest(1, m.ix - {T.RADIUS})), '\\s+', ' ', 'g')) AS c FROM spots),
+shown AS (SELECT theme, string_agg(c, ' | ' ORDER BY k) AS contexts FROM seen WHERE k <= 3 GROUP BY theme)
+SELECT theme, (SELECT count(*) FROM answers) AS runs_scanned, coalesce(n, 0) AS runs_mentioning, contexts
+FROM (SELECT DISTINCT theme FROM clustered WHERE theme IS NOT NULL) LEFT JOIN told USING (theme) LEFT JOIN shown USING (theme)""",
     "theme_sankey_edges": _CLUSTERED + _STATS + """, per AS (SELECT theme, count(*) AS v, CASE WHEN theme = 'verbs' THEN 'asked' ELSE 'not asked' END AS q,
 CASE WHEN coalesce(max(n), 0) > 0 THEN 'mentioned' ELSE 'not mentioned' END AS m FROM clustered LEFT JOIN told USING (theme) WHERE theme IS NOT NULL GROUP BY theme)
 SELECT source, target, sum(v)::BIGINT AS value FROM (SELECT theme AS source, q AS target, v FROM per UNION ALL SELECT q, m, v FROM per) GROUP BY ALL""",
@@ -126,8 +131,8 @@ FROM documents JOIN labels USING (doc_id) GROUP BY ALL""",
 ORACLE["phrase_cloud"] = f"""WITH {_cloud('source')},
 cut AS (SELECT site, page, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ss FROM pages_),
 lines AS (SELECT site, page, unnest(ss) AS line, unnest(range(len(ss))) AS sentence FROM cut),
-near AS (SELECT DISTINCT site, page, sentence, line, unnest(regexp_extract_all(lower(line), '{T.TOKEN}')) AS term FROM lines),
-hits AS (SELECT site, term, page, line, row_number() OVER (PARTITION BY site, term ORDER BY page, sentence) AS pos FROM near JOIN (SELECT site, term FROM cloud WHERE rank <= 30) USING (site, term)
+top AS (SELECT site, term FROM cloud WHERE rank <= 30),
+hits AS (SELECT lines.site, term, page, line, row_number() OVER (PARTITION BY lines.site, term ORDER BY page, sentence) AS pos FROM lines JOIN top ON lines.site = top.site AND contains(lower(line), term)
          WHERE regexp_matches(line, '(?i)\\b' || term || '\\b'))
 SELECT site, term, pos, page, CASE WHEN length(line) > {T.SNIPPET} THEN substring(line, 1, {T.SNIPPET}) || '…' ELSE line END AS snippet FROM hits WHERE pos <= 5"""
 
@@ -146,3 +151,117 @@ wanted AS (SELECT DISTINCT theme, true AS q FROM said JOIN clustered USING (term
 per AS (SELECT theme, count(*) AS v, CASE WHEN coalesce(bool_or(q), false) THEN 'asked' ELSE 'not asked' END AS q,
 CASE WHEN coalesce(max(n), 0) > 0 THEN 'mentioned' ELSE 'not mentioned' END AS m FROM clustered LEFT JOIN told USING (theme) LEFT JOIN wanted USING (theme) WHERE theme IS NOT NULL GROUP BY theme)
 SELECT source, target, sum(v)::BIGINT AS value FROM (SELECT theme AS source, q AS target, v FROM per UNION ALL SELECT q, m, v FROM per) GROUP BY ALL"""
+
+ORACLE["theme_treemap"] = _CLUSTERED + " SELECT theme, round(greatest(1.0::DOUBLE, sum(score)), 6) AS size, count(*) AS n_terms FROM clustered WHERE theme IS NOT NULL GROUP BY theme"
+ORACLE["cluster_totals"] = _CLUSTERED + " SELECT count(DISTINCT theme) AS n_themes, count(*) FILTER (theme IS NULL) AS n_unclustered FROM clustered"
+ORACLE["theme_questions"] = _CLUSTERED + f""", said AS (SELECT conv_id || '-' || turn AS id, unnest({TOKENS}) AS term FROM conversations WHERE role = 'user')
+SELECT DISTINCT theme, id FROM said JOIN clustered USING (term) WHERE theme IS NOT NULL"""
+ORACLE["brand_grounded_breakdown"] = f"""WITH {MENTIONS},
+flat AS (SELECT run_id, unnest(['source', 'stage']) AS dimension, unnest([CASE WHEN conv_id % 2 = 0 THEN 'hook' ELSE 'inferential' END, CASE WHEN conv_id % 2 <> 0 THEN ({_list(STAGES)})[(conv_id % 3 + 1)::INT] END]) AS value
+ FROM (SELECT conv_id || '-' || turn AS run_id, conv_id FROM conversations WHERE role = 'assistant' AND text IS NOT NULL)),
+totals AS (SELECT dimension, value, count(*) AS run_count FROM flat WHERE value IS NOT NULL GROUP BY ALL),
+found AS (SELECT dimension, value, brand, count(*) AS n FROM flat JOIN mentions USING (run_id) GROUP BY ALL)
+SELECT dimension, value, brand, round(coalesce(n, 0)::DOUBLE / run_count, 6) AS share_of_voice, run_count FROM totals CROSS JOIN (SELECT brand FROM brands) LEFT JOIN found USING (dimension, value, brand)"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _values(rows) -> str:
+    cell = lambda v: _list(v) + "::VARCHAR[]" if isinstance(v, list) else _quoted(v) if isinstance(v, str) else str(v)
+    return "(VALUES " + ", ".join("(" + ", ".join(cell(v) for v in row) + ")" for row in rows) + ")"
+
+
+_RIVALS = BRANDS[1:4]
+_PAIRS = [(a, b) for i, a in enumerate(_RIVALS) for b in _RIVALS[i + 1 :]]
+_INFERRED = f"""claims AS (SELECT * FROM {_values(CLAIMS)} c(claim, problem, audience)), patterns AS (SELECT * FROM {_values([(i, *r[:4]) for i, r in enumerate(INFERENTIAL)])} p(t, template_id, stage, pattern, wants)),
+inferred_ AS (SELECT *, row_number() OVER (ORDER BY claim, t) - 1 AS n FROM claims JOIN patterns ON wants = 'any' OR (wants = 'with') = (len(audience) > 0)),
+inferred AS (SELECT n AS ord, template_id || '-' || n AS id, replace(replace(replace(replace(replace(pattern, '{{persona}}', ({_list(ASKERS)})[(n % 4 + 1)::INT]), '{{problem}}', problem), '{{audience}}', coalesce(audience[1], '')),
+ '{{competitorA}}', ({_list([a for a, _ in _PAIRS])})[claim % {len(_PAIRS)} + 1]), '{{competitorB}}', ({_list([b for _, b in _PAIRS])})[claim % {len(_PAIRS)} + 1]) AS text, template_id, stage, problem FROM inferred_)"""
+ORACLE["inferential_question_set"] = f"WITH {_INFERRED} SELECT * FROM inferred"
+ORACLE["question_prompts"] = f"""WITH hooked AS ({ORACLE["hook_question_set_full"]}), {_INFERRED},
+n AS (SELECT least((SELECT count(*) FROM hooked), greatest(20, 40 - (SELECT count(*) FROM inferred))) AS h),
+q AS (SELECT h, least((SELECT count(*) FROM inferred), 40 - h) AS i FROM n)
+SELECT ord, id, text, 'hook' AS source, template_id, NULL::VARCHAR AS stage FROM hooked, q WHERE ord < h
+UNION ALL SELECT ord + h, id, text, 'inferential', template_id, stage FROM inferred, q WHERE ord < i"""
+
+_HREFS = r"""hrefs AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href="([^"]*)"', 1)) AS href FROM pages),
+kinds AS (SELECT page_id, regexp_matches(href, '^[a-z]+://') AND regexp_extract(href, '://([^/?#:]+)', 1) <> regexp_extract(url, '://([^/?#:]+)', 1) AS outside, href <> '' AND NOT regexp_matches(href, '^(#|mailto:|tel:)') AS counts FROM hrefs)"""
+ORACLE["link_classification"] = f"""WITH {_HREFS},
+said AS (SELECT page_id, count(*) FILTER (counts AND NOT outside) AS i, count(*) FILTER (counts AND outside) AS e FROM kinds GROUP BY page_id),
+inside AS (SELECT page_id, url, unnest(regexp_extract_all(regexp_extract(html, '(?s)<article>.*</article>'), '(?i)<a\\s[^>]*?href="([^"]*)"', 1)) AS href FROM pages),
+cited AS (SELECT page_id, count(*) AS c FROM inside WHERE regexp_matches(href, '^(mailto|tel):') OR (regexp_matches(href, '^[a-z]+://') AND regexp_extract(href, '://([^/?#:]+)', 1) <> regexp_extract(url, '://([^/?#:]+)', 1)) GROUP BY page_id)
+SELECT page_id, coalesce(i, 0) AS internal_links, coalesce(e, 0) AS external_links, coalesce(c, 0) AS outbound_citations FROM pages LEFT JOIN said USING (page_id) LEFT JOIN cited USING (page_id)"""
+_SCORED = r"""scored AS (SELECT url, images, (CASE WHEN h1 = 1 THEN 100.0 ELSE 0.0 END + CASE WHEN described IS NULL THEN 0.0 WHEN length(described) >= 50 THEN 100.0 ELSE 50.0 END + CASE WHEN typed THEN 100.0 ELSE 0.0 END
+ + CASE WHEN images = 0 THEN 100.0 ELSE floor(100.0 * (1 - missing::DOUBLE / images) + 0.5) END)::DOUBLE / 4 AS score, missing FROM
+(SELECT url, len(regexp_extract_all(html, '(?i)<h1[\s>]')) AS h1, nullif(trim(regexp_extract(html, '(?i)<meta\s+name="description"\s+content="([^"]*)"', 1)), '') AS described,
+ regexp_matches(html, '(?i)application/ld\+json|itemtype=') AS typed, len(regexp_extract_all(html, '(?i)<img[\s>]')) AS images,
+ len(regexp_extract_all(html, '(?i)<img[\s>]')) - len(regexp_extract_all(html, '(?i)<img\s[^>]*alt="[^"]*[^"\s]')) AS missing FROM pages))"""
+ORACLE["seo_page_scores"] = f"WITH {_SCORED} SELECT url, round(score, 6) AS score, CASE WHEN score >= 70 THEN 'good' WHEN score >= 40 THEN 'needs_work' ELSE 'critical' END AS label FROM scored"
+ORACLE["seo_site_scores"] = f"WITH {_SCORED} SELECT {KIND} AS kind, greatest(0, floor(avg(score) - 15 + 0.5))::BIGINT AS score, sum(missing)::BIGINT AS missing_alt FROM scored GROUP BY ALL"
+
+_CRAWLED = f"""got AS (SELECT page_id, url, CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 7 = 0 THEN 404 ELSE 200 END AS status, CASE WHEN page_id % 13 = 0 THEN '' ELSE html END AS html FROM pages),
+chosen AS ({ORACLE["quick_url_selection"]}),
+states AS (SELECT 'fetched' AS state, url FROM got WHERE html <> '' AND coalesce(status, 0) < 400 UNION ALL SELECT 'broken', url FROM got WHERE status IS NULL OR status >= 400
+ UNION ALL SELECT 'skipped', url FROM got WHERE url NOT IN (SELECT url FROM chosen))"""
+ORACLE["crawl_url_lists"] = f"WITH {_CRAWLED} SELECT state, url FROM states"
+ORACLE["crawl_coverage"] = f"""WITH {_CRAWLED} SELECT (SELECT count(*) FROM pages) AS total_urls, count(*) FILTER (state = 'fetched') AS fetched_urls,
+count(*) FILTER (state = 'broken') AS broken_urls, count(*) FILTER (state = 'skipped') AS skipped_urls FROM states"""
+ORACLE["sitemap_entries"] = """SELECT page_id // 10 AS ord, row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id) - 1 AS at, url AS loc,
+CASE WHEN page_id % 3 > 0 THEN round((page_id % 10)::DOUBLE / 10, 6) END AS priority FROM pages"""
+_CUT = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+ORACLE["text_measures"] = rf"""SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS words, len(ss) AS sentences, len(regexp_extract_all(coalesce(ss[1], ''), '\S+')) > 6 AS long_first,
+{_any("lower(coalesce(ss[1], ''))", BRANDS)} AS names_brand FROM (SELECT doc_id, text, {_CUT} AS ss FROM documents WHERE text IS NOT NULL)"""
+ORACLE["cross_audit"] = f"""SELECT brand, value, row_number() OVER (ORDER BY value DESC, brand) AS place FROM (SELECT b.brand, coalesce(share_of_voice, 0) AS value FROM (SELECT unnest({_list(PICKED)}) AS brand) b
+LEFT JOIN (SELECT brand, share_of_voice FROM ({ORACLE["sov_by_dimension"]}) WHERE dimension = 'status' AND value = 'F') USING (brand))"""
+ORACLE["claims_of_answers"] = """WITH firsts AS (SELECT conv_id, string_split_regex(lower(regexp_replace(coalesce(min_by({'t': text}, turn).t, ''), '[^A-Za-z ]', '', 'g')), ' +')[1] AS w FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+told AS (SELECT conv_id, w FROM firsts WHERE w <> ''),
+said AS (SELECT conv_id, 'plan ' || w || ' and track work' AS problem FROM told UNION ALL SELECT conv_id, 'reduce noise for product teams' FROM told)
+SELECT min_by(problem, conv_id) AS problem, 'product teams,product team' AS audience, count(*) AS evidence FROM said GROUP BY lower(problem)"""
+
+# Prompts: one row for each number, its intent, persona and anchor turning with it.
+_N, _ADV = 24, 4
+_OWN = _N - _ADV
+
+
+def _turn(values, at: str) -> str:
+    return f"({_list(values)})[(({at}) % {len(values)} + 1)::INT]"
+
+
+_FILLED = "pattern"
+for _key, _value in (
+    ("category", "'tracking'"),
+    ("persona", f"CASE WHEN en THEN {_turn([p[2] for p in PERSONAS], 'i')} ELSE {_turn([p[3] for p in PERSONAS], 'i')} END"),
+    ("attribute", f"CASE WHEN en THEN {_turn([a[1] for a in ATTRIBUTES], 'i + i % 5')} ELSE {_turn([a[2] for a in ATTRIBUTES], 'i + i % 5')} END"),
+    ("brandA", "first"),
+    ("brandB", "rival"),
+    ("brandC", "second"),
+):
+    _FILLED = f"replace({_FILLED}, '{{{_key}}}', {_value})"
+ORACLE["prompt_set"] = f"""WITH n AS (SELECT ord, ord < {_OWN} AS own, CASE WHEN ord < {_OWN} THEN ord ELSE ord - {_OWN} END AS i FROM range({_N}) r(ord)),
+k AS (SELECT *, i % 2 = 0 AS en, CASE WHEN own THEN {_turn([r[0] for r in INTENTS], 'i')} ELSE '{CONTROL[0]}' END AS intent, {_turn(BRANDS[1:], 'i')} AS rival, {_turn(BRANDS[1:], 'i + 1')} AS second FROM n),
+f AS (SELECT *, CASE WHEN intent = 'troubleshooting_replacement' AND en THEN rival ELSE '{BRANDS[0]}' END AS first,
+ CASE WHEN own AND en THEN {_turn([r[2] for r in INTENTS], 'i')} WHEN own THEN {_turn([r[3] for r in INTENTS], 'i')} WHEN en THEN {_quoted(CONTROL[2])} ELSE {_quoted(CONTROL[3])} END AS pattern FROM k)
+SELECT ord, intent || '-' || ord AS id, {_FILLED} AS text, intent, {_turn([p[0] for p in PERSONAS], 'i')} AS persona_role, {_turn([p[1] for p in PERSONAS], 'i')} AS team_size,
+CASE WHEN own THEN {_turn([r[1] for r in INTENTS], 'i')} ELSE 'generic' END AS specificity, CASE WHEN own THEN {_turn([a[0] for a in ATTRIBUTES], 'i + i % 5')} ELSE 'none' END AS attribute,
+CASE WHEN en THEN 'en' ELSE 'es' END AS language, CASE intent WHEN 'direct_comparison' THEN '{BRANDS[0]}|' || rival WHEN 'troubleshooting_replacement' THEN first
+ WHEN 'final_decision' THEN '{BRANDS[0]}|' || rival || '|' || second ELSE '' END AS brands_named FROM f"""
+
+# Pages: what a reader sees, by taking away what is hidden and then all tags.
+_SEEN = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
+for _tag in ("script", "style", "nav", "header", "footer", "noscript", "template"):
+    _SEEN = f"regexp_replace({_SEEN}, '(?is)<{_tag}[\\s>].*?</{_tag}>', '', 'g')"
+
+
+def _plain(html: str) -> str:
+    bare = f"regexp_replace({html}, '<[^>]*>', '', 'g')"
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", chr(160)), ("&amp;", "&")):
+        bare = f"replace({bare}, '{entity}', '{char}')"
+    return bare
+
+
+ORACLE["html_signals"] = f"""WITH {_HREFS}, said AS (SELECT page_id, count(*) FILTER (counts AND NOT outside) AS i, count(*) FILTER (counts AND outside) AS e FROM kinds GROUP BY page_id)
+SELECT url, trim(regexp_replace({_plain("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, '\\s+', ' ', 'g')) AS title, len(regexp_extract_all(html, '(?i)<h1[\\s>]')) AS h1_count,
+coalesce(i, 0) AS internal_link_count, coalesce(e, 0) AS external_link_count, len(regexp_extract_all(html, '(?i)<img[\\s>]')) AS images_total, len(regexp_extract_all({_plain(_SEEN)}, '\\S+')) AS word_count
+FROM pages LEFT JOIN said USING (page_id)"""

@@ -12,7 +12,6 @@ RUN = (
     "specificity:string,attribute:string,language:string,brandsNamed:array<string>>, source string, templateId string, stage string, "
     "temperature double, timestamp string, finishReason string, rawText string, error string"
 )
-PAGE = "product string, url string, url_hash string, status int, headers map<string,string>, fetched_at string, error string, html string"
 
 
 class Lake:
@@ -46,12 +45,36 @@ class Lake:
         found = self.read(layer, table)
         return self.spark.createDataFrame([], schema) if found is None else found
 
+    def write_text(self, layer: str, name: str, text: str) -> str:
+        """One text file (Markdown, XML), replaced if it is there; its path."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(layer, name))
+        out = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(path, True)
+        try:
+            out.write(bytearray(text, "utf-8"))
+        finally:
+            out.close()
+        return self.path(layer, name)
+
     def products(self) -> DataFrame:
         pages = self.read("raw", "page")
         empty = self.spark.createDataFrame([], "product string")
         return (empty if pages is None else pages.select("product").distinct()).orderBy("product")
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON document a file, with an explicit schema; ``file`` keeps the order of names."""
-    return spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.input_file_name())
+def read_json(lake: Lake, path: str, schema: str) -> DataFrame | None:
+    """The JSON document at a path as a row, or none where there is no such file."""
+    return lake.spark.read.schema(schema).option("multiLine", True).json(path) if lake.exists(path) else None
+
+
+def read_all_json(lake: Lake, folder: str, schema: str) -> DataFrame:
+    """All JSON documents of a folder, with their ``file`` for order; no rows where there is no such folder."""
+    if not lake.exists(folder):
+        return lake.spark.createDataFrame([], schema).withColumn("file", F.lit(None).cast("string"))
+    reader = lake.spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json")
+    return reader.json(folder).withColumn("file", F.col("_metadata.file_name"))
+
+
+def recorded_runs(lake: Lake, folder: str) -> DataFrame:
+    """Runs kept as one JSON document each: run_id, prompt_id, text, error, in order of file."""
+    runs = read_all_json(lake, folder, RUN).orderBy("file")
+    return runs.select(F.col("runId").alias("run_id"), F.col("promptId").alias("prompt_id"), F.col("rawText").alias("text"), "error")

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .clients import Fetch, documents, fetch_page
+
 MAX_DEPTH = 3
+#: More than an index may name (50,000), so that order numbers of children do not meet.
+CHILDREN = 1 << 16
 
 
 def entries(documents: DataFrame, xml: str = "xml") -> DataFrame:
@@ -19,9 +24,10 @@ def entries(documents: DataFrame, xml: str = "xml") -> DataFrame:
 
 
 def children(documents: DataFrame, xml: str = "xml") -> DataFrame:
-    """Locations of the sitemaps that index documents name."""
+    """(ord, url) of the sitemaps that index documents name, in the order of the documents."""
     found = F.regexp_extract_all(xml, F.lit(r"(?s)<sitemap>.*?<loc>\s*(.*?)\s*</loc>.*?</sitemap>"), F.lit(1))
-    return documents.select("ord", F.explode(found).alias("url"))
+    named = documents.select("ord", F.posexplode(found).alias("at", "url"))
+    return named.select((F.col("ord") * CHILDREN + F.col("at") + 1).alias("ord"), "url")
 
 
 def expand(root: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -31,3 +37,18 @@ def expand(root: DataFrame, fetch: Callable[[DataFrame], DataFrame]) -> DataFram
         level = fetch(children(level))
         found = found.unionByName(entries(level))
     return found
+
+
+def site_entries(spark: SparkSession, url: str, fetch: Fetch) -> tuple[DataFrame, str]:
+    """(ord, url, priority) of a site's sitemap, the first of equal URLs, and the root document's text. A root that does
+    not answer with 200 has no entries."""
+    xml = _root(url, fetch) or ""
+    found = expand(spark.createDataFrame([(0, xml)], "ord long, xml string"), lambda urls: documents(urls, fetch))
+    place = F.row_number().over(W.partitionBy("loc").orderBy("ord", "at"))
+    once = found.withColumn("k", place).where("k = 1")
+    return once.select((F.col("ord") * (1 << 32) + F.col("at")).alias("ord"), F.col("loc").alias("url"), "priority"), xml
+
+
+def _root(url: str, fetch: Fetch) -> str | None:
+    status, body, _, _ = fetch_page(url, fetch)
+    return body if status == 200 else None

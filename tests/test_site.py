@@ -83,8 +83,9 @@ def test_clusters(spark):
     runs = spark.createDataFrame([("1", "an agent works"), ("2", None), ("3", "nothing")], "run_id string, text string")
     row = clusters.theme_answers(got, runs).first()
     assert (row["runs_scanned"], row["runs_mentioning"]) == (2, 1)
-    answer = '```json\n{"themes": [{"name": "F", "terms": ["banana", "made up"]}, {"name": "G", "terms": ["banana"]}]}\n```'
+    answer = '```json\n{"themes": [{"name": "F", "terms": ["banana", "made up"]}, {"name": "G", "terms": ["banana"]}], "unclustered": []}\n```'
     assert {r["theme"] for r in clusters.cluster_terms_by_model(cloud, answer).where("term = 'banana'").collect()} == {"F"}
+    assert clusters.parse_themes('[{"name": "F", "terms": ["banana"]}]') == [] and clusters.parse_themes('{"themes": []}') == []
     assert clusters.parse_themes("no json") == [] and clusters.parse_themes(None) == []
 
 
@@ -92,7 +93,7 @@ def test_sitemap_and_clients(spark, tmp_path):
     docs = spark.createDataFrame([(0, "<urlset><url><loc>https://a.b/</loc><priority>0.8</priority></url><url><x/></url></urlset>")], "ord int, xml string")
     assert [(r["loc"], r["priority"]) for r in sitemap.entries(docs).collect()] == [("https://a.b/", 0.8)]
     tries = iter([(503, ""), (200, "ok")])
-    assert clients.fetch_page("u", lambda _: next(tries), wait=lambda _: None) == (200, "ok", None)
+    assert clients.fetch_page("u", lambda _: next(tries), wait=lambda _: None)[:3] == (200, "ok", None)
     assert clients.fetch_page("u", lambda _: (404, "x"), wait=lambda _: None)[2] == "HTTP 404"
     store = lake.Lake(spark, str(tmp_path))
     assert store.read("raw", "page") is None and store.products().count() == 0
@@ -111,5 +112,62 @@ def test_jobs_end_to_end(spark, tmp_path):
     jobs.make_questions(store, "p", "Zed", ["A", "B"])
     assert store.read("questions", "hook_question").count() > 0
     text = jobs.audit(store, "p", "Mine", ["Other"], "planning", lambda prompt: "Mine is the best, Other is slow." if "Mine" in prompt else None)
-    assert "| Mine | 100% |" in text and "## Priorities" in text
+    assert "| Mine | 100% |" in text and "## Priority matrix" in text and "Brand-grounded" not in text
+    both = jobs.audit(store, "p", "Mine", ["Other"], "planning", lambda prompt: "Mine is the best.", include="both", question_runs=1, question_limit=4)
+    assert "Total runs: 4" in both and "source = hook: 100%" in both and store.read("aeo", "brand_grounded_run").count() == 4
     assert jobs.cluster(store, "p").count() > 0 and store.read("clusters", "theme_answer") is not None
+
+
+def test_audience_puts_users_first(spark):
+    text = "It helps startups and engineering teams plan and track work."
+    found = questions.scan_claims(spark.createDataFrame([(1, "u", text)], "ord int, url string, text string")).collect()
+    assert [r["audience"][0] for r in found] == ["engineering teams"] and "startup" in found[0]["audience"]
+
+
+def test_dates_links_and_names_of_meta_tags():
+    got = parse_page("https://a.b/", '<meta property="article:published_time"><meta property="author" content="x"><script>{"dateModified" : "1"}</script><a href=""></a><a href="/x"></a>')
+    assert (got["has_publish_date"], got["has_update_date"], got["has_author"], got["internal_links"]) == (True, True, False, 1)
+    assert parse_page("https://a.b/", '<script>{"datePublished" : "1"}</script>')["has_publish_date"]
+
+
+def test_site_entries_follow_an_index(spark):
+    pages = {
+        "https://a.b/sitemap.xml": "<sitemapindex><sitemap><loc>https://a.b/1.xml</loc></sitemap><sitemap><loc>https://a.b/none.xml</loc></sitemap><sitemap><loc>https://a.b/2.xml</loc></sitemap></sitemapindex>",
+        "https://a.b/1.xml": "<urlset><url><loc>https://a.b/x</loc></url><url><loc>https://a.b/y</loc><priority>0.9</priority></url></urlset>",
+        "https://a.b/2.xml": "<urlset><url><loc>https://a.b/x</loc></url><url><loc>https://a.b/z</loc></url></urlset>",
+    }
+    fetch = lambda url: (200, pages[url]) if url in pages else (404, "")
+    entries, xml = sitemap.site_entries(spark, "https://a.b/sitemap.xml", fetch)
+    assert [(r["url"], r["priority"]) for r in entries.orderBy("ord").collect()] == [("https://a.b/x", None), ("https://a.b/y", 0.9), ("https://a.b/z", None)]
+    assert "<sitemapindex>" in xml and sitemap.site_entries(spark, "https://a.b/gone.xml", fetch)[0].count() == 0
+
+
+def test_clients_give_up_where_it_is_no_use():
+    calls = []
+
+    def refuse(prompt):
+        calls.append(prompt)
+        raise clients.ApiError(int(prompt), "no")
+
+    quiet = lambda _: None
+    assert clients.ask_model("400", refuse, wait=quiet) == (None, None, "no") and len(calls) == 1
+    assert clients.ask_model("429", refuse, wait=quiet)[2] == "no" and len(calls) == 4
+    assert clients.ask_model("p", lambda p: ("text", "STOP")) == ("text", "STOP", None)
+    import time
+
+    assert clients.fetch_page("u", lambda u: time.sleep(2) or (200, "x"), retries=0, timeout=0.05)[0] is None
+    assert clients.robots_text("https://a.b/", lambda u: 1 / 0) == "" and clients.robots_text("https://a.b/", lambda u: (200, u)) == "https://a.b/robots.txt"
+
+
+def test_lake_documents(spark, tmp_path):
+    store = lake.Lake(spark, str(tmp_path))
+    path = store.write_text("report", "markdown/p.md", "# é\n")
+    assert open(path, encoding="utf-8").read() == "# é\n"
+    assert lake.read_json(store, f"{tmp_path}/none.json", "a int") is None and lake.read_all_json(store, f"{tmp_path}/none", "a int").count() == 0
+    (tmp_path / "runs").mkdir()
+    for k, text in (("b", None), ("a", "said")):
+        (tmp_path / "runs" / f"{k}.json").write_text(__import__("json").dumps({"runId": k, "promptId": "q", "rawText": text}))
+    runs = lake.recorded_runs(store, f"{tmp_path}/runs")
+    assert [(r["run_id"], r["text"]) for r in runs.collect()] == [("a", "said"), ("b", None)]
+    prompts = spark.createDataFrame([("q", "what", "intent")], "id string, text string, intent string")
+    assert clients.replay(runs, prompts).where("intent = 'intent'").count() == 2
