@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..operators import clusters, metrics, questions, site, tagcloud
+from ..operators import clusters, metrics, questions, report, site, tagcloud
 from ..shipping import ship
 from ..sources import sitemap
 
@@ -138,15 +138,18 @@ def findings_priorities(spark, sf):
     return site.prioritised(found)
 
 
+def _one_site(spark, sf):
+    return _site_pages(spark, sf).withColumn("site", F.lit("all"))
+
+
 def geo_aeo_gaps(spark, sf):
-    pages = _t(spark, sf, "documents").select(F.lit("all").alias("site"), F.col("doc_id").alias("page"), F.coalesce("text", F.lit("")).alias("text"))
+    pages = _one_site(spark, sf)
     found = metrics.extract_mentions(_runs(spark, sf), BRANDS)
     return metrics.geo_aeo_gaps(tagcloud.site_tagcloud(pages), found, BRANDS[2])
 
 
 def _clustered(spark, sf):
-    pages = _t(spark, sf, "documents").select(F.lit("all").alias("site"), F.col("doc_id").alias("page"), F.coalesce("text", F.lit("")).alias("text"))
-    return clusters.cluster_terms(tagcloud.site_tagcloud(pages), clusters.taxonomy_table(spark, THEMES))
+    return clusters.cluster_terms(tagcloud.site_tagcloud(_one_site(spark, sf)), clusters.taxonomy_table(spark, THEMES))
 
 
 def theme_clusters(spark, sf):
@@ -319,6 +322,50 @@ def claims_of_answers(spark, sf):
     return questions.scan_claims(told).select("problem", F.array_join("audience", ",").alias("audience"), F.size("evidence").cast("long").alias("evidence"))
 
 
+def geo_page_scores(spark, sf):
+    """GEO signals and score of each page."""
+    ship(spark)
+    signals = site.geo_signals(site.parsed(_t(spark, sf, "pages")))
+    score = site.geo_page_score()
+    return _rounded(signals.select("url", F.col("definition").isNotNull().alias("defined"), "factual_density", "has_author", "has_publish_date", "has_update_date", "structure_score", score.alias("score"), T.score_label(score).alias("label")))
+
+
+def geo_site_averages(spark, sf):
+    """The report's GEO averages and the GEO score over all pages."""
+    ship(spark)
+    signals = site.geo_signals(site.parsed(_t(spark, sf, "pages")))
+    return _rounded(signals.agg(F.count("*").alias("pages"), F.avg("factual_density").alias("factual_density"), F.avg("structure_score").alias("structure_score"), site.geo_score().cast("long").alias("score")))
+
+
+def aeo_priorities(spark, sf):
+    """Findings of the answers' metrics for each brand of the list, and its score."""
+    cloud = tagcloud.site_tagcloud(_one_site(spark, sf))
+    runs = metrics.successful(_runs(spark, sf))
+    found = metrics.extract_mentions(runs, BRANDS)
+    measured = metrics.brand_metrics(found, runs.count(), metrics.brand_table(spark, BRANDS))
+    # The 30 terms and five metric rows that every brand's branch reads.
+    top = spark.createDataFrame(cloud.where("rank <= 30").collect(), cloud.schema)
+    measured = spark.createDataFrame(measured.collect(), measured.schema)
+    out = None
+    for brand in BRANDS:
+        said = report.aeo_findings(measured, brand, metrics.geo_aeo_gaps(top, found, brand)).select(F.lit(brand).alias("brand"), "*")
+        out = said if out is None else out.unionByName(said)
+    scores = measured.select("brand", site.aeo_score(F.col("share_of_voice"), F.col("sentiment_score")).alias("score"))
+    return out.join(scores, "brand")
+
+
+def product_hooks(spark, sf):
+    """Hooks of all documents as one product: first sentences as descriptions, second ones as definitions, the tag cloud."""
+    pages = _one_site(spark, sf)
+    cut = _t(spark, sf, "documents").select(F.col("doc_id").alias("ord"), F.concat(F.lit("d"), "doc_id").alias("url"), T.split_sentences(F.coalesce("text", F.lit(""))).alias("s"))
+    seo = cut.select("ord", "url", F.get("s", F.lit(0)).alias("meta_description"))
+    geo = cut.select("ord", "url", F.get("s", F.lit(1)).alias("definition"))
+    cloud = tagcloud.site_tagcloud(pages)
+    phrases = tagcloud.phrase_cloud(pages, cloud.where(F.col("rank") <= tagcloud.PHRASE_TERMS))
+    hooks = questions.scan_hooks(seo, geo, cloud.drop("site"), phrases.drop("site"), [BRANDS[0]])
+    return hooks.select("ord", "hook", "source", "document_frequency", F.size("evidence").cast("long").alias("evidence"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -327,6 +374,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         findings_priorities, geo_aeo_gaps, theme_clusters, theme_answer_stats, theme_sankey_edges, theme_sankey_asked, prompt_set, hook_question_set,
         hook_question_set_full, theme_treemap, cluster_totals, theme_questions, brand_grounded_breakdown, question_prompts,
         inferential_question_set, link_classification, seo_page_scores, seo_site_scores, crawl_coverage, crawl_url_lists, sitemap_entries,
-        text_measures, cross_audit, claims_of_answers, prompt_run_groups, question_quota, labels_quality_split,
+        text_measures, cross_audit, claims_of_answers, geo_page_scores, geo_site_averages,
+        aeo_priorities, product_hooks, prompt_run_groups, question_quota, labels_quality_split,
     )
 }

@@ -210,7 +210,7 @@ ORACLE["crawl_coverage"] = f"""WITH {_CRAWLED} SELECT (SELECT count(*) FROM page
 count(*) FILTER (state = 'broken') AS broken_urls, count(*) FILTER (state = 'skipped') AS skipped_urls FROM states"""
 ORACLE["sitemap_entries"] = """SELECT page_id // 10 AS ord, row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id) - 1 AS at, url AS loc,
 CASE WHEN page_id % 3 > 0 THEN round((page_id % 10)::DOUBLE / 10, 6) END AS priority FROM pages"""
-_CUT = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
+_CUT = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
 ORACLE["text_measures"] = rf"""SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS words, len(ss) AS sentences, len(regexp_extract_all(coalesce(ss[1], ''), '\S+')) > 6 AS long_first,
 {_any("lower(coalesce(ss[1], ''))", BRANDS)} AS names_brand FROM (SELECT doc_id, text, {_CUT} AS ss FROM documents WHERE text IS NOT NULL)"""
 ORACLE["cross_audit"] = f"""SELECT brand, value, row_number() OVER (ORDER BY value DESC, brand) AS place FROM (SELECT b.brand, coalesce(share_of_voice, 0) AS value FROM (SELECT unnest({_list(PICKED)}) AS brand) b
@@ -265,3 +265,59 @@ ORACLE["html_signals"] = f"""WITH {_HREFS}, said AS (SELECT page_id, count(*) FI
 SELECT url, trim(regexp_replace({_plain("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, '\\s+', ' ', 'g')) AS title, len(regexp_extract_all(html, '(?i)<h1[\\s>]')) AS h1_count,
 coalesce(i, 0) AS internal_link_count, coalesce(e, 0) AS external_link_count, len(regexp_extract_all(html, '(?i)<img[\\s>]')) AS images_total, len(regexp_extract_all({_plain(_SEEN)}, '\\S+')) AS word_count
 FROM pages LEFT JOIN said USING (page_id)"""
+
+_RULES = (
+    ("h1 = 0", "seo", "'Missing H1 on ' || url", "medium", "low", "Add a single, descriptive H1 heading to the page."),
+    ("h1 > 1", "seo", "h1 || ' H1 tags on ' || url", "low", "low", "Keep exactly one H1 per page; demote the rest to H2/H3."),
+    ("described IS NULL", "seo", "'Missing meta description on ' || url", "medium", "low", "Add a ~150-character meta description summarizing the page."),
+    ("NOT typed", "seo", "'No schema.org markup on ' || url", "low", "medium", "Add JSON-LD structured data appropriate to the page type."),
+    ("NOT defined", "geo", "'No self-contained \"what is this\" definition on ' || url", "high", "low", "Add a short, quotable definition near the top of the page."),
+    ("density < 0.4", "geo", "'Low factual density on ' || url || ' (mostly promotional language)'", "medium", "medium", "Replace vague adjectives with concrete numbers/comparisons."),
+    ("NOT signed AND NOT dated", "geo", "'No visible author or publish date on ' || url", "medium", "medium", "Add a visible byline and publish/update date."),
+    ("blocks < 2", "geo", "'Little extractable structure on ' || url || ' (no lists/tables/definitions)'", "medium", "medium", "Break key content into lists, tables, or definition blocks."),
+)
+_FOUND = " UNION ALL ".join(f"SELECT '{d}' AS dimension, {t} AS finding, '{i}' AS impact, '{e}' AS effort, {_quoted(a)} AS suggested_action FROM facts WHERE {w}" for w, d, t, i, e, a in _RULES)
+_PARTS = "list_transform(string_split(html, '<p>')[2:4], lambda x: regexp_replace(x, '(?s)</p>.*', ''))"
+_ARTICLE = r"'\b(is|are|es|son)\s+(a|an|the|el|la|los|las|un|una)\b'"
+_FACTS = f"""WITH seen AS (SELECT page_id, url, html, trim(regexp_replace({_plain(_SEEN)}, '\\s+', ' ', 'g')) AS text FROM pages),
+counted AS (SELECT *, {_NUM} + {_CMP} AS facts, ({_WORDS}) AS praise, len(regexp_extract_all(html, '(?i)<h1[\\s>]')) AS h1,
+ nullif(trim(regexp_extract(html, '(?i)<meta\\s+name="description"\\s+content="([^"]*)"', 1)), '') AS described, regexp_matches(html, '(?i)application/ld\\+json|itemtype=') AS typed,
+ len(list_filter({_PARTS}, lambda x: regexp_matches({_plain('x')}, '(?i)' || {_ARTICLE}))) > 0 AS shown, regexp_matches(text, '\\bby\\s+[A-Z][a-z]+\\s+[A-Z][a-z]+') OR regexp_matches(html, '(?i)rel="author"|class="[^"]*(author|byline)|<meta\\s+name="author"') AS signed,
+ regexp_matches(html, '(?i)<time\\s[^>]*datetime|article:published_time|"datePublished"\\s*:') AS dated, len(regexp_extract_all(html, '(?i)<(?:ul|ol|table|dl)[\\s>]')) AS blocks FROM seen),
+facts AS (SELECT *, CASE WHEN facts + praise > 0 THEN facts::DOUBLE / (facts + praise) ELSE 0 END AS density, coalesce(length(described) > 30, false) OR shown AS defined,
+ least(1.0::DOUBLE, blocks::DOUBLE / 10) AS structure, regexp_matches(html, 'article:modified_time|"dateModified"\\s*:') AS updated FROM counted),
+judged AS (SELECT *, (CASE WHEN defined THEN 100.0 ELSE 0.0 END + density * 100 + CASE WHEN signed THEN 33.0 ELSE 0.0 END + CASE WHEN dated THEN 33.0 ELSE 0.0 END + CASE WHEN updated THEN 34.0 ELSE 0.0 END + structure * 100)::DOUBLE / 4 AS score FROM facts)
+"""
+ORACLE["findings_priorities"] = _FACTS + _FOUND
+ORACLE["geo_page_scores"] = _FACTS + """SELECT url, defined, round(density, 6) AS factual_density, signed AS has_author, dated AS has_publish_date, updated AS has_update_date, round(structure, 6) AS structure_score,
+round(score, 6) AS score, CASE WHEN score >= 70 THEN 'good' WHEN score >= 40 THEN 'needs_work' ELSE 'critical' END AS label FROM judged"""
+ORACLE["geo_site_averages"] = _FACTS + """SELECT count(*) AS pages, round(avg(density), 6) AS factual_density, round(avg(structure), 6) AS structure_score, floor(avg(score) + 0.5)::BIGINT AS score FROM judged"""
+
+_MEASURED = (
+    f"WITH {MENTIONS}, valued AS (SELECT *, CASE sentiment WHEN 'positive' THEN 1.0 WHEN 'negative' THEN -1.0 ELSE 0.0 END::DOUBLE AS value FROM mentions), measured AS (WITH "
+    + _metrics("SELECT count(*) FROM runs", "SELECT brand FROM brands").strip()
+    + f"), {_cloud(chr(39) + 'all' + chr(39))}"
+)
+ORACLE["aeo_priorities"] = _MEASURED + f""", vocab AS (SELECT DISTINCT brand, unnest({TOKENS.replace('text', 'context')}) AS term FROM mentions),
+missing AS (SELECT b.brand, term, score, row_number() OVER (PARTITION BY b.brand ORDER BY score DESC, term) AS k FROM brands b JOIN cloud ON rank <= 30 WHERE NOT EXISTS (SELECT 1 FROM vocab v WHERE v.brand = b.brand AND v.term = cloud.term)),
+listed AS (SELECT brand, string_agg(term, ', ' ORDER BY k) AS terms FROM missing WHERE k <= 5 GROUP BY brand),
+whole AS (SELECT m.*, (SELECT avg(o.share_of_voice) FROM measured o WHERE o.brand <> m.brand) AS rival, coalesce(terms, '') AS terms,
+ floor(0.6::DOUBLE * share_of_voice * 100 + 0.4::DOUBLE * ((sentiment_score + 1) / 2 * 100) + 0.5)::BIGINT AS score FROM measured m LEFT JOIN listed USING (brand))
+SELECT brand, 'aeo' AS dimension, brand || '''s Share of Voice (' || floor(share_of_voice * 100 + 0.5)::BIGINT || '%) is below the competitor average (' || floor(rival * 100 + 0.5)::BIGINT || '%)' AS finding, 'high' AS impact, 'high' AS effort,
+ 'Publish more citable, comparison-ready content (see GEO findings) to increase how often the model surfaces the brand.' AS suggested_action, score FROM whole WHERE share_of_voice < rival
+UNION ALL SELECT brand, 'aeo', brand || ' is mentioned with net-negative sentiment (' || printf('%.2f', sentiment_score) || ')', 'high', 'high',
+ 'Investigate and address the specific negative associations found in the raw AEO runs.', score FROM whole WHERE sentiment_score < 0
+UNION ALL SELECT brand, 'aeo', brand || ' is rarely the first brand mentioned (' || floor(first_mention_rate * 100 + 0.5)::BIGINT || '% of runs)', 'medium', 'high',
+ 'Strengthen category-defining content to be the default recommendation, not an afterthought.', score FROM whole WHERE first_mention_rate < 0.2 AND share_of_voice > 0
+UNION ALL SELECT brand, 'aeo', 'Top site keywords the model never uses when describing ' || brand || ': ' || terms, 'medium', 'medium',
+ 'Reinforce these terms in citable, structured site content so the model picks them up.', score FROM whole WHERE terms <> ''"""
+
+_PHRASES = ORACLE["phrase_cloud"].replace("SELECT source AS site", "SELECT 'all' AS site")
+ORACLE["product_hooks"] = f"""WITH {_cloud("'all'")}, phrases AS ({_PHRASES}), cut AS (SELECT doc_id, {_CUT.replace('text', "coalesce(text, '')")} AS ss FROM documents),
+told AS (SELECT 0 AS part, doc_id AS n, ss[1] AS hook, 'meta_description' AS source, 1 AS document_frequency, 1 AS evidence, 'd' || doc_id AS u FROM cut WHERE length(ss[1]) >= 20 AND NOT contains(lower(ss[1]), '{BRANDS[0]}')
+ UNION ALL SELECT 1, doc_id, ss[2], 'definition', 1, 1, 'd' || doc_id FROM cut WHERE ss[2] IS NOT NULL AND NOT contains(lower(ss[2]), '{BRANDS[0]}')),
+best AS (SELECT * FROM cloud WHERE rank <= 50 AND document_frequency >= 2 AND length(term) >= 4 AND NOT list_contains({_list([*ARTIFACTS, BRANDS[0]])}, term) ORDER BY rank LIMIT {MOST_HOOKS}),
+shown AS (SELECT term, count(*) AS k FROM phrases WHERE pos <= 3 GROUP BY term),
+every AS (SELECT * FROM told UNION ALL SELECT 2, rank, term, 'tagcloud', document_frequency, coalesce(k, 0), '' FROM best LEFT JOIN shown USING (term)),
+once AS (SELECT *, row_number() OVER (PARTITION BY hook ORDER BY part, n, u) AS again FROM every)
+SELECT row_number() OVER (ORDER BY part, n, hook) AS ord, hook, source, document_frequency::BIGINT AS document_frequency, evidence::BIGINT AS evidence FROM once WHERE again = 1"""
