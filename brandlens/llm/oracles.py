@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_mixing, op09_rules
+from . import op01_mixing, op09_rules, op11_rope_infill
 
 W = r"[^\x20\x09-\x0D]+"
 
@@ -57,4 +57,19 @@ b AS (SELECT *, n_words < {op09_rules.MIN_WORDS} OR 100 * n_repeat_words > {op09
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {verdict} AS kept FROM b"""
 
 
-ORACLE = {"op1_pareto_mix": mix_sql(), "op9_quality_rules": rules_sql()}
+def infill_sql() -> str:
+    p, s, m = op11_rope_infill.PREFIX, op11_rope_infill.SUFFIX, op11_rope_infill.MIDDLE
+    draw = lambda k: f"('0x' || substr(h, {8 * k + 1}, 8))::BIGINT"
+    held = " OR ".join(f"contains(text, '{x}')" for x in (p, s, m))
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS units, {draw(0)} AS h1, {draw(1)} AS h2, {draw(2)} AS h3, {draw(3)} AS h4 FROM t),
+c AS (SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b,
+      CASE WHEN text = '' OR {held} OR h3 % 100 >= {op11_rope_infill.CHANGED_PERCENT} THEN 'plain' WHEN h4 % 100 < {op11_rope_infill.SPM_PERCENT} THEN 'spm' ELSE 'psm' END AS form FROM u),
+d AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{p}' || prefix || '{s}' || suffix || '{m}' || middle ELSE '{s}' || suffix || '{p}' || prefix || '{m}' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM d"""
+
+
+ORACLE = {"op1_pareto_mix": mix_sql(), "op9_quality_rules": rules_sql(), "op11_rope_infill_digests": infill_sql()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracles, op01_mixing, op02_likelihood, op03_tokens, op04_lattice_hash, op05_sharding, op06_weak_labels, op07_near_dedup, op08_language, op09_rules, op10_pieces
+from . import oracles, op01_mixing, op02_likelihood, op03_tokens, op04_lattice_hash, op05_sharding, op06_weak_labels, op07_near_dedup, op08_language, op09_rules, op10_pieces, op11_rope_infill, op12_weighted_sampling
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,15 @@ def op10_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_pieces.digest(op10_pieces.encode(_docs(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op11_rope_infill_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_rope_infill.digest(_docs(spark, sf_dir))
+
+
+def op12_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_weighted_sampling.edited_fingerprints(_docs(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pareto_mix, op2_lattice_likelihood, op3_transducer_counts, op4_e8_near_vectors, op5_sampled_splitters, op6_weak_label_quality, op7_hamming_near_dedup, op8_language_svm, op9_quality_rules, op10_unigram_pieces)
+    f.__name__: f for f in (op1_pareto_mix, op2_lattice_likelihood, op3_transducer_counts, op4_e8_near_vectors, op5_sampled_splitters, op6_weak_label_quality, op7_hamming_near_dedup, op8_language_svm, op9_quality_rules, op10_unigram_pieces, op11_rope_infill_digests, op12_weighted_fingerprints)
 }
 ORACLE: dict[str, str] = oracles.ORACLE
