@@ -48,7 +48,7 @@ SELECT brand, round(sov, 6) AS share_of_voice, round(sov / coalesce(nullif(rest,
 FROM own JOIN others USING (brand)"""
 
 
-def _cloud(site: str) -> str:
+def cloud(site: str) -> str:
     return f"""
 pages_ AS (SELECT {site} AS site, doc_id AS page, coalesce(text, '') AS text FROM documents),
 counts AS (SELECT site, page, term, count(*) AS tf FROM (SELECT site, page, unnest({TOKENS}) AS term FROM pages_) GROUP BY ALL),
@@ -68,7 +68,7 @@ _NUM = r"len(regexp_extract_all(text, '\b\d+(?:[.,]\d+)?%?\b'))"
 _CMP = r"len(regexp_extract_all(text, '(?i)\b(vs\.?|versus|compared to|faster than|better than|more than|less than|frente a|comparado con)\b'))"
 _THEMES = " UNION ALL ".join(f"SELECT '{t}' AS theme, unnest({_list(ks.split())}) AS term" for t, ks in THEMES.items())
 
-_CLUSTERED = f"""WITH {_cloud("'all'")}, taxonomy AS ({_THEMES}),
+_CLUSTERED = f"""WITH {cloud("'all'")}, taxonomy AS ({_THEMES}),
 clustered AS (SELECT theme, term, score FROM cloud LEFT JOIN taxonomy USING (term) WHERE rank <= 50)"""
 _STATS = f""", answers AS (SELECT conv_id || '-' || turn AS run_id, text FROM conversations WHERE role = 'assistant' AND text IS NOT NULL),
 toks AS (SELECT DISTINCT run_id, unnest({TOKENS}) AS term FROM answers),
@@ -86,11 +86,11 @@ totals AS (SELECT dimension, value, count(*) AS run_count FROM flat WHERE value
 hits AS (SELECT f.dimension, f.value, m.brand, count(*) AS n FROM flat f JOIN mentions m USING (run_id) GROUP BY ALL)
 SELECT dimension, value, brand, round(coalesce(n, 0)::DOUBLE / run_count, 6) AS share_of_voice, run_count
 FROM totals CROSS JOIN (SELECT DISTINCT p_brand AS brand FROM part) LEFT JOIN hits USING (dimension, value, brand)""",
-    "tagcloud_site": f"WITH {_cloud('source')} SELECT site, rank, term, score, document_frequency, occurrences FROM cloud WHERE rank <= 50",
-    "tagcloud_page": f"""WITH {_cloud('source')} SELECT page, rank, term, score FROM
+    "tagcloud_site": f"WITH {cloud('source')} SELECT site, rank, term, score, document_frequency, occurrences FROM cloud WHERE rank <= 50",
+    "tagcloud_page": f"""WITH {cloud('source')} SELECT page, rank, term, score FROM
 (SELECT page, term, score, row_number() OVER (PARTITION BY site, page ORDER BY score DESC, term) AS rank FROM
  (SELECT c.site, c.page, c.term, round((ln((n_pages + 1)::DOUBLE / (document_frequency + 1)) + 1) * tf, 6) AS score FROM counts c JOIN terms USING (site, term) JOIN sizes USING (site))) WHERE rank <= 10""",
-    "keyword_density": f"""WITH {_cloud('source')}, totals AS (SELECT page, sum(tf) AS total FROM counts GROUP BY page)
+    "keyword_density": f"""WITH {cloud('source')}, totals AS (SELECT page, sum(tf) AS total FROM counts GROUP BY page)
 SELECT page, rank, term, n AS "count", round(n::DOUBLE / total, 6) AS density FROM
 (SELECT page, term, tf AS n, row_number() OVER (PARTITION BY page ORDER BY tf DESC, term) AS rank FROM counts) JOIN totals USING (page) WHERE rank <= 10""",
     "geo_text_signals": f"""SELECT doc_id, n AS numbers, c AS comparatives, p AS promotional, round(CASE WHEN n + c + p > 0 THEN (n + c)::DOUBLE / (n + c + p) ELSE 0 END, 6) AS factual_density FROM
@@ -105,7 +105,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY stage, local, w, or
 SELECT url, pick FROM (SELECT url, row_number() OVER (ORDER BY stage, local, w, ord) AS pick FROM o WHERE again = 1) WHERE pick <= 15""",
     "html_tag_counts": r"""SELECT page_id, len(regexp_extract_all(html, '(?i)<h1[\s>]')) AS h1_count, len(regexp_extract_all(html, '(?i)<(?:ul|ol)[\s>]')) AS lists,
 len(regexp_extract_all(html, '(?i)<table[\s>]')) AS tables, len(regexp_extract_all(html, '(?i)<img[\s>]')) AS images_total FROM pages""",
-    "geo_aeo_gaps": f"WITH {MENTIONS}, {_cloud(chr(39) + 'all' + chr(39))}, vocab AS (SELECT DISTINCT unnest({TOKENS.replace('text', 'context')}) AS term FROM mentions WHERE brand = '{BRANDS[2]}') "
+    "geo_aeo_gaps": f"WITH {MENTIONS}, {cloud(chr(39) + 'all' + chr(39))}, vocab AS (SELECT DISTINCT unnest({TOKENS.replace('text', 'context')}) AS term FROM mentions WHERE brand = '{BRANDS[2]}') "
     "SELECT term, score AS site_score, term IN (SELECT term FROM vocab) AS mentioned_by_model FROM cloud WHERE rank <= 30",
     "theme_clusters": _CLUSTERED + " SELECT * FROM clustered",
     "theme_answer_stats": _CLUSTERED + _STATS + f""", spots AS (SELECT theme, run_id, min({{'ix': strpos(lower(a.text), term), 'term': term}}) AS m, any_value(a.text) AS text
@@ -128,7 +128,7 @@ LEFT JOIN (SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'assist
 FROM documents JOIN labels USING (doc_id) GROUP BY ALL""",
 }
 
-ORACLE["phrase_cloud"] = f"""WITH {_cloud('source')},
+ORACLE["phrase_cloud"] = f"""WITH {cloud('source')},
 cut AS (SELECT site, page, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ss FROM pages_),
 lines AS (SELECT site, page, unnest(ss) AS line, unnest(range(len(ss))) AS sentence FROM cut),
 top AS (SELECT site, term FROM cloud WHERE rank <= 30),
@@ -137,10 +137,10 @@ hits AS (SELECT lines.site, term, page, line, row_number() OVER (PARTITION BY li
 SELECT site, term, pos, page, CASE WHEN length(line) > {T.SNIPPET} THEN substring(line, 1, {T.SNIPPET}) || '…' ELSE line END AS snippet FROM hits WHERE pos <= 5"""
 
 _SHORT = " UNION ALL ".join(f"SELECT {i} AS t, '{a}' AS template_id, '{p}' AS pattern" for i, (a, p) in enumerate(SHORT))
-ORACLE["hook_question_set"] = f"""WITH {_cloud('source')}, templates AS ({_SHORT}),
+ORACLE["hook_question_set"] = f"""WITH {cloud('source')}, templates AS ({_SHORT}),
 numbered AS (SELECT term AS hook, template_id, pattern, row_number() OVER (ORDER BY site, rank, t) - 1 AS n FROM cloud CROSS JOIN templates WHERE rank <= 3)
 SELECT n AS ord, template_id || '-' || n AS id, replace(replace(pattern, '{{persona}}', ({_list(ASKERS)})[(n % 4 + 1)::INT]), '{{hook}}', hook) AS text, template_id, hook, 'tagcloud' AS hook_source FROM numbered"""
-ORACLE["hook_question_set_full"] = f"""WITH {_cloud('source')}, templates AS ({_SHORT}),
+ORACLE["hook_question_set_full"] = f"""WITH {cloud('source')}, templates AS ({_SHORT}),
 good AS (SELECT site, rank, term, row_number() OVER (PARTITION BY site ORDER BY rank) AS place FROM cloud
          WHERE rank <= 50 AND document_frequency >= 2 AND length(term) >= 4 AND NOT list_contains({_list(ARTIFACTS)}, term)),
 numbered AS (SELECT term AS hook, template_id, pattern, row_number() OVER (ORDER BY site, rank, t) - 1 AS n FROM good CROSS JOIN templates WHERE place <= {MOST_HOOKS})
@@ -296,7 +296,7 @@ ORACLE["geo_site_averages"] = _FACTS + """SELECT count(*) AS pages, round(avg(de
 _MEASURED = (
     f"WITH {MENTIONS}, valued AS (SELECT *, CASE sentiment WHEN 'positive' THEN 1.0 WHEN 'negative' THEN -1.0 ELSE 0.0 END::DOUBLE AS value FROM mentions), measured AS (WITH "
     + _metrics("SELECT count(*) FROM runs", "SELECT brand FROM brands").strip()
-    + f"), {_cloud(chr(39) + 'all' + chr(39))}"
+    + f"), {cloud(chr(39) + 'all' + chr(39))}"
 )
 ORACLE["aeo_priorities"] = _MEASURED + f""", vocab AS (SELECT DISTINCT brand, unnest({TOKENS.replace('text', 'context')}) AS term FROM mentions),
 missing AS (SELECT b.brand, term, score, row_number() OVER (PARTITION BY b.brand ORDER BY score DESC, term) AS k FROM brands b JOIN cloud ON rank <= 30 WHERE NOT EXISTS (SELECT 1 FROM vocab v WHERE v.brand = b.brand AND v.term = cloud.term)),
@@ -313,7 +313,7 @@ UNION ALL SELECT brand, 'aeo', 'Top site keywords the model never uses when desc
  'Reinforce these terms in citable, structured site content so the model picks them up.', score FROM whole WHERE terms <> ''"""
 
 _PHRASES = ORACLE["phrase_cloud"].replace("SELECT source AS site", "SELECT 'all' AS site")
-ORACLE["product_hooks"] = f"""WITH {_cloud("'all'")}, phrases AS ({_PHRASES}), cut AS (SELECT doc_id, {_CUT.replace('text', "coalesce(text, '')")} AS ss FROM documents),
+ORACLE["product_hooks"] = f"""WITH {cloud("'all'")}, phrases AS ({_PHRASES}), cut AS (SELECT doc_id, {_CUT.replace('text', "coalesce(text, '')")} AS ss FROM documents),
 told AS (SELECT 0 AS part, doc_id AS n, ss[1] AS hook, 'meta_description' AS source, 1 AS document_frequency, 1 AS evidence, 'd' || doc_id AS u FROM cut WHERE length(ss[1]) >= 20 AND NOT contains(lower(ss[1]), '{BRANDS[0]}')
  UNION ALL SELECT 1, doc_id, ss[2], 'definition', 1, 1, 'd' || doc_id FROM cut WHERE ss[2] IS NOT NULL AND NOT contains(lower(ss[2]), '{BRANDS[0]}')),
 best AS (SELECT * FROM cloud WHERE rank <= 50 AND document_frequency >= 2 AND length(term) >= 4 AND NOT list_contains({_list([*ARTIFACTS, BRANDS[0]])}, term) ORDER BY rank LIMIT {MOST_HOOKS}),
