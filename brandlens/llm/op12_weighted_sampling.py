@@ -184,7 +184,7 @@ def _runs(rows: Iterator[tuple], limit: int = 2 * GROUP) -> Iterator[list[tuple]
 def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row's doc_id, code points, edited text's SHA-256, both fingerprints, and how like its own fingerprint is to
     the edited text's and to the next row's. The next row has the next smaller id (null last; equal ids in the order of
-    their texts, largest first); the first row follows the last.
+    their texts' hashes, largest first); the first row follows the last.
 
     Rows are dealt out once, by ranges of ids, and sorted; a task sees what follows all its rows but its last. What
     follows the last row of each task is the first one of a later task: these two rows a task are written with the
@@ -222,7 +222,8 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
             digest = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
             yield pa.RecordBatch.from_arrays([pa.array([id_], id_type), *digest, pa.array([part], pa.int32()), pa.array([ends["first"]], pa.string()), pa.array([last], pa.string())], names=names)
 
-    dealt = slim.orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc(), F.col("text").desc())
+    # Spark samples sort keys on the driver to choose the ranges, so the text itself is none of them.
+    dealt = slim.orderBy(F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc())
     found = stash.put("found", dealt.mapInArrow(walk, f"doc_id {kind}, {_TYPES}, part int, first_text string, last_text string"))
     whole = found.where("last_text is null").select("doc_id", *DIGEST)
 
