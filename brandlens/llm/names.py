@@ -4,6 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever dots or backticks are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
 
 def unused(columns: Iterable[str], name: str) -> str:
     """``name``, with underscores behind it until no column has it; Spark tells names apart without case."""

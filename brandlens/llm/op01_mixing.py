@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .names import column
 from .storage import Stash
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -167,7 +168,7 @@ def mix_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, total: floa
     once and never shuffled: each row finds its source's cut.
     """
     stash = Stash(docs.sparkSession, "mix")
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    own = F.struct(*[column(c) for c in docs.columns]).alias("own")
     rows = stash.put("rows", docs.select(own, F.monotonically_increasing_id().alias("row")))
     sized = rows.select("own", "row", F.col("own.doc_id").alias("doc_id"), F.col("own.source").alias("source"), n_words("own.text").alias("size"), uniform(F.col("own.doc_id"), F.col("own.text")).alias("u"))
     slim = stash.put("sized", sized.drop("own"))

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..shipping import ship
 from . import textnum
-from .names import unused, unused_prefix
+from .names import column, unused_prefix
 
 #: Family of each language code; a code that is not here is a family of its own. Fixed values.
 FAMILIES = {
@@ -28,10 +28,10 @@ FAMILIES = {
 }
 #: Hash buckets of the 1-, 2- and 3-grams.
 DIMENSIONS = 1 << 13
-#: Bounds of the training sample: rows a language, languages (the most frequent), and characters of a row (longer rows
-#: are not drawn).
+#: Bounds of the training sample: rows a language, rows in all (shared evenly by the languages, at least one each), and
+#: characters of a row (longer rows are drawn only where a language has no others).
 ROWS = 600
-MOST_LANGUAGES = 256
+ALL_ROWS = 12_000
 MOST_CHARS = 20_000
 EPOCHS = 12
 #: A document goes when its language's score is below this.
@@ -185,24 +185,26 @@ def held_out(key: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))) % 3 == 1
 
 
-def sample(labelled: DataFrame, rows: int = ROWS, most_chars: int = MOST_CHARS) -> list[tuple[str, str]]:
-    """Whole texts of at most ``rows`` rows a language: those with the least hashes of id and text.
+def sample(labelled: DataFrame, rows: int = ROWS, most_chars: int = MOST_CHARS, all_rows: int = ALL_ROWS) -> list[tuple[str, str]]:
+    """Texts of at most ``rows`` rows of every language, and of about ``all_rows`` in all: those with the least hashes
+    of id and text. Texts above ``most_chars`` come last and are cut there.
 
     The bounds hold whatever the ids: of equal hashes no more than ``rows`` are taken. Ranks are made in two steps,
     within parts of a language and then among the best of its parts, so that no task sees all rows of a language.
+    What comes to the driver is a row a language, and the sample.
     """
-    few = labelled.where((F.length("text") <= most_chars) & F.col("lang").isNotNull()).select(
-        "lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("draw")
+    few = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(
+        "lang", F.substring("text", 1, most_chars).alias("text"), F.struct(F.length("text") > most_chars, F.xxhash64(F.col("doc_id").cast("string"), "text")).alias("draw")
     )
-    names = [r["lang"] for r in few.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()]
-    slim = few.where(F.col("lang").isin(names)).select("lang", "draw", F.pmod("draw", F.lit(PARTS)).alias("part"))
+    rows = max(1, min(rows, all_rows // max(1, few.agg(F.count_distinct("lang")).first()[0])))
+    slim = few.select("lang", "draw", F.pmod(F.xxhash64("draw"), F.lit(PARTS)).alias("part"))
     best = lambda df, *by: df.withColumn("k", F.row_number().over(W.partitionBy(*by).orderBy("draw"))).where(F.col("k") <= rows)
-    ends = best(best(slim, "lang", "part"), "lang").groupBy("lang").agg(F.max("draw").alias("end")).collect()
-    inside = F.lit(False)
-    for lang, end in ends:
-        inside = inside | ((F.col("lang") == F.lit(lang)) & (F.col("draw") <= F.lit(end)))
+    ends = best(best(slim, "lang", "part"), "lang").groupBy("lang").agg(F.max("draw").alias("end"))
+    # A local table of a row a language: Spark knows its size when it chooses the join, which then moves no texts.
+    known = labelled.sparkSession.createDataFrame(ends.collect(), ends.schema)
+    inside = few.join(known, "lang").where("draw <= end")
     # Below the last hash there are fewer than ``rows``; rows that share it are ranked once more.
-    spread = few.where(inside).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
+    spread = inside.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
     return [(r["text"], r["lang"]) for r in best(best(spread, "lang", "part"), "lang").select("lang", "text").collect()]
 
 
@@ -217,7 +219,9 @@ def classify(docs: DataFrame, model: Model, text: str = "text", prefix: str = ""
     lang, score = f"{prefix}lang_pred", f"{prefix}score"
     rest = [c for c in docs.columns if c not in (lang, score)]
     readable = F.when(F.col(f"`{text}`").rlike(r"\p{L}"), F.col(f"`{text}`"))
-    given = docs.select(readable.alias(unused(docs.columns, "_read")), *[F.col(f"`{c}`") for c in rest])
+    # Columns go to Python by place: their names may hold dots.
+    given = docs.select(readable.alias("read"), *[column(c).alias(f"c{k}") for k, c in enumerate(rest)])
+    places = given.columns[1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,11 +238,11 @@ def classify(docs: DataFrame, model: Model, text: str = "text", prefix: str = ""
             if not model.languages:
                 name[:], sure[:] = UNKNOWN, 0.0
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(name, pa.string()), pa.array(sure)], names=[*rest, lang, score]
+                [*batch.columns[1:], pa.array(name, pa.string()), pa.array(sure)], names=[*places, "lang", "score"]
             )
 
-    schema = T.StructType([*given.schema.fields[1:], T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
-    return given.mapInArrow(run, schema)
+    schema = T.StructType([*given.schema.fields[1:], T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
+    return given.mapInArrow(run, schema).toDF(*rest, lang, score)
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -263,4 +267,4 @@ def keep_documents(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     prefix = unused_prefix(docs.columns, "_id_")
     out = classify(docs, model, prefix=prefix)
     good = (F.col(f"`{prefix}lang_pred`") != UNKNOWN) & (F.col(f"`{prefix}score`") >= least)
-    return out.where(good).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.where(good).select(*[column(c) for c in docs.columns])

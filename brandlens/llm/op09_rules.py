@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .names import unused_prefix
+from .names import column, unused_prefix
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -157,5 +157,5 @@ def keep_documents(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "
     prefix = unused_prefix(docs.columns, "_rule_")
     out = apply_rules(docs, rules, text, prefix=prefix)
     once = F.when(F.col(f"{prefix}kept"), F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>"))
-    own = [F.col(f"`{c}`") for c in docs.columns]
+    own = [column(c) for c in docs.columns]
     return out.select(*own, F.explode(once).alias(f"{prefix}once")).select(*own)

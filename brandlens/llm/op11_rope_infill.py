@@ -213,8 +213,9 @@ def transform(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 def restore(outputs: DataFrame) -> DataFrame:
     """``outputs`` (with columns output and form) and the text rebuilt from these two alone, as ``restored``."""
     ship(outputs.sparkSession)
-    schema = outputs.schema
-    names = [*outputs.columns, "restored"]
+    # Columns go to Python by place: their names may hold dots.
+    given = outputs.toDF(*[f"c{k}" for k in range(len(outputs.columns))])
+    names = [*given.columns, "restored"]
     form_at, output_at = outputs.columns.index("form"), outputs.columns.index("output")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +226,8 @@ def restore(outputs: DataFrame) -> DataFrame:
                 kept = [c.slice(low, high - low) for c in batch.columns]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(again, pa.string())], names=names)
 
-    return outputs.mapInArrow(run, type(schema)(list(schema.fields)).add("restored", "string"))
+    found = given.mapInArrow(run, type(given.schema)(list(given.schema.fields)).add("restored", "string"))
+    return found.toDF(*outputs.columns, "restored")
 
 
 def _bounded(texts: pa.Array) -> Iterator[tuple[int, int, list[str]]]:

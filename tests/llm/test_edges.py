@@ -126,6 +126,13 @@ def test_language_sample_is_bounded_for_any_ids(spark):
     assert Counter(lang for _, lang in got) == {"en": op08_language.ROWS, "de": op08_language.ROWS, "es": 50}
 
 
+def test_every_language_is_learned(spark):
+    names = ["en", *[f"l{k}" for k in range(400)]]
+    rows = [(k, f"text {names[k % 401]} {k}", names[k % 401], "a", 0) for k in range(401 * 4)] + [(9000 + k, "the only rows " * 2000 + str(k), "xx", "a", 0) for k in range(3)]
+    got = Counter(lang for _, lang in op08_language.sample(spark.createDataFrame(rows, DOCS).repartition(3), all_rows=900))
+    assert set(got) == {*names, "xx"} and max(got.values()) == 2
+
+
 def test_weak_label_sample_takes_repeated_rows_once(spark):
     good = "the river and the house of the old town was in the blue light that is for all to see on a day " * 3
     rows = [(1, good, None, None, None)] * 3000 + [(k, good + str(k), None, None, None) for k in range(2, 60)] + [(100 + k, "$$$$ **** ### zzz " * 20 + str(k), None, None, None) for k in range(40)]
@@ -140,11 +147,12 @@ def test_weak_label_sample_takes_repeated_rows_once(spark):
     "keep", [op01_mixing.mix_documents, op07_near_dedup.keep_documents, op08_language.keep_documents, op09_rules.keep_documents], ids=["mix", "near", "language", "rules"]
 )
 def test_stages_leave_columns_of_clashing_names_alone(spark, keep):
-    names = ["_hash", "_k_id", "_own_hash", "_id_lang_pred", "_id_score", "_read", "_m_copy", "_m_id", "_rule_once", "_rule_kept", "row", "own", "copies", "size", "score"]
+    names = ["_hash", "_k_id", "_own_hash", "_id_lang_pred", "_id_score", "_read", "_m_copy", "_m_id", "_rule_once", "_rule_kept", "row", "own", "copies", "size", "score", "a.b", "c`d", "lang.x"]
     text = "the river and the house of the old town was in the blue light that is for all to see on a day by "
     rows = [(k, text + " ".join(f"w{k}x{j} and the" for j in range(40)), "en", "a", 5, *[f"{n}{k}" for n in names]) for k in range(12)]
+    quoted = lambda n: "`" + n.replace("`", "``") + "`"
     rows += [(None, None, None, None, None, *[None] * len(names)), (50, "", None, None, None, *[None] * len(names))]
-    df = spark.createDataFrame(rows, DOCS + "".join(f", `{n}` string" for n in names))
+    df = spark.createDataFrame(rows, DOCS + "".join(f", {quoted(n)} string" for n in names))
     out = keep(df)
     assert out.columns == df.columns
     got = out.collect()
