@@ -25,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     for name, words in (
         ("scrape", {"url": None, "mode": "quick", "quick-cap": 15, "delay": 300, "timeout": 10, "retries": 2, "concurrency": 3}),
         ("questions", {"brand": None, "competitors": ""}),
-        ("aeo", {"brand": None, "competitors": None, "category": None, "mode": "quick", "prompts": 0, "runs": 0, "include-questions": "", "questions-runs": 2, "questions-limit": 0, "recorded": "", "delay": 500, "timeout": 30, "retries": 2}),
+        ("aeo", {"brand": None, "competitors": None, "category": None, "mode": "quick", "prompts": 0, "runs": 0, "include-questions": "", "questions-runs": 2, "questions-limit": 0, "recorded": "", "log": "", "delay": 500, "timeout": 30, "retries": 2, "concurrency": 3, "temperature": 0.9}),
         ("clusters", {"method": "taxonomy"}),
     ):
         command = commands.add_parser(name)
@@ -33,7 +33,7 @@ def parser() -> argparse.ArgumentParser:
         command.add_argument("--product", required=True)
         command.add_argument("--clients")
         for word, default in words.items():
-            command.add_argument(f"--{word}", default=default, required=default is None, type=int if isinstance(default, int) else str)
+            command.add_argument(f"--{word}", default=default, required=default is None, type=str if default is None else type(default))
     return top
 
 
@@ -58,8 +58,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif args.job == "aeo":
         count, runs = (10, 3) if args.mode == "quick" else (24, 6)
         asked = {"include": args.include_questions or None, "question_runs": args.questions_runs, "question_limit": args.questions_limit or None}
+        asked["log"] = args.log or None
         asked["recorded"] = recorded_runs(lake, args.recorded) if args.recorded else None
-        pacing = {"delay": args.delay / 1000, "timeout": float(args.timeout), "retries": args.retries}
+        pacing = {"delay": args.delay / 1000, "timeout": float(args.timeout), "retries": args.retries, "tasks": args.concurrency, "temperature": args.temperature}
         print(jobs.audit(lake, args.product, args.brand, names(args.competitors), args.category, clients.ask, args.prompts or count, args.runs or runs, **asked, **pacing))
     else:
         jobs.cluster(lake, args.product, clients.ask if args.method == "llm" else None).show(50, False)

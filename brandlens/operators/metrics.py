@@ -31,7 +31,11 @@ def extract_mentions(runs: DataFrame, brands: Sequence[str], run: str = "run_id"
     low = F.lower(F.col(text))
     hits = F.array(*[F.struct(F.instr(low, b.lower()).alias("ix"), F.lit(i).alias("ord"), F.lit(b).alias("brand")) for i, b in enumerate(dict.fromkeys(brands)) if b])
     found = F.sort_array(F.filter(hits, lambda h: h["ix"] > 0))
-    rows = runs.select(run, text, F.posexplode(found).alias("at", "hit"))
+    return judged(runs.select(run, text, F.posexplode(found).alias("at", "hit")), run, text)
+
+
+def judged(rows: DataFrame, run: str, text: str) -> DataFrame:
+    """Mentions of rows (run, text, at, hit): a brand's place in its run's order of first appearance, and where it is."""
     context = T.context_window(F.col(text), F.col("hit.ix"), F.length("hit.brand"))
     out = rows.select(run, F.col("hit.brand").alias("brand"), (F.col("at") + 1).cast("long").alias("position"), context.alias("context"))
     roles = out.withColumn("role", T.role(F.col("context"), F.col("position") == 1))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .numbering import number
 
 # Personas as (role, team size, English phrase, Spanish phrase).
 PERSONAS = [
@@ -158,7 +159,8 @@ def site_hooks(tagcloud: DataFrame, exclude: Sequence[str] = (), most: int = MOS
     """(ord, hook, source) of many sites: the tag-cloud hooks that scan_hooks finds for each, by site and rank."""
     place = F.row_number().over(W.partitionBy("site").orderBy("rank"))
     top = hook_terms(tagcloud, exclude).withColumn("place", place).where(F.col("place") <= most)
-    return top.select(F.row_number().over(W.orderBy("site", "rank")).alias("ord"), F.col("term").alias("hook"), F.lit("tagcloud").alias("source"))
+    named = top.select("site", "rank", F.col("term").alias("hook"), F.lit("tagcloud").alias("source"))
+    return number(named, "site", "rank").select("ord", "hook", "source")
 
 
 def scan_hooks(seo: DataFrame, geo: DataFrame, tagcloud: DataFrame, phrases: DataFrame, exclude: Sequence[str] = (), most: int = MOST_HOOKS) -> DataFrame:
@@ -176,15 +178,14 @@ def scan_hooks(seo: DataFrame, geo: DataFrame, tagcloud: DataFrame, phrases: Dat
     cloud = top.select(F.lit(2).alias("part"), F.col("rank").alias("n"), F.col("term").alias("hook"), F.lit("tagcloud").alias("source"), "document_frequency", shown.alias("evidence"))
     every = meta.unionByName(told).unionByName(cloud)
     once = every.withColumn("k", F.row_number().over(W.partitionBy("hook").orderBy("part", "n", "evidence"))).where("k = 1")
-    return once.select(F.row_number().over(W.orderBy("part", "n", "hook")).cast("long").alias("ord"), "hook", "source", "document_frequency", "evidence")
+    return number(once, "part", "n", "hook").select("ord", "hook", "source", "document_frequency", "evidence")
 
 
 def hook_questions(hooks: DataFrame) -> DataFrame:
     """(ord, id, text, template_id, hook, hook_source): four short or two long templates a hook."""
     rows = lambda ts: F.array(*[F.struct(F.lit(i).alias("t"), F.lit(a).alias("template_id"), F.lit(p).alias("pattern")) for i, (a, p) in enumerate(ts)])
     wide = hooks.withColumn("t", F.explode(F.when(T.is_long_form(F.col("hook")), rows(LONG)).otherwise(rows(SHORT))))
-    n = (F.row_number().over(W.orderBy("ord", "t.t")) - 1).alias("n")
-    out = wide.select("*", n)
+    out = number(wide, "ord", "t.t", name="n", start=0)
     text = fill(F.col("t.pattern"), persona=_pick(ASKERS, F.col("n")), hook=F.col("hook"))
     return out.select(F.col("n").cast("long").alias("ord"), F.concat_ws("-", "t.template_id", F.col("n").cast("string")).alias("id"), text.alias("text"), F.col("t.template_id").alias("template_id"), "hook", F.col("source").alias("hook_source"))
 
@@ -196,8 +197,8 @@ def inferential_questions(claims: DataFrame, competitors: Sequence[str]) -> Data
     rows = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(r[0]).alias("template_id"), F.lit(r[1]).alias("stage"), F.lit(r[2]).alias("pattern"), F.lit(r[3]).alias("audience")) for i, r in enumerate(table)])
     has = F.size("audience") > 0
     fits = F.filter(rows, lambda r: (r["audience"] == "any") | ((r["audience"] == "with") == has))
-    wide = claims.withColumn("claim", F.row_number().over(W.orderBy("ord")) - 1).withColumn("t", F.explode(fits))
-    wide = wide.withColumn("n", F.row_number().over(W.orderBy("ord", "t.t")) - 1)
+    wide = number(claims, "ord", name="claim", start=0).withColumn("t", F.explode(fits))
+    wide = number(wide, "ord", "t.t", name="n", start=0)
     values = {"persona": _pick(ASKERS, F.col("n")), "problem": F.col("problem"), "audience": F.coalesce(F.get("audience", F.lit(0)), F.lit(""))}
     if pairs:
         values |= {"competitorA": _pick([a for a, _ in pairs], F.col("claim")), "competitorB": _pick([b for _, b in pairs], F.col("claim"))}
@@ -205,7 +206,7 @@ def inferential_questions(claims: DataFrame, competitors: Sequence[str]) -> Data
 
 
 def scan_claims(texts: DataFrame, exclude: Sequence[str] = (), least: int = 3) -> DataFrame:
-    """(ord, problem, audience, evidence) from (ord, url, text): what a text says it helps to do.
+    """(ord, problem, audience, evidence) from (ord, url, text), in order: what a text says it helps to do.
 
     A claim runs from a verb of the lists to the end of its sentence; ``help`` and what it addresses are dropped,
     other verbs stay in their base form. Fragments of fewer than ``least`` words, or that name an excluded term, go.
@@ -223,7 +224,7 @@ def scan_claims(texts: DataFrame, exclude: Sequence[str] = (), least: int = 3) -
     grouped = rows.groupBy(F.lower("problem").alias("key")).agg(
         F.min(F.struct("ord", "at", "problem", heard.alias("audience"))).alias("first"), F.array_sort(F.collect_set(F.struct("url", "snippet"))).alias("evidence")
     )
-    return grouped.select(F.row_number().over(W.orderBy("first.ord", "first.at", "key")).cast("long").alias("ord"), "first.problem", "first.audience", "evidence")
+    return number(grouped, "first.ord", "first.at", "key").select("ord", "first.problem", "first.audience", "evidence").orderBy("ord")
 
 
 def question_prompts(hook_questions: DataFrame | None, inferential: DataFrame | None, limit: int | None = None) -> DataFrame:

@@ -50,6 +50,25 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, site: str = "site", url: s
     return urls.join(listed, site, "left").withColumn("allowed", path.isNotNull() & F.when(F.size(fits) == 0, F.lit(True)).otherwise(verdict)).drop("rules")
 
 
+def robots_allowed_by_prefix(urls: DataFrame, rules: DataFrame, site: str = "site", url: str = "url") -> DataFrame:
+    """As ``robots_allowed``, for files of thousands of rules: a join on prefixes instead of a list on every row.
+
+    Each distinct path of a site is spread into its beginnings of the lengths that the site's rules have, and these meet
+    the rules by equality; the longest that is there decides. Work grows with the lengths, not with the rules. A site
+    with most of the paths is dealt out by path.
+    """
+    known = rules.groupBy(F.col(site).alias("r_site"), "prefix").agg(F.min_by("allow", "ord").alias("allow")).withColumn("n", F.length("prefix"))
+    lengths = known.groupBy(F.col("r_site").alias("l_site")).agg(F.sort_array(F.collect_set("n")).alias("lengths"))
+    marked = urls.withColumn("_path", U.url_path(F.col(url)))
+    paths = marked.where("_path IS NOT NULL").select(F.col(site).alias("p_site"), F.col("_path").alias("path")).distinct().join(lengths, F.col("p_site") == F.col("l_site"))
+    fits = F.filter("lengths", lambda n: n <= F.length("path"))
+    heads = paths.select("p_site", "path", F.explode(F.transform(fits, lambda n: F.substring("path", 1, n))).alias("head"))
+    met = heads.join(known, (F.col("p_site") == F.col("r_site")) & (F.col("head") == F.col("prefix")))
+    verdicts = met.groupBy("p_site", "path").agg(F.max_by("allow", "n").alias("verdict"))
+    joined = marked.join(verdicts, (F.col(site) == F.col("p_site")) & (F.col("_path") == F.col("path")), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in urls.columns], (F.col("_path").isNotNull() & F.coalesce("verdict", F.lit(True))).alias("allowed"))
+
+
 def quick_urls(entries: DataFrame, cap: int, ord: str = "ord") -> DataFrame:
     """(url, pick): entries are (ord, url, priority). A few of each type first, those of the default language before
     others, then the rest by language and priority; the first of equal URLs counts."""
@@ -236,8 +255,12 @@ def geo_findings(signals: DataFrame) -> DataFrame:
     )
 
 
-def prioritised(findings: DataFrame) -> DataFrame:
+def priority_order() -> list[Column]:
     """By impact, then effort, then SEO, GEO, AEO."""
     order = lambda c, ranks: F.create_map(*[F.lit(x) for kv in ranks.items() for x in kv])[F.col(c)]
     effort = {"low": 0, "medium": 1, "high": 2}
-    return findings.orderBy(order("impact", RANKS), order("effort", effort), order("dimension", {"seo": 0, "geo": 1, "aeo": 2}), "finding")
+    return [order("impact", RANKS), order("effort", effort), order("dimension", {"seo": 0, "geo": 1, "aeo": 2}), F.col("finding")]
+
+
+def prioritised(findings: DataFrame) -> DataFrame:
+    return findings.orderBy(*priority_order())

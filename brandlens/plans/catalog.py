@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import urls as U
 from ..operators import clusters, metrics, questions, report, site, tagcloud
+from ..operators.numbering import number
 from ..shipping import ship
 from ..sources import sitemap
 
@@ -185,10 +186,9 @@ def prompt_set(spark, sf):
 
 
 def hook_question_set(spark, sf):
-    pages = _site_pages(spark, sf)
-    top = tagcloud.site_tagcloud(pages).where("rank <= 3")
-    hooks = top.select(F.row_number().over(W.orderBy("site", "rank")).alias("ord"), F.col("term").alias("hook"), F.lit("tagcloud").alias("source"))
-    return questions.hook_questions(hooks)
+    """Questions of every term of the sites' tag clouds, without the operator's filters and limit."""
+    top = tagcloud.site_tagcloud(_site_pages(spark, sf)).select("site", "rank", F.col("term").alias("hook"), F.lit("tagcloud").alias("source"))
+    return questions.hook_questions(number(top, "site", "rank").drop("site", "rank"))
 
 
 def hook_question_set_full(spark, sf):

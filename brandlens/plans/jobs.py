@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from datetime import UTC, datetime
 from functools import reduce
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..operators import clusters, metrics, questions, report, site, tagcloud
 from ..shipping import ship
-from ..sources.clients import Ask, Fetch, ask_model, crawl, replay, run_prompts
+from ..sources.call_log import CallLog
+from ..sources.clients import Ask, Fetch, ask_model, crawl, replay
 from ..sources.lake import Lake
 
 
@@ -88,7 +90,14 @@ def _measured(lake: Lake, product: str, prefix: str, good: DataFrame, names: Seq
     return found, _need(lake, product, ("aeo", f"{prefix}brand_metric"))[0]
 
 
-def grounded(lake: Lake, product: str, names: Sequence[str], ask: Ask, include: str, runs: int = 2, limit: int | None = None, **pacing) -> dict | None:
+def _asked(lake: Lake, product: str, log: str, prompts: DataFrame, ask: Ask, runs: int, **pacing) -> DataFrame:
+    """The runs of prompts in a log of calls, after making those that are not in it."""
+    calls = CallLog(lake.spark, f"{lake.path('aeo', 'call')}/product={product}/log={log}")
+    calls.ask(prompts, ask, runs, **pacing)
+    return calls.runs(prompts)
+
+
+def grounded(lake: Lake, product: str, names: Sequence[str], ask: Ask, include: str, log: str, runs: int = 2, limit: int | None = None, **pacing) -> dict | None:
     """Asks the site's own questions (``include``: hooks, inferential or both) and measures the answers apart from the
     neutral runs; what the report shows of them."""
     wanted = [t for t, k in (("hook_question", "hooks"), ("inferential_question", "inferential")) if include in (k, "both")]
@@ -96,7 +105,7 @@ def grounded(lake: Lake, product: str, names: Sequence[str], ask: Ask, include:
     asked = questions.question_prompts(found.get("hook_question"), found.get("inferential_question"), limit)
     _put(lake, product, "aeo", "brand_grounded_prompt", asked)
     (asked,) = _need(lake, product, ("aeo", "brand_grounded_prompt"))
-    _put(lake, product, "aeo", "brand_grounded_run", run_prompts(asked, ask, runs, **pacing))
+    _put(lake, product, "aeo", "brand_grounded_run", _asked(lake, product, f"{log}-brand-grounded", asked, ask, runs, **pacing))
     good = metrics.successful(_need(lake, product, ("aeo", "brand_grounded_run"))[0])
     _, measured = _measured(lake, product, "brand_grounded_", good, names, good, ["source", "stage"])
     (breakdown,) = _need(lake, product, ("aeo", "brand_grounded_dimension_breakdown"))
@@ -122,15 +131,19 @@ def audit(
     question_runs: int = 2,
     question_limit: int | None = None,
     recorded: DataFrame | None = None,
+    log: str | None = None,
     **pacing,
 ) -> str:
     """Ask (or take recorded runs), measure, and write the report; the Markdown is returned. ``include`` adds runs of the
-    site's own questions, which touch neither scores nor priorities."""
+    site's own questions, which touch neither scores nor priorities. An audit that ended halfway is taken up again by
+    its ``log``: calls that are in the log of this name are not made again."""
+    log = log or uuid.uuid4().hex
     seo, geo, cloud, broken = _need(lake, product, ("extracted", "seo_signal"), ("geo", "geo_signal"), ("extracted", "tagcloud_site"), ("extracted", "broken_url"))
     names = [brand, *competitors]
     asked = questions.generate_prompts(lake.spark, brand, competitors, category, prompts).withColumnRenamed("persona_role", "persona")
     _put(lake, product, "aeo", "prompt", asked)
-    _put(lake, product, "aeo", "run", run_prompts(asked, ask, runs, **pacing) if recorded is None else replay(recorded, asked))
+    (asked,) = _need(lake, product, ("aeo", "prompt"))
+    _put(lake, product, "aeo", "run", _asked(lake, product, log, asked, ask, runs, **pacing) if recorded is None else replay(recorded, asked))
     good = metrics.successful(_need(lake, product, ("aeo", "run"))[0])
     found, measured = _measured(lake, product, "", good, names, good, ["intent", "persona", "specificity", "attribute", "language"])
     _put(lake, product, "aeo", "geo_aeo_gap", metrics.geo_aeo_gaps(cloud, found, brand))
@@ -140,7 +153,7 @@ def audit(
     own = measured.where(F.col("brand") == brand).select(site.aeo_score(F.col("share_of_voice"), F.col("sentiment_score"))).first()
     scores = {"seo": seo.agg(site.seo_score(seo, broken.count())).first()[0], "geo": geo.agg(site.geo_score()).first()[0], "aeo": own[0] if own else 0}
     _put(lake, product, "report", "score", lake.spark.createDataFrame([(k, int(s), report.label(s)) for k, s in scores.items()], "dimension string, score long, label string"))
-    apart = grounded(lake, product, names, ask, include, question_runs, question_limit, **pacing) if include else None
+    apart = grounded(lake, product, names, ask, include, log, question_runs, question_limit, **pacing) if include else None
     facts = report.report_facts(seo, geo, broken, cloud, gaps)
     (findings,) = _need(lake, product, ("report", "finding"))
     text = report.render_report(brand, competitors, scores, facts, good.count(), _in_order(measured, names), site.prioritised(findings).collect(), apart, datetime.now(UTC).isoformat())

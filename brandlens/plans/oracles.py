@@ -138,7 +138,7 @@ SELECT site, term, pos, page, CASE WHEN length(line) > {T.SNIPPET} THEN substrin
 
 _SHORT = " UNION ALL ".join(f"SELECT {i} AS t, '{a}' AS template_id, '{p}' AS pattern" for i, (a, p) in enumerate(SHORT))
 ORACLE["hook_question_set"] = f"""WITH {cloud('source')}, templates AS ({_SHORT}),
-numbered AS (SELECT term AS hook, template_id, pattern, row_number() OVER (ORDER BY site, rank, t) - 1 AS n FROM cloud CROSS JOIN templates WHERE rank <= 3)
+numbered AS (SELECT term AS hook, template_id, pattern, row_number() OVER (ORDER BY site, rank, t) - 1 AS n FROM cloud CROSS JOIN templates WHERE rank <= 50)
 SELECT n AS ord, template_id || '-' || n AS id, replace(replace(pattern, '{{persona}}', ({_list(ASKERS)})[(n % 4 + 1)::INT]), '{{hook}}', hook) AS text, template_id, hook, 'tagcloud' AS hook_source FROM numbered"""
 ORACLE["hook_question_set_full"] = f"""WITH {cloud('source')}, templates AS ({_SHORT}),
 good AS (SELECT site, rank, term, row_number() OVER (PARTITION BY site ORDER BY rank) AS place FROM cloud

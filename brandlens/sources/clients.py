@@ -91,8 +91,8 @@ def robots_text(site: str, fetch: Fetch) -> str:
 
 
 def documents(urls: DataFrame, fetch: Fetch) -> DataFrame:
-    """(ord, xml) of the URLs that answer with 200."""
-    return crawl(urls, fetch).where("status = 200").select("ord", F.col("html").alias("xml"))
+    """(url, xml) of the URLs that answer with 200."""
+    return crawl(urls, fetch).where("status = 200").select("url", F.col("html").alias("xml"))
 
 
 def ask_model(prompt: str, ask: Ask, retries: int = 2, timeout: float | None = None, wait: Callable[[float], None] = time.sleep) -> tuple[str | None, str | None, str | None]:
@@ -114,14 +114,17 @@ def ask_model(prompt: str, ask: Ask, retries: int = 2, timeout: float | None = N
     return None, None, error
 
 
-def run_prompts(prompts: DataFrame, ask: Ask, runs: int = 3, retries: int = 2, timeout: float | None = 30.0, temperature: float = 0.9, delay: float = 0.0) -> DataFrame:
-    """Every prompt (id, text, ...) asked so many times: run_id, prompt_id, prompt_text, the prompt's other columns,
-    temperature, timestamp, finish_reason, text, error. Ids are the same in a retry; a failed call has no text."""
-    ship(prompts.sparkSession)
+def with_repetitions(prompts: DataFrame, runs: int) -> DataFrame:
+    """Prompts (id, text, ...) as (prompt_id, prompt_text, ..., rep), ``runs`` rows each."""
     rest = [c for c in prompts.columns if c not in ("id", "text", "ord")]
-    jobs = prompts.select(F.col("id").alias("prompt_id"), F.col("text").alias("prompt_text"), *rest, F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("rep"))
-    added = T.StructType().add("run_id", "string").add("temperature", "double").add("timestamp", "string").add("finish_reason", "string").add("text", "string").add("error", "string")
-    kept = [f for f in jobs.schema.fields if f.name != "rep"]
+    return prompts.select(F.col("id").alias("prompt_id"), F.col("text").alias("prompt_text"), *rest, F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("rep"))
+
+
+def call_model(calls: DataFrame, ask: Ask, retries: int = 2, timeout: float | None = 30.0, temperature: float = 0.9, delay: float = 0.0, tasks: int = 3) -> DataFrame:
+    """Each row's prompt_text asked, ``tasks`` at a time: all columns, then temperature, timestamp, finish_reason, text,
+    error. A failed call has no text."""
+    ship(calls.sparkSession)
+    added = T.StructType().add("temperature", "double").add("timestamp", "string").add("finish_reason", "string").add("text", "string").add("error", "string")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -129,14 +132,21 @@ def run_prompts(prompts: DataFrame, ask: Ask, runs: int = 3, retries: int = 2, t
             for prompt in batch["prompt_text"]:
                 got.append((*ask_model(prompt, ask, retries, timeout), _now()))
                 time.sleep(delay)
-            out = batch.drop(columns="rep")
-            out["run_id"] = batch["prompt_id"] + "#" + batch["rep"].astype(str)
-            out["temperature"] = temperature
-            for k, name in enumerate(("text", "finish_reason", "error", "timestamp")):
+            out = batch.assign(temperature=temperature)
+            for name, k in (("timestamp", 3), ("finish_reason", 1), ("text", 0), ("error", 2)):
                 out[name] = [g[k] for g in got]
             yield out
 
-    return jobs.mapInPandas(run, T.StructType([*kept, *added.fields]))
+    return calls.repartition(tasks).mapInPandas(run, T.StructType([*calls.schema.fields, *added.fields]))
+
+
+def run_prompts(prompts: DataFrame, ask: Ask, runs: int = 3, **pacing) -> DataFrame:
+    """Every prompt (id, text, ...) asked so many times: prompt_id, prompt_text, the prompt's other columns, run_id,
+    temperature, timestamp, finish_reason, text, error. Ids are the same in a retry. Nothing is kept of what was asked
+    before a failure; ``call_log`` does that."""
+    answered = call_model(with_repetitions(prompts, runs), ask, **pacing)
+    named = answered.withColumn("run_id", F.concat("prompt_id", F.lit("#"), F.col("rep").cast("string")))
+    return named.select(*[c for c in answered.columns if c not in ("rep", "temperature", "timestamp", "finish_reason", "text", "error")], "run_id", "temperature", "timestamp", "finish_reason", "text", "error")
 
 
 def replay(recorded: DataFrame, prompts: DataFrame) -> DataFrame:
