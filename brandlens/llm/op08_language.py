@@ -33,6 +33,8 @@ DIMENSIONS = 1 << 13
 ROWS = 600
 ALL_ROWS = 12_000
 MOST_CHARS = 20_000
+#: Languages up to which what is known of each is broadcast: a few hundred kilobytes.
+FEW_LANGUAGES = 10_000
 EPOCHS = 12
 #: A document goes when its language's score is below this.
 LEAST_SCORE = 0.15
@@ -200,9 +202,10 @@ def sample(labelled: DataFrame, rows: int = ROWS, most_chars: int = MOST_CHARS,
     slim = few.select("lang", "draw", F.pmod(F.xxhash64("draw"), F.lit(PARTS)).alias("part"))
     best = lambda df, *by: df.withColumn("k", F.row_number().over(W.partitionBy(*by).orderBy("draw"))).where(F.col("k") <= rows)
     ends = best(best(slim, "lang", "part"), "lang").groupBy("lang").agg(F.max("draw").alias("end"))
-    # A local table of a row a language: Spark knows its size when it chooses the join, which then moves no texts.
-    known = labelled.sparkSession.createDataFrame(ends.collect(), ends.schema)
-    inside = few.join(known, "lang").where("draw <= end")
+    found = ends.collect()
+    known = labelled.sparkSession.createDataFrame(found, ends.schema)
+    # A row a language. While they are few they are broadcast, and no texts move; otherwise texts are dealt out by language.
+    inside = few.join(F.broadcast(known) if len(found) <= FEW_LANGUAGES else known, "lang").where("draw <= end")
     # Below the last hash there are fewer than ``rows``; rows that share it are ranked once more.
     spread = inside.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)))
     return [(r["text"], r["lang"]) for r in best(best(spread, "lang", "part"), "lang").select("lang", "text").collect()]
