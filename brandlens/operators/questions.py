@@ -105,10 +105,15 @@ def fill(pattern: Column, **values: Column) -> Column:
 
 
 def generate_prompts(spark: SparkSession, brand: str, competitors: Sequence[str], category: str, count: int) -> DataFrame:
-    """(ord, id, text, intent, persona_role, team_size, specificity, attribute, language, brands_named)."""
+    """(ord, id, text, intent, persona_role, team_size, specificity, attribute, language, brands_named) of one product."""
+    product = spark.createDataFrame([(brand, list(competitors), category)], "brand string, competitors array<string>, category string")
+    return prompts_of_products(product, count).drop("brand", "competitors", "category")
+
+
+def prompts_of_products(products: DataFrame, count: int) -> DataFrame:
+    """The prompts of every product (brand, competitors array, category, ...), ``count`` a product, with its columns."""
     control = max(2, int(count * 0.15 + 0.5))
     normal = max(0, count - control)
-    rivals = list(competitors) or [NO_COMPETITOR]
     i = F.when(F.col("ord") < normal, F.col("ord")).otherwise(F.col("ord") - normal)
     own = F.col("ord") < normal
     english = i % 2 == 0
@@ -117,13 +122,13 @@ def generate_prompts(spark: SparkSession, brand: str, competitors: Sequence[str]
     intent = F.when(own, _pick(kinds, i)).otherwise(F.lit(CONTROL[0]))
     # The intent's own number turns with i, so an anchor moves two steps a prompt.
     anchor = i + i % len(INTENTS)
-    rival = _pick(rivals, i)
-    second = _pick(rivals, i + 1) if len(competitors) > 1 else rival
-    first = F.when((intent == "troubleshooting_replacement") & english, rival).otherwise(F.lit(brand))
+    rivals = F.when(F.size("competitors") > 0, F.col("competitors")).otherwise(F.array(F.lit(NO_COMPETITOR)))
+    rival, second = (F.element_at(rivals, ((i + k) % F.size(rivals)).cast("int") + 1) for k in (0, 1))
+    first = F.when((intent == "troubleshooting_replacement") & english, rival).otherwise(F.col("brand"))
     text = F.when(own, side(_pick([r[2] for r in INTENTS], i), _pick([r[3] for r in INTENTS], i))).otherwise(side(F.lit(CONTROL[2]), F.lit(CONTROL[3])))
     text = fill(
         text,
-        category=F.lit(category),
+        category=F.col("category"),
         persona=side(_pick([p[2] for p in PERSONAS], i), _pick([p[3] for p in PERSONAS], i)),
         attribute=side(_pick([a[1] for a in ATTRIBUTES], anchor), _pick([a[2] for a in ATTRIBUTES], anchor)),
         brandA=first,
@@ -131,12 +136,13 @@ def generate_prompts(spark: SparkSession, brand: str, competitors: Sequence[str]
         brandC=second,
     )
     named = (
-        F.when(intent == "direct_comparison", F.array(F.lit(brand), rival))
+        F.when(intent == "direct_comparison", F.array(F.col("brand"), rival))
         .when(intent == "troubleshooting_replacement", F.array(first))
-        .when(intent == "final_decision", F.array(F.lit(brand), rival, second))
+        .when(intent == "final_decision", F.array(F.col("brand"), rival, second))
         .otherwise(F.array().cast("array<string>"))
     )
-    return spark.range(normal + control).withColumnRenamed("id", "ord").select(
+    return products.withColumn("ord", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(normal + control - 1).cast("long")))).select(
+        *products.columns,
         "ord",
         F.concat_ws("-", intent, F.col("ord").cast("string")).alias("id"),
         text.alias("text"),
@@ -249,3 +255,9 @@ def question_quota(limit: int, n_hooks: int, n_inferential: int) -> tuple[int, i
     """How many of each source a limit takes: half and half, either filling what the other lacks."""
     hooks = min(n_hooks, max((limit + 1) // 2, limit - n_inferential))
     return hooks, min(n_inferential, limit - hooks)
+
+
+def quotas(limit: Column, n_hooks: Column, n_inferential: Column) -> tuple[Column, Column]:
+    """``question_quota`` as columns, for tables of many products."""
+    hooks = F.least(n_hooks, F.greatest(F.floor((limit + 1) / 2), limit - n_inferential))
+    return hooks.alias("hooks"), F.least(n_inferential, limit - hooks).alias("inferential")

@@ -189,9 +189,9 @@ def geo_page_score() -> Column:
     return (_points(F.col("definition").isNotNull()) + F.col("factual_density") * 100 + trust + F.col("structure_score") * 100) / 4
 
 
-def seo_score(signals: DataFrame, n_broken: int) -> Column:
-    """As an aggregate over seo signals."""
-    return F.greatest(F.lit(0), T.round_half_up(F.coalesce(F.avg(seo_page_score()), F.lit(0.0)) - min(30, 5 * n_broken)))
+def seo_score(signals: DataFrame, n_broken: int | Column) -> Column:
+    """As an aggregate over seo signals; the broken URLs are a number, or an aggregate too."""
+    return F.greatest(F.lit(0), T.round_half_up(F.coalesce(F.avg(seo_page_score()), F.lit(0.0)) - F.least(F.lit(30), F.lit(5) * n_broken)))
 
 
 def geo_score() -> Column:

@@ -19,7 +19,6 @@ from ..sources import sitemap
 BRANDS = ["thtion", "thble", "thing", "ering", "antion"]
 THEMES = {"endings": "thtion tion ation ertion", "verbs": "thing ering inging", "others": "the thth and ther was"}
 STAGES = ["pain_only", "problem_framed", "comparing_with_criteria"]
-CLAIMS = [(0, "plan work", ["product teams", "startups"]), (1, "reduce noise", []), (2, "ship with focus", ["founders"])]
 #: Brands of a dashboard; the last has no mentions at all.
 PICKED = ["Brand#11", "Brand#22", "Brand#33", "Brand#44", "Brand#99"]
 ROBOTS = "User-agent: *\nDisallow: /de\nAllow: /de/blog\nDisallow: /fr # all\n\nUser-agent: other\nDisallow: /\n"
@@ -163,10 +162,19 @@ def theme_answer_stats(spark, sf):
 
 
 def theme_sankey_edges(spark, sf):
-    found = _clustered(spark, sf)
+    """Themes by whether the questions made of the sites' hooks name them, and whether answers do."""
+    cloud = _clustered(spark, sf)
+    # The 50 terms at most of the one cloud, which three branches read.
+    found = spark.createDataFrame(cloud.collect(), cloud.schema)
+    asked = questions.hook_questions(questions.site_hooks(tagcloud.site_tagcloud(_site_pages(spark, sf))))
+    return clusters.sankey(_hops(spark, sf, found, asked))
+
+
+def _hops(spark, sf, found, asked):
+    questioned = clusters.theme_questions(found, asked).select("theme", F.lit(True).alias("has_question")).distinct()
     stats = clusters.theme_answers(found, _runs(spark, sf)).select("theme", (F.col("runs_mentioning") > 0).alias("has_mention"))
-    per = clusters.themes(found).join(stats, "theme").withColumn("has_question", F.col("theme") == "verbs")
-    return clusters.sankey(per)
+    per = clusters.themes(found).join(stats, "theme").join(questioned, "theme", "left")
+    return per.withColumn("has_question", F.coalesce("has_question", F.lit(False)))
 
 
 def theme_sankey_asked(spark, sf):
@@ -175,14 +183,22 @@ def theme_sankey_asked(spark, sf):
     # The 50 terms at most of the one cloud, which three branches read.
     found = spark.createDataFrame(cloud.collect(), cloud.schema)
     asked = _t(spark, sf, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
-    questioned = clusters.theme_questions(found, asked).select("theme", F.lit(True).alias("has_question")).distinct()
-    stats = clusters.theme_answers(found, _runs(spark, sf)).select("theme", (F.col("runs_mentioning") > 0).alias("has_mention"))
-    per = clusters.themes(found).join(stats, "theme").join(questioned, "theme", "left")
-    return clusters.sankey(per.withColumn("has_question", F.coalesce("has_question", F.lit(False))))
+    return clusters.sankey(_hops(spark, sf, found, asked))
 
 
 def prompt_set(spark, sf):
-    return questions.generate_prompts(spark, BRANDS[0], BRANDS[1:], "tracking", 24).withColumn("brands_named", F.array_join("brands_named", "|"))
+    """24 prompts of each site: its best term stands for the brand, the next four for competitors."""
+    best = tagcloud.site_tagcloud(_site_pages(spark, sf), 5).groupBy("site").agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("all"))
+    terms = F.transform("all", lambda x: x["term"])
+    products = best.select("site", F.get(terms, F.lit(0)).alias("brand"), F.slice(terms, 2, 4).alias("competitors"), F.concat(F.lit("tracking "), "site").alias("category"))
+    return questions.prompts_of_products(products, 24).drop("brand", "competitors", "category").withColumn("brands_named", F.array_join("brands_named", "|"))
+
+
+def _claims(spark, sf):
+    """(ord, problem, audience) of the benchmark's items: their first four words, for a fifth one in every second item."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))
+    audience = F.when(F.col("item_id") % 2 == 1, F.slice(words, 5, 1)).otherwise(F.array().cast("array<string>"))
+    return _t(spark, sf, "benchmark").select(F.col("item_id").alias("ord"), F.array_join(F.slice(words, 1, 4), " ").alias("problem"), audience.alias("audience"))
 
 
 def hook_question_set(spark, sf):
@@ -204,8 +220,11 @@ def prompt_run_groups(spark, sf):
 
 
 def question_quota(spark, sf):
-    rows = [(limit, h, i, *questions.question_quota(limit, h, i)) for limit in range(0, 9) for h in range(0, 6) for i in range(0, 6)]
-    return spark.createDataFrame(rows, "quota long, n_hooks long, n_inferential long, hooks long, inferential long")
+    """How many questions of each kind every site gets, were its documents of even ids hooks and some others claims, and
+    half of all documents the limit."""
+    count = lambda when: F.count_if(F.expr(when))
+    sized = _t(spark, sf, "documents").groupBy("source").agg(F.floor(F.count("*") / 2).alias("quota"), count("doc_id % 2 = 0").alias("n_hooks"), count("doc_id % 6 = 1").alias("n_inferential"))
+    return sized.select("*", *questions.quotas(F.col("quota"), F.col("n_hooks"), F.col("n_inferential")))
 
 
 def labels_quality_split(spark, sf):
@@ -237,15 +256,13 @@ def brand_grounded_breakdown(spark, sf):
 
 
 def question_prompts(spark, sf):
-    """Hook questions of the sites and inferential questions of three claims, 40 of both."""
+    """Hook questions of the sites and inferential questions of the benchmark's claims, 40 of both."""
     hooks = questions.hook_questions(questions.site_hooks(tagcloud.site_tagcloud(_site_pages(spark, sf))))
-    claims = spark.createDataFrame(CLAIMS, "ord int, problem string, audience array<string>")
-    return questions.question_prompts(hooks, questions.inferential_questions(claims, BRANDS[1:4]), 40)
+    return questions.question_prompts(hooks, questions.inferential_questions(_claims(spark, sf), BRANDS[1:4]), 40)
 
 
 def inferential_question_set(spark, sf):
-    claims = spark.createDataFrame(CLAIMS, "ord int, problem string, audience array<string>")
-    return questions.inferential_questions(claims, BRANDS[1:4])
+    return questions.inferential_questions(_claims(spark, sf), BRANDS[1:4])
 
 
 def link_classification(spark, sf):
@@ -262,10 +279,12 @@ def seo_page_scores(spark, sf):
 
 
 def seo_site_scores(spark, sf):
-    """The SEO score of each kind of page, three URLs of each being broken."""
+    """The SEO score of each kind of page, with the URLs of the kind that a crawl could not read."""
     ship(spark)
-    signals = site.seo_signals(site.parsed(_t(spark, sf, "pages"))).withColumn("kind", U.page_type(F.col("url")))
-    return signals.groupBy("kind").agg(site.seo_score(signals, 3).cast("long").alias("score"), F.sum("images_missing_alt").alias("missing_alt"))
+    dead = site.broken_pages(_crawled(spark, sf)).groupBy(U.page_type(F.col("url")).alias("kind")).agg(F.count("*").alias("broken"))
+    signals = site.seo_signals(site.parsed(_t(spark, sf, "pages"))).withColumn("kind", U.page_type(F.col("url"))).join(dead, "kind", "left")
+    score = site.seo_score(signals, F.coalesce(F.max("broken"), F.lit(0)))
+    return signals.groupBy("kind").agg(score.cast("long").alias("score"), F.sum("images_missing_alt").alias("missing_alt"))
 
 
 def _crawled(spark, sf):
@@ -314,11 +333,11 @@ def cross_audit(spark, sf):
 
 
 def claims_of_answers(spark, sf):
-    """Problem clauses of sentences put together from each conversation's first words."""
-    word = F.element_at(F.split(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z ]", "")), " +"), 1)
-    turns = _t(spark, sf, "conversations").where("role = 'assistant'").groupBy("conv_id").agg(F.min_by(F.struct(word.alias("w")), "turn").alias("first"))
-    text = F.concat(F.lit("This tool helps teams plan "), F.col("first.w"), F.lit(" and track work. It reduces noise for product teams."))
-    told = turns.where("first.w <> ''").select(F.col("conv_id").alias("ord"), F.col("conv_id").cast("string").alias("url"), text.alias("text"))
+    """Problem clauses of all sentences of all answers, each said to be reduced for product teams."""
+    plain = lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z]+", " "))
+    lines = F.filter(F.transform(T.split_sentences(F.col("text")), plain), lambda x: x != "")
+    said = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("It reduces "), x, F.lit(" for product teams."))), " ")
+    told = _t(spark, sf, "conversations").where("role = 'assistant' AND text IS NOT NULL").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.concat_ws("-", "conv_id", "turn").alias("url"), said.alias("text"))
     return questions.scan_claims(told).select("problem", F.array_join("audience", ",").alias("audience"), F.size("evidence").cast("long").alias("evidence"))
 
 

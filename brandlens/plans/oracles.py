@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import text as T
 from ..operators.questions import ARTIFACTS, ASKERS, ATTRIBUTES, CONTROL, INFERENTIAL, INTENTS, MOST_HOOKS, PERSONAS, SHORT
-from .catalog import BRANDS, CLAIMS, PICKED, STAGES, THEMES
+from .catalog import BRANDS, PICKED, STAGES, THEMES
 
 
 def _list(words) -> str:
@@ -115,15 +115,11 @@ seen AS (SELECT theme, row_number() OVER (PARTITION BY theme ORDER BY run_id) AS
 shown AS (SELECT theme, string_agg(c, ' | ' ORDER BY k) AS contexts FROM seen WHERE k <= 3 GROUP BY theme)
 SELECT theme, (SELECT count(*) FROM answers) AS runs_scanned, coalesce(n, 0) AS runs_mentioning, contexts
 FROM (SELECT DISTINCT theme FROM clustered WHERE theme IS NOT NULL) LEFT JOIN told USING (theme) LEFT JOIN shown USING (theme)""",
-    "theme_sankey_edges": _CLUSTERED + _STATS + """, per AS (SELECT theme, count(*) AS v, CASE WHEN theme = 'verbs' THEN 'asked' ELSE 'not asked' END AS q,
-CASE WHEN coalesce(max(n), 0) > 0 THEN 'mentioned' ELSE 'not mentioned' END AS m FROM clustered LEFT JOIN told USING (theme) WHERE theme IS NOT NULL GROUP BY theme)
-SELECT source, target, sum(v)::BIGINT AS value FROM (SELECT theme AS source, q AS target, v FROM per UNION ALL SELECT q, m, v FROM per) GROUP BY ALL""",
     "prompt_run_groups": """SELECT conv_id, prompt, coalesce(n, 0) AS n_runs FROM
 (SELECT conv_id, min_by(text, turn) AS prompt FROM conversations WHERE role = 'user' GROUP BY conv_id)
 LEFT JOIN (SELECT conv_id, count(*) AS n FROM conversations WHERE role = 'assistant' AND text IS NOT NULL GROUP BY conv_id) USING (conv_id)""",
-    "question_quota": """SELECT quota, n_hooks, n_inferential, hooks, least(n_inferential, quota - hooks) AS inferential FROM
-(SELECT quota, n_hooks, n_inferential, least(n_hooks, greatest((quota + 1) // 2, quota - n_inferential)) AS hooks
- FROM range(9) a(quota), range(6) b(n_hooks), range(6) c(n_inferential))""",
+    "question_quota": """SELECT *, least(n_inferential, quota - hooks) AS inferential FROM (SELECT *, least(n_hooks, greatest((quota + 1) // 2, quota - n_inferential)) AS hooks FROM
+(SELECT source, count(*) // 2 AS quota, count(*) FILTER (doc_id % 2 = 0) AS n_hooks, count(*) FILTER (doc_id % 6 = 1) AS n_inferential FROM documents GROUP BY source))""",
     "labels_quality_split": """SELECT source, lang, count(*) AS n, round(avg(quality), 6) AS quality_rate, round(avg(toxic), 6) AS toxic_rate
 FROM documents JOIN labels USING (doc_id) GROUP BY ALL""",
 }
@@ -146,11 +142,12 @@ good AS (SELECT site, rank, term, row_number() OVER (PARTITION BY site ORDER BY
 numbered AS (SELECT term AS hook, template_id, pattern, row_number() OVER (ORDER BY site, rank, t) - 1 AS n FROM good CROSS JOIN templates WHERE place <= {MOST_HOOKS})
 SELECT n AS ord, template_id || '-' || n AS id, replace(replace(pattern, '{{persona}}', ({_list(ASKERS)})[(n % 4 + 1)::INT]), '{{hook}}', hook) AS text, template_id, hook, 'tagcloud' AS hook_source FROM numbered"""
 
-ORACLE["theme_sankey_asked"] = _CLUSTERED + _STATS + f""", said AS (SELECT unnest({TOKENS}) AS term FROM conversations WHERE role = 'user'),
-wanted AS (SELECT DISTINCT theme, true AS q FROM said JOIN clustered USING (term) WHERE theme IS NOT NULL),
+_HOPS = f"""wanted AS (SELECT DISTINCT theme, true AS q FROM said JOIN clustered USING (term) WHERE theme IS NOT NULL),
 per AS (SELECT theme, count(*) AS v, CASE WHEN coalesce(bool_or(q), false) THEN 'asked' ELSE 'not asked' END AS q,
 CASE WHEN coalesce(max(n), 0) > 0 THEN 'mentioned' ELSE 'not mentioned' END AS m FROM clustered LEFT JOIN told USING (theme) LEFT JOIN wanted USING (theme) WHERE theme IS NOT NULL GROUP BY theme)
 SELECT source, target, sum(v)::BIGINT AS value FROM (SELECT theme AS source, q AS target, v FROM per UNION ALL SELECT q, m, v FROM per) GROUP BY ALL"""
+ORACLE["theme_sankey_asked"] = _CLUSTERED + _STATS + f", said AS (SELECT unnest({TOKENS}) AS term FROM conversations WHERE role = 'user'), {_HOPS}"
+ORACLE["theme_sankey_edges"] = _CLUSTERED + _STATS + f", said AS (SELECT unnest({TOKENS}) AS term FROM ({ORACLE['hook_question_set_full']})), {_HOPS}"
 
 ORACLE["theme_treemap"] = _CLUSTERED + " SELECT theme, round(greatest(1.0::DOUBLE, sum(score)), 6) AS size, count(*) AS n_terms FROM clustered WHERE theme IS NOT NULL GROUP BY theme"
 ORACLE["cluster_totals"] = _CLUSTERED + " SELECT count(DISTINCT theme) AS n_themes, count(*) FILTER (theme IS NULL) AS n_unclustered FROM clustered"
@@ -175,10 +172,11 @@ def _values(rows) -> str:
 
 _RIVALS = BRANDS[1:4]
 _PAIRS = [(a, b) for i, a in enumerate(_RIVALS) for b in _RIVALS[i + 1 :]]
-_INFERRED = f"""claims AS (SELECT * FROM {_values(CLAIMS)} c(claim, problem, audience)), patterns AS (SELECT * FROM {_values([(i, *r[:4]) for i, r in enumerate(INFERENTIAL)])} p(t, template_id, stage, pattern, wants)),
+_INFERRED = f"""claims AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS claim, array_to_string(ws[1:4], ' ') AS problem, CASE WHEN item_id % 2 = 1 THEN ws[5:5] ELSE []::VARCHAR[] END AS audience
+ FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS ws FROM benchmark)), patterns AS (SELECT * FROM {_values([(i, *r[:4]) for i, r in enumerate(INFERENTIAL)])} p(t, template_id, stage, pattern, wants)),
 inferred_ AS (SELECT *, row_number() OVER (ORDER BY claim, t) - 1 AS n FROM claims JOIN patterns ON wants = 'any' OR (wants = 'with') = (len(audience) > 0)),
 inferred AS (SELECT n AS ord, template_id || '-' || n AS id, replace(replace(replace(replace(replace(pattern, '{{persona}}', ({_list(ASKERS)})[(n % 4 + 1)::INT]), '{{problem}}', problem), '{{audience}}', coalesce(audience[1], '')),
- '{{competitorA}}', ({_list([a for a, _ in _PAIRS])})[claim % {len(_PAIRS)} + 1]), '{{competitorB}}', ({_list([b for _, b in _PAIRS])})[claim % {len(_PAIRS)} + 1]) AS text, template_id, stage, problem FROM inferred_)"""
+ '{{competitorA}}', ({_list([a for a, _ in _PAIRS])})[(claim % {len(_PAIRS)} + 1)::INT]), '{{competitorB}}', ({_list([b for _, b in _PAIRS])})[(claim % {len(_PAIRS)} + 1)::INT]) AS text, template_id, stage, problem FROM inferred_)"""
 ORACLE["inferential_question_set"] = f"WITH {_INFERRED} SELECT * FROM inferred"
 ORACLE["question_prompts"] = f"""WITH hooked AS ({ORACLE["hook_question_set_full"]}), {_INFERRED},
 n AS (SELECT least((SELECT count(*) FROM hooked), greatest(20, 40 - (SELECT count(*) FROM inferred))) AS h),
@@ -199,7 +197,8 @@ _SCORED = r"""scored AS (SELECT url, images, (CASE WHEN h1 = 1 THEN 100.0 ELSE 0
  regexp_matches(html, '(?i)application/ld\+json|itemtype=') AS typed, len(regexp_extract_all(html, '(?i)<img[\s>]')) AS images,
  len(regexp_extract_all(html, '(?i)<img[\s>]')) - len(regexp_extract_all(html, '(?i)<img\s[^>]*alt="[^"]*[^"\s]')) AS missing FROM pages))"""
 ORACLE["seo_page_scores"] = f"WITH {_SCORED} SELECT url, round(score, 6) AS score, CASE WHEN score >= 70 THEN 'good' WHEN score >= 40 THEN 'needs_work' ELSE 'critical' END AS label FROM scored"
-ORACLE["seo_site_scores"] = f"WITH {_SCORED} SELECT {KIND} AS kind, greatest(0, floor(avg(score) - 15 + 0.5))::BIGINT AS score, sum(missing)::BIGINT AS missing_alt FROM scored GROUP BY ALL"
+ORACLE["seo_site_scores"] = f"""WITH {_SCORED} SELECT kind, greatest(0, floor(avg(score) - least(30, 5 * any_value(coalesce(dead, 0))) + 0.5))::BIGINT AS score, sum(missing)::BIGINT AS missing_alt FROM (SELECT *, {KIND} AS kind FROM scored)
+LEFT JOIN (SELECT {KIND} AS kind, count(*) AS dead FROM pages WHERE page_id % 11 = 0 OR page_id % 7 = 0 GROUP BY ALL) USING (kind) GROUP BY kind"""
 
 _CRAWLED = f"""got AS (SELECT page_id, url, CASE WHEN page_id % 11 = 0 THEN NULL WHEN page_id % 7 = 0 THEN 404 ELSE 200 END AS status, CASE WHEN page_id % 13 = 0 THEN '' ELSE html END AS html FROM pages),
 chosen AS ({ORACLE["quick_url_selection"]}),
@@ -215,10 +214,11 @@ ORACLE["text_measures"] = rf"""SELECT doc_id, len(regexp_extract_all(text, '\S+'
 {_any("lower(coalesce(ss[1], ''))", BRANDS)} AS names_brand FROM (SELECT doc_id, text, {_CUT} AS ss FROM documents WHERE text IS NOT NULL)"""
 ORACLE["cross_audit"] = f"""SELECT brand, value, row_number() OVER (ORDER BY value DESC, brand) AS place FROM (SELECT b.brand, coalesce(share_of_voice, 0) AS value FROM (SELECT unnest({_list(PICKED)}) AS brand) b
 LEFT JOIN (SELECT brand, share_of_voice FROM ({ORACLE["sov_by_dimension"]}) WHERE dimension = 'status' AND value = 'F') USING (brand))"""
-ORACLE["claims_of_answers"] = """WITH firsts AS (SELECT conv_id, string_split_regex(lower(regexp_replace(coalesce(min_by({'t': text}, turn).t, ''), '[^A-Za-z ]', '', 'g')), ' +')[1] AS w FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
-told AS (SELECT conv_id, w FROM firsts WHERE w <> ''),
-said AS (SELECT conv_id, 'plan ' || w || ' and track work' AS problem FROM told UNION ALL SELECT conv_id, 'reduce noise for product teams' FROM told)
-SELECT min_by(problem, conv_id) AS problem, 'product teams,product team' AS audience, count(*) AS evidence FROM said GROUP BY lower(problem)"""
+ORACLE["claims_of_answers"] = f"""WITH turns AS (SELECT conv_id * 1000 + turn AS ord, conv_id || '-' || turn AS url, {_CUT} AS ss FROM conversations WHERE role = 'assistant' AND text IS NOT NULL),
+plain AS (SELECT ord, url, list_filter(list_transform(ss, lambda x: trim(regexp_replace(lower(x), '[^a-z]+', ' ', 'g'))), lambda x: x <> '') AS ls FROM turns),
+lines AS (SELECT ord, url, unnest(ls) AS line, unnest(range(len(ls))) AS nth FROM plain),
+said AS (SELECT ord, nth, url, line, trim('reduce ' || regexp_replace(line || ' for product teams', '^(teams|team|you|us|people|users|companies|everyone)\\b\\s+', '')) AS problem FROM lines)
+SELECT min_by(problem, {{'o': ord, 'a': nth}}) AS problem, 'product teams,product team' AS audience, count(DISTINCT {{'u': url, 's': line}}) AS evidence FROM said GROUP BY lower(problem)"""
 
 # Prompts: one row for each number, its intent, persona and anchor turning with it.
 _N, _ADV = 24, 4
@@ -231,7 +231,7 @@ def _turn(values, at: str) -> str:
 
 _FILLED = "pattern"
 for _key, _value in (
-    ("category", "'tracking'"),
+    ("category", "'tracking ' || site"),
     ("persona", f"CASE WHEN en THEN {_turn([p[2] for p in PERSONAS], 'i')} ELSE {_turn([p[3] for p in PERSONAS], 'i')} END"),
     ("attribute", f"CASE WHEN en THEN {_turn([a[1] for a in ATTRIBUTES], 'i + i % 5')} ELSE {_turn([a[2] for a in ATTRIBUTES], 'i + i % 5')} END"),
     ("brandA", "first"),
@@ -239,14 +239,16 @@ for _key, _value in (
     ("brandC", "second"),
 ):
     _FILLED = f"replace({_FILLED}, '{{{_key}}}', {_value})"
-ORACLE["prompt_set"] = f"""WITH n AS (SELECT ord, ord < {_OWN} AS own, CASE WHEN ord < {_OWN} THEN ord ELSE ord - {_OWN} END AS i FROM range({_N}) r(ord)),
-k AS (SELECT *, i % 2 = 0 AS en, CASE WHEN own THEN {_turn([r[0] for r in INTENTS], 'i')} ELSE '{CONTROL[0]}' END AS intent, {_turn(BRANDS[1:], 'i')} AS rival, {_turn(BRANDS[1:], 'i + 1')} AS second FROM n),
-f AS (SELECT *, CASE WHEN intent = 'troubleshooting_replacement' AND en THEN rival ELSE '{BRANDS[0]}' END AS first,
+ORACLE["prompt_set"] = f"""WITH {cloud('source')}, n AS (SELECT ord, ord < {_OWN} AS own, CASE WHEN ord < {_OWN} THEN ord ELSE ord - {_OWN} END AS i FROM range({_N}) r(ord)),
+tops AS (SELECT site, min_by(term, rank) AS brand, list(term ORDER BY rank)[2:] AS rivals FROM cloud WHERE rank <= 5 GROUP BY site),
+k AS (SELECT *, i % 2 = 0 AS en, CASE WHEN own THEN {_turn([r[0] for r in INTENTS], 'i')} ELSE '{CONTROL[0]}' END AS intent, all_[(i % len(all_) + 1)::INT] AS rival, all_[((i + 1) % len(all_) + 1)::INT] AS second
+ FROM (SELECT *, CASE WHEN len(rivals) > 0 THEN rivals ELSE ['the competition'] END AS all_ FROM n CROSS JOIN tops)),
+f AS (SELECT *, CASE WHEN intent = 'troubleshooting_replacement' AND en THEN rival ELSE brand END AS first,
  CASE WHEN own AND en THEN {_turn([r[2] for r in INTENTS], 'i')} WHEN own THEN {_turn([r[3] for r in INTENTS], 'i')} WHEN en THEN {_quoted(CONTROL[2])} ELSE {_quoted(CONTROL[3])} END AS pattern FROM k)
-SELECT ord, intent || '-' || ord AS id, {_FILLED} AS text, intent, {_turn([p[0] for p in PERSONAS], 'i')} AS persona_role, {_turn([p[1] for p in PERSONAS], 'i')} AS team_size,
+SELECT site, ord, intent || '-' || ord AS id, {_FILLED} AS text, intent, {_turn([p[0] for p in PERSONAS], 'i')} AS persona_role, {_turn([p[1] for p in PERSONAS], 'i')} AS team_size,
 CASE WHEN own THEN {_turn([r[1] for r in INTENTS], 'i')} ELSE 'generic' END AS specificity, CASE WHEN own THEN {_turn([a[0] for a in ATTRIBUTES], 'i + i % 5')} ELSE 'none' END AS attribute,
-CASE WHEN en THEN 'en' ELSE 'es' END AS language, CASE intent WHEN 'direct_comparison' THEN '{BRANDS[0]}|' || rival WHEN 'troubleshooting_replacement' THEN first
- WHEN 'final_decision' THEN '{BRANDS[0]}|' || rival || '|' || second ELSE '' END AS brands_named FROM f"""
+CASE WHEN en THEN 'en' ELSE 'es' END AS language, CASE intent WHEN 'direct_comparison' THEN brand || '|' || rival WHEN 'troubleshooting_replacement' THEN first
+ WHEN 'final_decision' THEN brand || '|' || rival || '|' || second ELSE '' END AS brands_named FROM f"""
 
 # Pages: what a reader sees, by taking away what is hidden and then all tags.
 _SEEN = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
