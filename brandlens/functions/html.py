@@ -1,14 +1,20 @@
-"""One pass over a page's HTML: everything the page signals need, as one struct from one Arrow UDF."""
+"""One pass over a page's HTML: everything the page signals need, in Arrow batches."""
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..shipping import ship
 
 SCHEMA = (
     "struct<text:string,title:string,meta_description:string,headings:array<struct<tag:string,text:string>>,"
@@ -164,6 +170,30 @@ def parse_page(url: str | None, html: str | None) -> dict:
     }
 
 
+#: Pages whose parsed texts a task holds at once.
+PAGES = 64
+
+
+def parse_pages(pages: DataFrame, own: list[str]) -> DataFrame:
+    """The columns ``own`` of pages (url, html, ...) and the fields of SCHEMA: each page is parsed once, whatever is read
+    of it, batch by batch. A null url or html is empty."""
+    ship(pages.sparkSession)
+    fields = T.StructType.fromDDL(SCHEMA)
+    kinds = to_arrow_schema(fields)
+    given = pages.select(*own, F.col("url").alias("_url"), F.col("html").alias("_html"))
+    names = [*own, *fields.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, PAGES):
+                part = batch.slice(low, PAGES)
+                rows = [parse_page(u, h) for u, h in zip(part.column(len(own)).to_pylist(), part.column(len(own) + 1).to_pylist())]
+                found = pa.RecordBatch.from_pylist(rows, schema=kinds)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(own)], *found.columns], names=names)
+
+    return given.mapInArrow(run, T.StructType([*given.schema.fields[: len(own)], *fields.fields]))
+
+
 def parse_html(url: Column, html: Column) -> Column:
     """One Arrow-batched call a page; read its fields from a written or persisted table."""
     return F.udf(parse_page, SCHEMA, useArrow=True)(url, html)

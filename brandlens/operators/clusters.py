@@ -75,6 +75,20 @@ def cluster_terms_by_model(tagcloud: DataFrame, answer: str | None, top: int = M
     return best.join(first, "term", "left").select("theme", "term", "score")
 
 
+ANSWER = "struct<themes:array<struct<name:string,terms:array<string>>>,unclustered:array<string>>"
+
+
+def cluster_terms_by_models(clouds: DataFrame, answers: DataFrame, key: str = "site", text: str = "text", top: int = MODEL_TERMS) -> DataFrame:
+    """``cluster_terms_by_model`` for many sites at once: (key, theme, term, score) from tag clouds (key, term, score) and
+    one answer (key, text) each. An answer of another shape, perhaps in a code fence, claims nothing."""
+    said = answers.select(key, F.from_json(T.strip_code_fence(F.col(text)), ANSWER).alias("a")).where("a.themes IS NOT NULL AND a.unclustered IS NOT NULL")
+    claims = said.select(key, F.posexplode("a.themes").alias("i", "t")).select(key, "i", F.col("t.name").alias("theme"), F.posexplode("t.terms").alias("j", "term"))
+    first = claims.where("theme IS NOT NULL").groupBy(key, "term").agg(F.min_by("theme", F.struct("i", "j")).alias("theme"))
+    place = F.row_number().over(W.partitionBy(key).orderBy(F.desc("score"), "term"))
+    best = clouds.where(~F.col("term").isin(ARTIFACTS)).withColumn("k", place).where(F.col("k") <= top)
+    return best.join(first, [key, "term"], "left").select(key, "theme", "term", "score")
+
+
 def themes(clustered: DataFrame) -> DataFrame:
     """(theme, total_score, n_terms) by falling score."""
     return clustered.where("theme is not null").groupBy("theme").agg(F.sum("score").alias("total_score"), F.count("*").alias("n_terms")).orderBy(F.desc("total_score"), "theme")

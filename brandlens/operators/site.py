@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import urls as U
-from ..functions.html import parse_html
+from ..functions.html import parse_pages
 
 #: URLs of each page type that a quick selection takes first.
 QUICK_FIRST = (("home", 1), ("pricing", 2), ("docs", 2), ("blog", 2))
@@ -105,7 +105,7 @@ def sitemap_coverage(entries: DataFrame, pages: DataFrame, selected: DataFrame |
 def parsed(pages: DataFrame, id: str = "page_id") -> DataFrame:
     """Every page with its parsed struct flattened; the HTML is read once."""
     own = [c for c in (id, "ord", "url") if c in pages.columns]
-    return pages.select(*own, parse_html(F.col("url"), F.col("html")).alias("h")).select(*own, "h.*")
+    return parse_pages(pages, own)
 
 
 def _ord(pages: DataFrame) -> list[str]:

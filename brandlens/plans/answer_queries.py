@@ -116,11 +116,26 @@ def cluster_comparison(spark, sf):
     return nested.cluster_totals(found, other, clusters.theme_questions(found, asked), clusters.theme_answers(found, runs))
 
 
+def theme_clusters_by_models(spark, sf):
+    """The themes that a model finds for each site: terms by their first letter, all of them once more under a last theme,
+    words that are no terms; the answers for sites whose names end in 5 are no JSON."""
+    clouds = tagcloud.site_tagcloud(_site_pages(spark, sf))
+    theme = lambda name, terms: F.struct(name.alias("name"), terms.alias("terms"))
+    letters = clouds.withColumn("letter", F.substring("term", 1, 1)).where("letter NOT IN ('a', 'e', 'i', 'o', 'u')")
+    grouped = letters.groupBy("site", "letter").agg(F.concat(F.array_sort(F.collect_list("term")), F.array(F.lit("made up"))).alias("terms"))
+    again = F.array(theme(F.lit("again"), F.flatten(F.collect_list("terms"))))
+    themes = F.concat(F.array_sort(F.collect_list(theme(F.col("letter"), F.col("terms")))), again)
+    json = F.to_json(F.struct(themes.alias("themes"), F.array().cast("array<string>").alias("unclustered")))
+    fenced = F.concat(F.lit("Here you are:\n```json\n"), json, F.lit("\n```"))
+    said = grouped.groupBy("site").agg(fenced.alias("json")).select("site", F.when(F.col("site").endswith("5"), "I cannot do that.").otherwise(F.col("json")).alias("text"))
+    return clusters.cluster_terms_by_models(clouds, said)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         call_log_replay, mention_positions, mentions_of_many, mentions_sql, prompt_runs_nested, grouped_runs_nested, hook_questions_nested,
-        cooccurrence_lists, theme_lists, cluster_comparison,
+        cooccurrence_lists, theme_lists, cluster_comparison, theme_clusters_by_models,
     )
 }
 
@@ -164,4 +179,6 @@ other AS (SELECT CASE WHEN substring(term, 1, 1) NOT IN ('a', 'e', 'i', 'o', 'u'
 SELECT (SELECT count(DISTINCT theme) FROM clustered) AS themes, (SELECT count(*) FROM clustered WHERE theme IS NULL) AS unclustered,
  (SELECT count(DISTINCT theme) FROM other) AS themes_other, (SELECT count(*) FROM other WHERE theme IS NULL) AS unclustered_other,
  (SELECT count(*) FROM asked) AS questions, (SELECT coalesce(sum(n), 0)::BIGINT FROM told) AS answer_mentions""",
+    "theme_clusters_by_models": f"""WITH {oracles.cloud("source")}
+SELECT site, CASE WHEN substring(term, 1, 1) NOT IN ('a', 'e', 'i', 'o', 'u') AND NOT ends_with(site, '5') THEN substring(term, 1, 1) END AS theme, term, score FROM cloud WHERE rank <= 50""",
 }

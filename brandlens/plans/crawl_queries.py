@@ -1,4 +1,4 @@
-"""Queries of crawling: sitemap indexes, robots files of many sites."""
+"""Queries of crawling: sitemap indexes, robots files of many sites, what pages are made of."""
 
 from __future__ import annotations
 
@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..operators import site
+from ..operators import clusters, questions, site, tagcloud
 from ..operators.numbering import number
 from ..sources import sitemap
 from ..sources.scratch import new_folder
+from . import oracles
+from .catalog import THEMES
 from .oracles import PATH
 
 HOST = r"://([^/?#]+)"
@@ -60,7 +62,33 @@ def robots_many_sites(spark, sf):
     return site.robots_allowed_by_prefix(pages.select("page_id", "url", "site"), site.robots_rules(files)).select("page_id", "url", "allowed")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (sitemap_frontier, robots_many_sites)}
+def _structured(spark, sf):
+    """The pages with more to find: subheadings that skip a level, two first headings, none, structured data of both
+    kinds, some of it broken."""
+    at, kind = F.col("page_id") % 4, F.col("page_id") % 3
+    sub = F.when(at == 1, F.concat(F.lit("</h1><h3>Sub &amp; "), "page_id", F.lit("</h3><h2>Two</h2><h6>A heading of more than forty characters, all told</h6>"))).when(at == 2, "</h1><h1>Again</h1>").otherwise("</h1>")
+    html = F.replace("html", F.lit("</h1>"), sub)
+    html = F.when(at == 3, F.replace(F.replace(html, F.lit("<h1>"), F.lit("<h2>")), F.lit("</h1>"), F.lit("</h2><h4>Deep</h4>"))).otherwise(html)
+    graph = F.concat(F.lit('{"@graph": [{"@type": "Product"}, {"@type": ["Article", "T'), "page_id", F.lit('"]}, {"@type": "Product"}, {"name": "no type"}]}'))
+    data = F.when(kind == 1, F.concat(F.lit('<script type="application/ld+json">'), graph, F.lit("</script>"))).when(kind == 2, '<script type="application/ld+json">{"@type": "Lost"</script><div itemscope itemtype="https://schema.org/Offer"></div>').otherwise("")
+    return _pages(spark, sf).select("page_id", "url", F.replace(html, F.lit("</article>"), F.concat(data, F.lit("</article>"))).alias("html"))
+
+
+def page_structure(spark, sf):
+    """Heading problems and structured-data types of each page, in the order of the page."""
+    parsed = site.parsed(_structured(spark, sf))
+    levels = F.array_join(F.transform("headings", lambda h: h["tag"]), " ")
+    return parsed.select("page_id", levels.alias("levels"), F.array_join(site.heading_issues(F.col("headings")), " | ").alias("issues"), F.array_join("schema_types", ",").alias("types"))
+
+
+def theme_clusters_of_scrapes(spark, sf):
+    """Themes of the documents' terms where the pages carry scrape artifacts, which are no terms."""
+    noise = F.concat(F.lit(" "), F.array_join(F.array(*[F.lit(a) for a in questions.ARTIFACTS]), " "), F.lit(" helper"))
+    pages = spark.read.parquet(f"{sf}/documents.parquet").select(F.lit("all").alias("site"), F.col("doc_id").alias("page"), F.concat(F.coalesce("text", F.lit("")), noise).alias("text"))
+    return clusters.cluster_terms(tagcloud.site_tagcloud(pages), clusters.taxonomy_table(spark, THEMES))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (sitemap_frontier, robots_many_sites, page_structure, theme_clusters_of_scrapes)}
 
 ORACLE = {
     "sitemap_frontier": rf"""WITH p AS (SELECT page_id, url, 'https://' || regexp_extract(url, '{HOST}', 1) AS h, regexp_extract(url, '{HOST}/([^/?#]*)', 2) AS s FROM pages),
@@ -70,4 +98,11 @@ SELECT row_number() OVER (ORDER BY k) - 1 AS ord, url FROM firsts""",
 rules AS (SELECT site, page_id AS n, CASE page_id % 3 WHEN 0 THEN substring(path, 1, 4) ELSE path END AS prefix, page_id % 3 = 1 AS allow FROM p),
 best AS (SELECT a.page_id, arg_min(allow, {{'a': -length(prefix), 'n': n}}) AS allow FROM p a JOIN rules r ON a.site = r.site AND starts_with(a.path, prefix) GROUP BY a.page_id)
 SELECT page_id, url, coalesce(allow, true) AS allowed FROM p LEFT JOIN best USING (page_id)""",
+    "page_structure": """WITH p AS (SELECT page_id, page_id % 4 AS a, page_id % 3 AS k FROM pages)
+SELECT page_id, CASE a WHEN 1 THEN 'h1 h3 h2 h6' WHEN 2 THEN 'h1 h1' WHEN 3 THEN 'h2 h4' ELSE 'h1' END AS levels,
+ CASE a WHEN 1 THEN 'heading level skipped: h1 -> h3 ("Sub & ' || page_id || '") | heading level skipped: h2 -> h6 ("A heading of more than forty characters,")' WHEN 2 THEN 'multiple h1 tags (2)'
+ WHEN 3 THEN 'missing h1 | heading level skipped: h2 -> h4 ("Deep")' ELSE '' END AS issues,
+ CASE k WHEN 1 THEN 'Product,Article,T' || page_id WHEN 2 THEN 'Offer' ELSE '' END AS types FROM p""",
+    "theme_clusters_of_scrapes": f"""WITH {oracles.cloud("'all'").replace("coalesce(text, '') AS text", f"coalesce(text, '') || ' {' '.join(questions.ARTIFACTS)} helper' AS text")}, taxonomy AS ({oracles._THEMES})
+SELECT theme, term, score FROM cloud LEFT JOIN taxonomy USING (term) WHERE rank <= 50 AND NOT list_contains({oracles._list(questions.ARTIFACTS)}, term)""",
 }

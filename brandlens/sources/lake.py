@@ -41,10 +41,6 @@ class Lake:
         path = self.path(layer, table)
         return self.spark.read.parquet(path) if self.exists(path) else None
 
-    def read_or_empty(self, layer: str, table: str, schema: str) -> DataFrame:
-        found = self.read(layer, table)
-        return self.spark.createDataFrame([], schema) if found is None else found
-
     def write_text(self, layer: str, name: str, text: str) -> str:
         """One text file (Markdown, XML), replaced if it is there; its path."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(layer, name))
@@ -75,6 +71,8 @@ def read_all_json(lake: Lake, folder: str, schema: str) -> DataFrame:
 
 
 def recorded_runs(lake: Lake, folder: str) -> DataFrame:
-    """Runs kept as one JSON document each: run_id, prompt_id, text, error, in order of file."""
+    """Runs kept as one JSON document each, in order of file: run_id, prompt_id, prompt_text, source, template_id, stage
+    (of brand-grounded ones), temperature, timestamp, finish_reason, text, error."""
     runs = read_all_json(lake, folder, RUN).orderBy("file")
-    return runs.select(F.col("runId").alias("run_id"), F.col("promptId").alias("prompt_id"), F.col("rawText").alias("text"), "error")
+    names = {"runId": "run_id", "promptId": "prompt_id", "promptText": "prompt_text", "source": "source", "templateId": "template_id", "stage": "stage", "temperature": "temperature", "timestamp": "timestamp", "finishReason": "finish_reason", "rawText": "text", "error": "error"}
+    return runs.select(*[F.col(c).alias(name) for c, name in names.items()])
