@@ -20,16 +20,18 @@ def components(stash: Stash, edges: DataFrame, name: str = "components") -> Data
     path. A table without links gives an empty result.
     """
     now = stash.put(f"{name}-0", edges.select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).where("u <> v").distinct())
-    mark = None
+    seal = lambda links: links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    mark = seal(now)
     for k in range(1, 100):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        # Repeated rows do no harm here: the round ends with distinct ones.
+        large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         down = large.where("u <> v")
         small = _star(down).select("u", "v", "low")
         linked = small.select(F.col("v").alias("u"), F.col("low").alias("v")).union(small.select("u", F.col("low").alias("v")))
         then = stash.put(f"{name}-{k}", linked.where("u <> v").distinct())
         stash.drop(f"{name}-{k - 1}")
-        seen = then.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        seen = seal(then)
         if seen == mark:
             break
         now, mark = then, seen

@@ -32,7 +32,7 @@ VALUES = CHUNKS * WIDTH
 #: Pairs that agree in fewer values are not confirmed: at similarity 0.8 that has odds of about one in a million.
 LEAST_AGREE = 24
 #: Rounds in which groups that meet try a few pairs before all open pairs are compared, and pairs of two groups.
-TURNS = 2
+TURNS = 1
 TRIES = 8
 #: Open pairs of a group from which on sets are compared block by block, and nodes of a block.
 BLOCK_PAIRS = 5_000
