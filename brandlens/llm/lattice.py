@@ -6,15 +6,18 @@ so a text's lattice falls apart into independent units, each a run of spaces wit
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from math import exp, log1p
 
 import numpy as np
 
-
 MARKER = "▁"
 #: Bytes of units whose lattice is held at once.
 BLOCK = 1 << 18
+#: Bytes above which a string is walked by itself, and of a stretch of it whose edges are held at once.
+LONE = 1 << 12
+STRETCH = 1 << 16
 
 
 @dataclass
@@ -95,6 +98,7 @@ class DoubleArray:
                 waiting.append((children[node][c], start + c))
             top = max(top, start + codes[-1] + 1)
         self.base, self.check, self.value = base, check, value
+        self.longest = max((len(k) for k in keys if k), default=1)
 
     def edges(self, buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All pieces in buf that stay below the end given for each byte: first byte, end, id."""
@@ -127,18 +131,7 @@ class Lattice:
         n = len(bounds) - 1
         length = np.diff(bounds)
         self.owner = np.repeat(np.arange(n), length)
-        first, end, piece = trie.edges(buf, np.repeat(bounds[1:], length))
-        if unknown is not None and len(buf):
-            lead = (buf & 0xC0) != 0x80
-            starts = np.flatnonzero(lead)
-            stops = np.append(starts[1:], len(buf))
-            single = np.zeros(len(buf), bool)
-            after = np.zeros(len(buf), np.int64)
-            after[starts] = stops
-            single[first[end == after[first]]] = True
-            lost = starts[~single[starts]]
-            first, end = np.concatenate([first, lost]), np.concatenate([end, after[lost]])
-            piece = np.concatenate([piece, np.full(len(lost), unknown)])
+        first, end, piece = _edges(trie, buf, np.repeat(bounds[1:], length), unknown)
         k = self.owner[first] if len(first) else first
         self.first_byte, self.end_byte = first, end
         self.source, self.target, self.piece = first + k, end + k, piece
@@ -179,6 +172,16 @@ class Lattice:
         """log of the weight of all segmentations of each string."""
         return self.forward(scores)[self.tails]
 
+    def number(self, n: int, kinds: np.ndarray) -> None:
+        """Numbers pieces by class (one a string) and by whether they are their string's last: n pieces of each sort."""
+        k = self.owner[self.first_byte]
+        self.piece = self.piece + n * (self.target == self.tails[k]) + 2 * n * kinds[k]
+
+    def spelled(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of the best segmentations with their first bytes and ends, and the bounds of the strings."""
+        edge, cuts = self.best(scores)
+        return self.piece[edge], self.first_byte[edge], self.end_byte[edge], cuts
+
     def expected(self, scores: np.ndarray, times: np.ndarray) -> np.ndarray:
         """How often each piece is expected, string k occurring times[k] times."""
         alpha = self.forward(scores)
@@ -228,6 +231,95 @@ class Lattice:
         return edge, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
 
 
+def _edges(trie: DoubleArray, buf: np.ndarray, ends: np.ndarray, unknown: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, end and id of all pieces; a character that is none gets an edge ``unknown``, if that is given."""
+    first, end, piece = trie.edges(buf, ends)
+    if unknown is not None and len(buf):
+        starts = np.flatnonzero((buf & 0xC0) != 0x80)
+        after = np.zeros(len(buf), np.int64)
+        after[starts] = np.append(starts[1:], len(buf))
+        single = np.zeros(len(buf), bool)
+        single[first[end == after[first]]] = True
+        lost = starts[~single[starts]]
+        first, end = np.concatenate([first, lost]), np.concatenate([end, after[lost]])
+        piece = np.concatenate([piece, np.full(len(lost), unknown)])
+    return first, end, piece
+
+
+class LongString:
+    """The lattice of one long string, for the same questions: edges are made stretch by stretch and walked one by one,
+    so that time grows with the edges and nothing but a number a byte is held of the whole string."""
+
+    def __init__(self, trie: DoubleArray, buf: np.ndarray, unknown: int | None = None):
+        self.trie, self.buf, self.unknown = trie, buf, unknown
+        self.n, self.kind = 0, 0
+
+    def number(self, n: int, kinds: np.ndarray) -> None:
+        self.n, self.kind = n, int(kinds[0])
+
+    def _stretches(self, back: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """First byte, end and numbered piece of the edges that begin in each stretch, by first byte (falling: back)."""
+        size = len(self.buf)
+        lows = range(0, size, STRETCH)
+        for low in reversed(lows) if back else lows:
+            part = self.buf[low : low + STRETCH + self.trie.longest + 4]
+            first, end, piece = _edges(self.trie, part, np.full(len(part), len(part)), self.unknown)
+            own = first < STRETCH
+            first, end, piece = first[own] + low, end[own] + low, piece[own]
+            if self.n:
+                piece = piece + self.n * (end == size) + 2 * self.n * self.kind
+            order = np.argsort(-first if back else first, kind="stable")
+            yield first[order], end[order], piece[order]
+
+    def _weights(self, scores: np.ndarray, back: bool) -> list[float]:
+        """Log of the weight of all segmentations before each node, or behind it."""
+        size, none = len(self.buf), float("-inf")
+        node = [none] * (size + 1)
+        node[size if back else 0] = 0.0
+        for first, end, piece in self._stretches(back):
+            ways = zip(end.tolist(), first.tolist(), scores[piece].tolist()) if back else zip(first.tolist(), end.tolist(), scores[piece].tolist())
+            for known, now, weight in ways:
+                one, two = node[known] + weight, node[now]
+                if one > two:
+                    one, two = two, one
+                if two != none:
+                    node[now] = two + log1p(exp(one - two))
+        return node
+
+    def marginals(self, scores: np.ndarray) -> np.ndarray:
+        return np.array([self._weights(scores, False)[-1]])
+
+    def expected(self, scores: np.ndarray, times: np.ndarray) -> np.ndarray:
+        alpha, beta = (np.array(self._weights(scores, back)) for back in (False, True))
+        out = np.zeros(len(scores))
+        for first, end, piece in self._stretches():
+            with np.errstate(invalid="ignore"):
+                share = np.exp(alpha[first] + scores[piece] + beta[end] - alpha[-1])
+            out += np.bincount(piece, np.nan_to_num(share) * times[0], minlength=len(scores))
+        return out
+
+    def spelled(self, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        size, none = len(self.buf), float("-inf")
+        node, source, through = [none] * (size + 1), np.zeros(size + 1, np.int64), np.zeros(size + 1, np.int64)
+        node[0] = 0.0
+        for first, end, piece in self._stretches():
+            # Sources rise, so of equals the first one met is the longest piece.
+            for a, b, p, weight in zip(first.tolist(), end.tolist(), piece.tolist(), scores[piece].tolist()):
+                if node[a] + weight > node[b]:
+                    node[b], source[b], through[b] = node[a] + weight, a, p
+        ends, at = [], size
+        while at > 0:
+            ends.append(at)
+            at = int(source[at])
+        end = np.array(ends[::-1], np.int64)
+        return through[end], source[end], end, np.array([0, len(end)])
+
+
+def lattice_of(trie: DoubleArray, buf: np.ndarray, bounds: np.ndarray, unknown: int | None = None) -> Lattice | LongString:
+    """The lattice of a run of strings that ``blocks`` gave."""
+    return LongString(trie, buf, unknown) if len(bounds) == 2 and len(buf) > LONE else Lattice(trie, buf, bounds, unknown)
+
+
 def gather(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, head: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The spans laid end to end and their bounds, each behind the byte ``head`` if one is given."""
     extra = head is not None
@@ -242,9 +334,12 @@ def gather(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, head: int | No
 
 
 def blocks(bounds: np.ndarray, limit: int = BLOCK):
-    """Runs of strings of at most so many bytes, or one longer string."""
+    """Runs of strings of at most so many bytes; a string of more than LONE bytes is a run by itself, so that how it is
+    walked depends on it alone."""
     low, n = 0, len(bounds) - 1
+    lone = np.append(np.flatnonzero(np.diff(bounds) > LONE), n)
     while low < n:
-        high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + limit, side="right")) - 1)
+        stop = int(lone[np.searchsorted(lone, low)])
+        high = low + 1 if stop == low else min(stop, max(low + 1, int(np.searchsorted(bounds, bounds[low] + limit, side="right")) - 1))
         yield low, high
         low = high

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from . import textnum
-from .lattice import DoubleArray, Lattice, Vocabulary, blocks, gather, load_vocabulary
+from .lattice import DoubleArray, Vocabulary, blocks, gather, lattice_of, load_vocabulary
 
 #: Score of a character that is no piece, below the worst piece.
 UNKNOWN_BELOW = 10.0
@@ -44,15 +44,14 @@ class Encoder:
         ids, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for low, high in blocks(bounds):
             part = buf[bounds[low] : bounds[high]]
-            lattice = Lattice(self.trie, part, bounds[low : high + 1] - bounds[low], unknown=self.lost)
-            edge, cuts = lattice.best(self.scores)
-            piece = lattice.piece[edge]
-            width = np.where(piece == self.lost, lattice.end_byte[edge] - lattice.first_byte[edge], 1)
+            lattice = lattice_of(self.trie, part, bounds[low : high + 1] - bounds[low], unknown=self.lost)
+            piece, first, end, cuts = lattice.spelled(self.scores)
+            width = np.where(piece == self.lost, end - first, 1)
             starts = np.concatenate([[0], np.cumsum(width)])
             out = np.repeat(piece, width)
             lost = out == self.lost
             if lost.any():
-                at = np.repeat(lattice.first_byte[edge], width) + np.arange(len(out)) - np.repeat(starts[:-1], width)
+                at = np.repeat(first, width) + np.arange(len(out)) - np.repeat(starts[:-1], width)
                 spelled = self.vocabulary.byte_ids[part[at[lost]]]
                 out[lost] = np.where(spelled >= 0, spelled, self.vocabulary.unknown)
             ids.append(out)

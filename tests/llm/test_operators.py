@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -263,3 +264,42 @@ def test_pipeline(spark, tmp_path):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == df.columns, name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_long_strings_are_walked_as_short_ones(monkeypatch):
+    draw = random.Random(8)
+    pieces = [b"a", b"b", b"ab", b"aba", b"bb", b" a", "é".encode(), b"abab" * 3, None, b"c"]
+    trie, scores = lattice.DoubleArray(pieces), np.array([-draw.random() * 3 for _ in range(4 * (len(pieces) + 1))])
+    monkeypatch.setattr(lattice, "STRETCH", 7)
+    for turn in range(60):
+        odd = turn % 2
+        text = " a" + "".join(draw.choice(["a", "b", "ab", "é", "c", "z", "😀"] if odd else ["a", "b", "é"]) for _ in range(draw.randint(1, 60)))
+        buf = np.frombuffer(text.encode(), np.uint8)
+        unknown = len(pieces) if odd else None
+        short, long = lattice.Lattice(trie, buf, np.array([0, len(buf)]), unknown), lattice.LongString(trie, buf, unknown)
+        if not odd:
+            short.number(len(pieces) + 1, np.array([1]))
+            long.number(len(pieces) + 1, np.array([1]))
+        assert np.allclose(short.marginals(scores), long.marginals(scores), rtol=1e-12)
+        assert np.allclose(short.expected(scores, np.array([3.0])), long.expected(scores, np.array([3.0])))
+        for a, b in zip(short.spelled(scores), long.spelled(scores)):
+            assert a.tolist() == b.tolist()
+
+
+def test_a_word_of_two_megabytes(spark):
+    import time
+
+    word = "".join(random.Random(9).choice(["ab", "thing", "Ünd", "x", "7"]) for _ in range(700_000))[:2_000_000]
+    machine = op10_pieces.encoder(P.path("piece_bpe_32k.model"))
+    buf = np.frombuffer(word.encode(), np.uint8)
+    start = time.perf_counter()
+    ids, bounds = machine.encode(buf, np.array([0, len(buf)]))
+    again, _ = machine.decode(ids, bounds)
+    assert again.tobytes() == buf.tobytes() and time.perf_counter() - start < 30
+    sums = [0.0]
+    for low in range(0, len(word), 100_000):
+        part = np.frombuffer(word[low : low + 100_000].encode(), np.uint8)
+        sums.append(lattice.LongString(machine.trie, part, machine.lost).marginals(machine.scores)[0])
+    whole = lattice.LongString(machine.trie, buf, machine.lost).marginals(machine.scores)[0]
+    # Cutting a word takes away the segmentations across the cuts, and nothing else.
+    assert sum(sums) <= whole <= sum(sums) + 20 * 40
