@@ -33,8 +33,9 @@ def size_of(text: str) -> Column:
 
 
 def range_key(crc: Column, key: Column) -> Column:
-    """32 bits of checksum above 31 bits of a hash of the id: rising, not negative."""
-    return F.shiftleft(F.coalesce(crc, F.lit(0).cast("long")), 31) + F.pmod(F.xxhash64(key.cast("string")), F.lit(1 << 31))
+    """32 bits of checksum above 31 bits of an MD5 of the id: rising, not negative."""
+    digest = F.md5(F.coalesce(key.cast("string"), F.lit("")))
+    return F.shiftleft(F.coalesce(crc, F.lit(0).cast("long")), 31) + F.shiftright(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), 1)
 
 
 def _unit(key: Column, salt: int) -> Column:
@@ -42,38 +43,36 @@ def _unit(key: Column, salt: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 52)) / F.lit(_UNIT)
 
 
-def _boundaries(sampled: DataFrame, group: str, count: Column) -> DataFrame:
-    """For each group, keys that cut its sample into ``count`` parts of equal number."""
+def _boundaries(sampled: DataFrame, group: str) -> DataFrame:
+    """For each group, keys that cut its sample into ``parts`` (a column) of equal number."""
     place = W.partitionBy(group).orderBy("key")
     n = F.count("*").over(W.partitionBy(group))
     part = F.floor((F.row_number().over(place) - 1) * F.col("parts") / n)
-    return (
-        sampled.withColumn("parts", count)
-        .withColumn("part", part)
-        .groupBy(group, "part")
-        .agg(F.min("key").alias("key"))
-        .where("part > 0")
-        .select("key")
-    )
+    return sampled.withColumn("part", part).groupBy(group, "part").agg(F.min("key").alias("key")).where("part > 0").select("key")
+
+
+def _beside(df: DataFrame, name: str, kind: str, value: list) -> DataFrame:
+    """df with one list in every row: a number a range (times shards at most), so a broadcast row of a few megabytes
+    whatever the input, and no part of the plan."""
+    row = df.sparkSession.createDataFrame([(1, value)], f"_one int, {name} {kind}")
+    return df.withColumn("_one", F.lit(1)).join(F.broadcast(row), "_one").drop("_one")
 
 
-def _range_of(key: Column, splitters: list[int]) -> Column:
-    """How many splitters are <= key: two scans of about the root of their number, without a join."""
+def _ranged(df: DataFrame, splitters: list[int]) -> DataFrame:
+    """df with ``range``, how many splitters are <= key: two scans of about the root of their number."""
     if not splitters:
-        return F.lit(0)
+        return df.withColumn("range", F.lit(0))
     step = max(1, int(len(splitters) ** 0.5))
     blocks = [splitters[i : i + step] for i in range(0, len(splitters), step)]
-    heads = F.array(*[F.lit(b[0]) for b in blocks])
-    every = F.array(*[F.array(*[F.lit(x) for x in b]) for b in blocks])
-    below = lambda a: F.size(F.filter(a, lambda x: x <= key))
-    block = below(heads)
-    return F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + below(F.get(every, block - 1)))
+    beside = _beside(_beside(df, "_heads", "array<long>", [b[0] for b in blocks]), "_every", "array<array<long>>", blocks)
+    below = lambda a: F.size(F.filter(a, lambda x: x <= F.col("key")))
+    block = F.col("_block")
+    found = F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + below(F.get("_every", block - 1)))
+    return beside.withColumn("_block", below("_heads")).withColumn("range", found).drop("_heads", "_every", "_block")
 
 
 def _stats(slim: DataFrame, splitters: list[int]) -> list:
-    return (
-        slim.groupBy(_range_of(F.col("key"), splitters).alias("range")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
-    )
+    return _ranged(slim, splitters).groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
 
 
 def splitters_of(slim: DataFrame, total: int, ranges: int = RANGES, samples: int = SAMPLES) -> list[int]:
@@ -82,16 +81,16 @@ def splitters_of(slim: DataFrame, total: int, ranges: int = RANGES, samples: int
     The expected number of sampled keys is ranges * samples, whatever the input; only boundaries reach the driver.
     """
     want = ranges * samples
-    drawn = slim.where(_unit(F.col("key"), 1) * total < F.col("size") * want).select("key", F.lit(0).alias("g"))
-    first = sorted({r["key"] for r in _boundaries(drawn, "g", F.lit(ranges)).collect()})
-    heavy = {r["range"]: r["bytes"] for r in _stats(slim, first) if r["bytes"] > OVERFULL * total / ranges and r["n"] > 1}
+    drawn = slim.where(_unit(F.col("key"), 1) * total < F.col("size") * want).select("key", F.lit(0).alias("g"), F.lit(ranges).alias("parts"))
+    first = sorted({r["key"] for r in _boundaries(drawn, "g").collect()})
+    heavy = [(r["range"], r["bytes"], int(2 * r["bytes"] * ranges / total) + 1) for r in _stats(slim, first) if r["bytes"] > OVERFULL * total / ranges and r["n"] > 1]
     if not heavy:
         return first
-    parts = F.create_map(*[F.lit(x) for k, b in heavy.items() for x in (k, int(2 * b * ranges / total) + 1)])
-    sizes = F.create_map(*[F.lit(x) for k, b in heavy.items() for x in (k, int(b))])
-    inside = slim.withColumn("range", _range_of(F.col("key"), first)).where(F.col("range").isin(list(heavy)))
-    again = inside.where(_unit(F.col("key"), 2) * sizes[F.col("range")] < F.col("size") * samples * parts[F.col("range")])
-    return sorted({*first, *(r["key"] for r in _boundaries(again, "range", parts[F.col("range")]).collect())})
+    # At most a row a range.
+    known = slim.sparkSession.createDataFrame(heavy, "range int, whole long, parts long")
+    inside = _ranged(slim, first).join(F.broadcast(known), "range")
+    again = inside.where(_unit(F.col("key"), 2) * F.col("whole") < F.col("size") * samples * F.col("parts"))
+    return sorted({*first, *(r["key"] for r in _boundaries(again, "range").collect())})
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str = "text", ranges: int = RANGES) -> DataFrame:
@@ -115,18 +114,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str
     for r in sorted(stats):
         bytes_before[r] = offset
         offset += stats[r]
-    base = _lookup(bytes_before)
     within = W.partitionBy("range").orderBy("key", "doc_id", "each", "text_crc32").rowsBetween(W.unboundedPreceding, 0)
-    placed = slim.withColumn("range", _range_of(F.col("key"), splitters)).withColumns(
-        {
-            "row": F.sum("times").over(within) - F.col("times"),
-            "begin": F.get(base, F.col("range")) + F.sum("size").over(within) - F.col("size"),
-        }
-    )
+    placed = _ranged(slim, splitters).withColumns({"row": F.sum("times").over(within) - F.col("times"), "inside": F.sum("size").over(within) - F.col("size")})
+    placed = _beside(placed, "_before", "array<long>", _dense(bytes_before)).withColumn("begin", F.get("_before", F.col("range")) + F.col("inside"))
     # Of equal records, one after the other; a record belongs where its middle byte lies.
     spread = placed.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
-    middle = (2 * (F.col("begin") + F.col("i") * F.col("each")) + F.col("each")).cast("decimal(38,0)")
-    place = F.floor(middle * shards / (2 * max(total, 1)))
+    place = F.expr(f"((2 * (begin + i * each) + each) * {shards}L) div {2 * max(total, 1)}L")
     spread = spread.select("doc_id", F.col("each").alias("size"), "text_crc32", "range", (F.col("row") + F.col("i")).alias("row"), F.least(place, F.lit(shards - 1)).cast("int").alias("shard"))
     placed = stash.put("placed", spread)
     pieces = sorted(placed.groupBy("range", "shard").agg(F.count("*").alias("n"), F.min("row").alias("first")).collect())
@@ -135,9 +128,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str
     for r, s, n, first in pieces:
         shift[r * shards + s] = taken.get(s, 0) - first
         taken[s] = taken.get(s, 0) + n
-    slot = F.col("row") + F.get(_lookup(shift), F.col("range") * shards + F.col("shard"))
+    slot = F.col("row") + F.get("_shift", F.col("range") * shards + F.col("shard"))
     stash.drop("slim")
-    return placed.select(
+    return _beside(placed, "_shift", "array<long>", _dense(shift)).select(
         "doc_id",
         "size",
         "text_crc32",
@@ -148,7 +141,6 @@ def shard(docs: DataFrame, shards: int = SHARDS, key: str = "doc_id", text: str
     )
 
 
-def _lookup(values: dict[int, int]) -> Column:
-    """The values at their keys as one array literal; there are as many keys as ranges, times shards at most."""
-    top = max(values, default=0)
-    return F.array(*[F.lit(values.get(i, 0)).cast("long") for i in range(top + 1)])
+def _dense(values: dict[int, int]) -> list[int]:
+    """The values at their keys, 0 between them."""
+    return [values.get(i, 0) for i in range(max(values, default=0) + 1)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_mixing, op09_rules, op11_rope_infill
+from . import op01_mixing, op05_sharding, op09_rules, op11_rope_infill
 
 W = r"[^\x20\x09-\x0D]+"
 
@@ -72,4 +72,18 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
        sha256(text) AS restored_sha256 FROM d"""
 
 
-ORACLE = {"op1_pareto_mix": mix_sql(), "op9_quality_rules": rules_sql(), "op11_rope_infill_digests": infill_sql()}
+def shard_sql() -> str:
+    n = op05_sharding.SHARDS
+    # CRC-32 by its table, a byte after the other.
+    return f"""
+WITH RECURSIVE steps(i, k, c) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM steps WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+raw AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0) + 1 AS size, hex(encode(text)) AS h FROM documents),
+single AS (SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(0, len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8))) AS text_crc32 FROM raw, tab),
+keyed AS (SELECT *, (coalesce(text_crc32, 0) << 31) + (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT >> 1) AS key FROM single),
+begun AS (SELECT *, (sum(size) OVER (ORDER BY key, doc_id NULLS FIRST, size, text_crc32 NULLS FIRST ROWS UNBOUNDED PRECEDING))::BIGINT - size AS at_byte, (sum(size) OVER ())::BIGINT AS total FROM keyed),
+dealt AS (SELECT *, least(((2 * at_byte + size) * {n}) // (2 * total), {n - 1})::INT AS shard FROM begun)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY at_byte, key, doc_id NULLS FIRST, size, text_crc32 NULLS FIRST) - 1 AS slot, NULL::INT AS grown_shard FROM dealt"""
+
+
+ORACLE = {"op5_sampled_splitters": shard_sql(), "op1_pareto_mix": mix_sql(), "op9_quality_rules": rules_sql(), "op11_rope_infill_digests": infill_sql()}
