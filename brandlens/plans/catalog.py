@@ -14,6 +14,7 @@ from ..operators import clusters, metrics, questions, report, site, tagcloud
 from ..operators.numbering import number
 from ..shipping import ship
 from ..sources import sitemap
+from ..sources.scratch import new_folder
 
 #: Synthetic brands and themes: frequent tokens of the generated texts, frozen here.
 BRANDS = ["thtion", "thble", "thing", "ering", "antion"]
@@ -33,6 +34,13 @@ def _runs(spark: SparkSession, sf: str) -> DataFrame:
     return turns.select(F.concat_ws("-", "conv_id", "turn").alias("run_id"), "text")
 
 
+def _kept(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """df written and read again, where several branches read it."""
+    path = new_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes])
 
@@ -163,9 +171,7 @@ def theme_answer_stats(spark, sf):
 
 def theme_sankey_edges(spark, sf):
     """Themes by whether the questions made of the sites' hooks name them, and whether answers do."""
-    cloud = _clustered(spark, sf)
-    # The 50 terms at most of the one cloud, which three branches read.
-    found = spark.createDataFrame(cloud.collect(), cloud.schema)
+    found = _kept(spark, _clustered(spark, sf), "themes")
     asked = questions.hook_questions(questions.site_hooks(tagcloud.site_tagcloud(_site_pages(spark, sf))))
     return clusters.sankey(_hops(spark, sf, found, asked))
 
@@ -179,9 +185,7 @@ def _hops(spark, sf, found, asked):
 
 def theme_sankey_asked(spark, sf):
     """As theme_sankey_edges, with the themes that users ask about found in their turns."""
-    cloud = _clustered(spark, sf)
-    # The 50 terms at most of the one cloud, which three branches read.
-    found = spark.createDataFrame(cloud.collect(), cloud.schema)
+    found = _kept(spark, _clustered(spark, sf), "themes")
     asked = _t(spark, sf, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
     return clusters.sankey(_hops(spark, sf, found, asked))
 
@@ -362,9 +366,7 @@ def aeo_priorities(spark, sf):
     runs = metrics.successful(_runs(spark, sf))
     found = metrics.extract_mentions(runs, BRANDS)
     measured = metrics.brand_metrics(found, runs.count(), metrics.brand_table(spark, BRANDS))
-    # The 30 terms and five metric rows that every brand's branch reads.
-    top = spark.createDataFrame(cloud.where("rank <= 30").collect(), cloud.schema)
-    measured = spark.createDataFrame(measured.collect(), measured.schema)
+    top, measured = _kept(spark, cloud.where("rank <= 30"), "terms"), _kept(spark, measured, "measured")
     out = None
     for brand in BRANDS:
         said = report.aeo_findings(measured, brand, metrics.geo_aeo_gaps(top, found, brand)).select(F.lit(brand).alias("brand"), "*")
