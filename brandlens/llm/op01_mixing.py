@@ -3,8 +3,10 @@
 A source's target is filled with whole copies first (certain), then by a Pareto sample: every document has a
 probability of inclusion that grows with the square root of its size, such that the expected words are the rest of the
 target; those whose probability would reach 1 are certain. Documents are ranked by their random odds over their
-inclusion odds and taken in that order. The sample's size is fixed by the words that are wanted: it ends at the document
-that brings them nearest, which is close to the sum of the probabilities.
+inclusion odds and taken in that order. The sample's size is fixed by the words that are wanted: it takes documents as
+long as they fit, which ends close to the sum of the probabilities. What the first document that does not fit leaves open
+is filled by those after it that are no larger than the gap, in their order, or by that document itself, whichever comes
+nearer.
 """
 
 from __future__ import annotations
@@ -120,24 +122,50 @@ class _Cuts:
     """Where the sample of each source ends: tables of one row a source, found from (doc_id, source, size, u, row)."""
 
     def __init__(self, stash: Stash, sized: DataFrame, weights: Sequence[int], total: float, most: int, buckets: int):
-        self.buckets = buckets
+        self.buckets, self.stash = buckets, stash
         sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
         whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
         rest = F.col("target") - F.col("whole") * F.col("source_size")
         plan = stash.put("targets", targets(sizes, weights, total, most).withColumn("whole", whole).withColumn("rest", rest)).withColumnRenamed("source", "s_source")
         self.plan = stash.put("plan", plan.join(factors(sized, plan, self._of("s_source")), F.col("s_source").eqNullSafe(F.col("f_source")), "left").drop("f_source"))
-        ranked = self.ranked(sized)
+        ranked = self.ranked(sized).where("bucket IS NOT NULL")
+        # The first document that does not fit, of each source that has one, and the gap before it.
+        over = self._first_over(ranked.withColumn("limit", F.col("rest")), "edges", F.col("so_far") + F.col("size") > F.col("limit"))
+        self.over = stash.put("over", over.select(F.col("source").alias("c_source"), F.col("at").alias("cut"), F.col("bucket").alias("edge"), (F.col("limit") - F.col("so_far")).alias("gap"), F.col("size").alias("over_size")))
+        later = self._later(ranked)
+        # Of those that are no larger than the gap, the first that would bring the words further off than none.
+        stop = self._first_over(later.withColumn("limit", F.col("gap")), "later-edges", F.col("so_far") + F.col("size") / 2.0 > F.col("limit"), 1.5)
+        stop = stash.put("stop", stop.select(F.col("source").alias("t_source"), F.col("at").alias("stop"), F.col("bucket").alias("stop_edge"), F.col("so_far").alias("filled")))
+        every = later.groupBy(F.col("source").alias("l_source")).agg(F.sum("size").alias("all_later"))
+        known = self.over.join(stop, F.col("c_source").eqNullSafe(F.col("t_source")), "left").join(every, F.col("c_source").eqNullSafe(F.col("l_source")), "left")
+        filled = F.coalesce("filled", "all_later", F.lit(0))
+        itself = F.col("over_size") / 2.0 <= F.col("gap")
+        nearer = F.abs(F.col("gap") - filled) < F.when(itself, F.col("over_size") - F.col("gap")).otherwise(F.col("gap"))
+        self.cut = stash.put("cuts", known.select("c_source", "cut", "edge", "gap", "stop", "stop_edge", nearer.alias("fill"), itself.alias("itself")))
+
+    def _later(self, ranked: DataFrame) -> DataFrame:
+        """The ranked rows behind their source's first that does not fit, no larger than the gap."""
+        behind = (F.col("bucket") > F.col("edge")) | ((F.col("bucket") == F.col("edge")) & (self._at() > F.col("cut")))
+        return ranked.join(self.over, self._of("c_source")).where(behind & (F.col("size") <= F.col("gap")))
+
+    @staticmethod
+    def _at() -> Column:
+        return F.struct("rank", "doc_id", "size", "row")
+
+    def _first_over(self, rows: DataFrame, name: str, when: Column, reach: float = 1.0) -> DataFrame:
+        """(source, bucket, at, size, so_far, limit) of each source's first row, in order of rank, for which ``when`` holds;
+        so_far is the sum of sizes before it. As that sum is at most ``reach`` limits there, and with the row's size above
+        the limit, only buckets in which it comes so near are looked at row by row."""
         before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-        filled = ranked.where("bucket IS NOT NULL").groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+        filled = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.max("size").alias("largest"), F.first("limit").alias("limit"))
         filled = filled.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-        edge = filled.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("words") >= F.col("rest")))
-        self.edge = stash.put("edges", edge.select(F.col("source").alias("e_source"), F.col("bucket").alias("edge"), F.col("before").alias("edge_before")))
-        at_edge = ranked.join(self.edge, self._of("e_source") & (F.col("bucket") == F.col("edge")))
-        upto = W.partitionBy("e_source").orderBy("rank", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, -1)
-        last = at_edge.withColumn("so_far", F.col("edge_before") + F.coalesce(F.sum("size").over(upto), F.lit(0)))
-        # The document that crosses the line is taken when that brings the total nearer.
-        inside = last.where(F.col("so_far") + F.col("size") / 2.0 <= F.col("rest"))
-        self.cut = stash.put("cuts", inside.groupBy(F.col("e_source").alias("c_source")).agg(F.max(F.struct("rank", "doc_id", "size", "row")).alias("cut")))
+        near = filled.where((F.col("before") <= F.lit(reach) * F.col("limit")) & (F.col("before") + F.col("words") + F.col("largest") > F.col("limit")))
+        edge = self.stash.put(name, near.select(F.col("source").alias("e_source"), F.col("bucket").alias("e_bucket"), "before"))
+        inside = rows.join(edge, self._of("e_source") & (F.col("bucket") == F.col("e_bucket")))
+        upto = W.partitionBy("e_source", "bucket").orderBy("rank", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, -1)
+        placed = inside.withColumn("so_far", F.col("before") + F.coalesce(F.sum("size").over(upto), F.lit(0)))
+        first = placed.where(when).groupBy(F.col("e_source").alias("source")).agg(F.min(F.struct("bucket", self._at().alias("at"), "so_far", "limit", "size")).alias("f"))
+        return first.select("source", "f.*")
 
     @staticmethod
     def _of(other: str) -> Column:
@@ -155,9 +183,12 @@ class _Cuts:
 
     def taken(self, rows: DataFrame) -> DataFrame:
         """rows with ``copies``: how often the mix takes each."""
-        wide = self.ranked(rows).join(self.edge, self._of("e_source"), "left").join(self.cut, self._of("c_source"), "left")
-        upto = F.col("cut").isNotNull() & (F.struct("rank", "doc_id", "size", "row") <= F.col("cut"))
-        sampled = (F.col("rest") > 0) & F.col("bucket").isNotNull() & ((F.col("bucket") < F.col("edge")) | F.col("edge").isNull() | ((F.col("bucket") == F.col("edge")) & upto))
+        wide = self.ranked(rows).join(self.cut, self._of("c_source"), "left")
+        # Places are told apart by bucket first: a rank's bucket rises with it.
+        place, cut, stop = (F.struct(F.col(b), a) for b, a in (("bucket", self._at()), ("edge", F.col("cut")), ("stop_edge", F.col("stop"))))
+        behind = (place > cut) & (F.col("size") <= F.col("gap")) & (F.col("stop").isNull() | (place < stop))
+        here = F.col("cut").isNull() | (place < cut) | F.when(F.col("fill"), behind).otherwise((place == cut) & F.col("itself"))
+        sampled = (F.col("rest") > 0) & F.col("bucket").isNotNull() & here
         return wide.withColumn("copies", F.col("whole") + F.when(F.coalesce(sampled, F.lit(False)), F.lit(1)).otherwise(F.lit(0)))
 
 

@@ -30,8 +30,14 @@ drawn AS (SELECT *, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' ||
 included AS (SELECT s.*, source_size, target, whole, target - whole * source_size AS rest, CASE WHEN size > 0 THEN least(1.0::DOUBLE, factor * floor(sqrt(size::DOUBLE) * 1000)::BIGINT) END AS inclusion
   FROM drawn s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source LEFT JOIN factors f ON s.source IS NOT DISTINCT FROM f.source),
 ranked AS (SELECT *, CASE WHEN inclusion >= 1 THEN 0.0::DOUBLE WHEN inclusion > 0 THEN u / (1.0::DOUBLE - u) / (inclusion / (1.0::DOUBLE - inclusion)) END AS rank FROM included),
-placed AS (SELECT *, coalesce(sum(CASE WHEN rank IS NOT NULL THEN size END) OVER (PARTITION BY source ORDER BY rank IS NULL, rank, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so_far FROM ranked)
-SELECT doc_id, size, source_size, target, ((whole + CASE WHEN rest > 0 AND rank IS NOT NULL AND so_far + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM placed"""
+placed AS (SELECT *, coalesce(sum(CASE WHEN rank IS NOT NULL THEN size END) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS so_far FROM ranked WINDOW o AS (PARTITION BY source ORDER BY rank IS NULL, rank, doc_id NULLS FIRST, size)),
+fitted AS (SELECT *, rank IS NOT NULL AND rest > 0 AS sampled, so_far <= rest AND so_far + size > rest AS over_, so_far + size <= rest AS fits FROM placed),
+gaps AS (SELECT source, any_value(rest - so_far) AS gap, any_value(size) AS over_size FROM fitted WHERE sampled AND over_ GROUP BY source),
+later AS (SELECT f.*, gap, over_size, sampled AND NOT fits AND NOT over_ AND size <= gap AS small FROM fitted f LEFT JOIN gaps g ON f.source IS NOT DISTINCT FROM g.source),
+refilled AS (SELECT *, coalesce(sum(CASE WHEN small THEN size END) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS again FROM later WINDOW o AS (PARTITION BY source ORDER BY rank IS NULL, rank, doc_id NULLS FIRST, size)),
+refits AS (SELECT *, coalesce(small AND again + size / 2.0::DOUBLE <= gap, false) AS refit FROM refilled),
+nearer AS (SELECT *, abs(gap - coalesce(sum(CASE WHEN refit THEN size END) OVER (PARTITION BY source), 0)) < CASE WHEN over_size / 2.0::DOUBLE <= gap THEN over_size - gap ELSE gap END AS fill FROM refits)
+SELECT doc_id, size, source_size, target, ((whole + CASE WHEN sampled AND (fits OR CASE WHEN fill THEN refit ELSE over_ AND size / 2.0::DOUBLE <= gap END) THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM nearer"""
 
 
 def rules_sql() -> str:
