@@ -29,4 +29,4 @@ def number(df: DataFrame, *order: str | Column, name: str = "ord", start: int =
     offsets = spark.createDataFrame([(part, start + end - n) for (part, n), end in zip(sizes, ends)], "_part long, _before long")
     # A row a task of the sort: the number of shuffle partitions bounds it.
     placed = rows.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << _BITS) - 1)))
-    return placed.select(*df.columns, name) if name not in df.columns else placed.select(*df.columns)
+    return placed.select(*[F.col("`" + c.replace("`", "``") + "`") for c in dict.fromkeys([*df.columns, name])])

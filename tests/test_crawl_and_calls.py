@@ -160,6 +160,8 @@ def test_numbers_follow_the_order(spark):
     want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
     assert [(r["a"], r["b"]) for r in sorted(got, key=lambda r: r["ord"])] == want and sorted(r["ord"] for r in got) == list(range(1, len(rows) + 1))
     assert number(df.limit(0), "a", name="n").collect() == []
+    dotted = number(df.limit(3).withColumnRenamed("b", "b.c"), "a", "`b.c`", name="a")
+    assert dotted.columns == ["a", "b.c"] and sorted(r["a"] for r in dotted.collect()) == [1, 2, 3]
     plan = number(df, "a", "b")._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "Window" not in plan
 
