@@ -177,3 +177,26 @@ def test_quality_on_the_given_tables(spark):
     good, bad = ([r["score"] for r in judged if r["quality"] == q] for q in (1, 0))
     assert np.mean([g > b for g in good for b in bad]) > 0.95
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in said)
+
+
+def test_pairs_at_the_threshold_and_a_crowd_below_it(spark):
+    draw = random.Random(11)
+    rows, want = [], {}
+    for pair in range(150):
+        base = [f"p{pair}w{k}" for k in range(181)]
+        # Ten words apart from each other change 20 of 180 word pairs: 160 of 200 are shared. Nine leave 162 of 198.
+        for many, first in ((10, 10_000), (9, 20_000)):
+            other = list(base)
+            for at in draw.sample(range(1, 179, 2), many):
+                other[at] = f"q{pair}x{at}n{many}"
+            rows.append((first + pair, " ".join(other), None, None, None))
+            want[first + pair] = pair
+        rows.append((pair, " ".join(base), None, None, None))
+        want[pair] = pair
+    # Many different texts with a common part: alike, but no two of them enough.
+    shared = [f"c{k}" for k in range(100)]
+    for n in range(300):
+        rows.append((50_000 + n, " ".join(shared + [f"own{n}w{k}" for k in range(28)]), None, None, None))
+        want[50_000 + n] = 50_000 + n
+    got = op07_near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
