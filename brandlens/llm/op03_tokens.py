@@ -358,7 +358,8 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, key: str =
     """doc_id, n_bytes, n_tokens, over_limit for every row of docs.
 
     ``vocabulary`` is a tokenizer file (JSON, byte-level BPE, no normalizer), shipped to the executors. Null text
-    counts as empty: 0 bytes, 0 tokens. Long texts are handled in chunks like all others; equal rows get equal
+    counts as empty: 0 bytes, 0 tokens. Long texts are handled in chunks like all others; a single piece of the splitter
+    (one run of letters, say) above SEGMENT bytes is held whole, some tens of bytes of memory a byte; equal rows get equal
     rows; an empty table gives an empty result; other columns are not looked at.
     """
     ship(docs.sparkSession)

@@ -184,7 +184,8 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: flo
 
     Patterns are counted over all documents; the driver gets one row a pattern. The sample for the scorer takes the
     rows with the least hashes of id and text of each pattern, SAMPLE_A_PATTERN of each and whole texts of up to
-    MOST_CHARS; repeated rows count once.
+    MOST_CHARS; repeated rows count once. A pattern all of whose texts are longer trains nothing; its texts are still
+    counted, judged and scored, whole. Rows whose hashes tie are taken together up to the next bound.
     ``kept``: the mean of posterior and score reaches ``keep``. A null or wordless text has no votes, score 0 and is
     not kept; equal texts get equal results; an empty table gives an empty result; other columns are not looked at.
     """
