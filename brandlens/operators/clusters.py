@@ -94,25 +94,43 @@ def themes(clustered: DataFrame) -> DataFrame:
     return clustered.where("theme is not null").groupBy("theme").agg(F.sum("score").alias("total_score"), F.count("*").alias("n_terms")).orderBy(F.desc("total_score"), "theme")
 
 
+def _listed(clustered: DataFrame) -> DataFrame:
+    """One row: ``themes``, an array of (theme, terms), for rows that look for them in place. Terms are top lists."""
+    per = clustered.where("theme is not null").groupBy("theme").agg(F.collect_set("term").alias("terms"))
+    return F.broadcast(per.agg(F.collect_list(F.struct("theme", "terms")).alias("themes")))
+
+
 def theme_questions(clustered: DataFrame, questions: DataFrame, id: str = "id", text: str = "text") -> DataFrame:
     """(theme, id) where any token of the question is a term of the theme."""
-    tokens = questions.select(id, F.explode(F.array_distinct(T.tokenize(F.col(text)))).alias("term"))
-    return tokens.join(clustered.where("theme is not null").select("theme", "term"), "term").select("theme", id).distinct()
+    tokens = questions.select(id, T.tokenize(F.col(text)).alias("_tokens")).crossJoin(_listed(clustered))
+    named = F.filter("themes", lambda t: F.arrays_overlap("_tokens", t["terms"]))
+    return tokens.select(F.explode(F.transform(named, lambda t: t["theme"])).alias("theme"), id).distinct()
+
+
+#: Parts of a theme's runs that are counted apart before they are put together.
+PARTS = 64
 
 
 def theme_answers(clustered: DataFrame, runs: DataFrame, run: str = "run_id", text: str = "text", samples: int = 3) -> DataFrame:
-    """(theme, runs_scanned, runs_mentioning, contexts): contexts of the first matching runs, in order of run."""
+    """(theme, runs_scanned, runs_mentioning, contexts): contexts of the first matching runs, in order of run.
+
+    Every text looks for the terms in place: it is neither copied for each of its tokens nor leaves its task.
+    """
     good = runs.where(F.col(text).isNotNull())
-    tokens = good.select(run, text, F.explode(F.array_distinct(T.tokenize(F.col(text)))).alias("term"))
-    hits = tokens.join(clustered.where("theme is not null").select("theme", "term"), "term")
-    index = F.instr(F.lower(text), F.col("term"))
-    best = hits.groupBy("theme", run).agg(F.min(F.struct(index.alias("ix"), "term")).alias("m"), F.first(text).alias(text))
+    listed = _listed(clustered)
+    tokens = good.select(run, text, T.tokenize(F.col(text)).alias("_tokens")).crossJoin(listed)
+    hits = tokens.select(run, text, F.explode(F.transform("themes", lambda t: F.struct(t["theme"].alias("theme"), F.array_intersect(t["terms"], "_tokens").alias("terms")))).alias("t")).where(F.size("t.terms") > 0)
+    first = F.array_min(F.transform("t.terms", lambda x: F.struct(F.instr(F.lower(text), x).alias("ix"), x.alias("term"))))
+    spots = hits.select(F.col("t.theme").alias("theme"), run, text, first.alias("m"))
     window = T.collapse(T.context_window(F.col(text), F.col("m.ix"), F.length("m.term")))
-    ranked = best.select("theme", run, window.alias("context"), F.row_number().over(W.partitionBy("theme").orderBy(run)).alias("k"))
-    stats = ranked.groupBy("theme").agg(
-        F.count("*").alias("runs_mentioning"), F.transform(F.sort_array(F.collect_list(F.when(F.col("k") <= samples, F.struct("k", "context")))), lambda c: c["context"]).alias("contexts")
-    )
-    names = clustered.where("theme is not null").select("theme").distinct()
+    best = spots.select("theme", run, "m", window.alias("context")).groupBy("theme", run).agg(F.min(F.struct("m", "context")).alias("b"))
+    best = best.select("theme", run, F.col("b.context").alias("context"), F.pmod(F.xxhash64(run), F.lit(PARTS)).alias("part"))
+    ranked = best.withColumn("k", F.row_number().over(W.partitionBy("theme", "part").orderBy(run)))
+    shown = F.when(F.col("k") <= samples, F.struct(F.col(run).alias("run"), "context"))
+    parts = ranked.groupBy("theme", "part").agg(F.count("*").alias("n"), F.collect_list(shown).alias("firsts"))
+    firsts = F.slice(F.sort_array(F.flatten(F.collect_list("firsts"))), 1, samples)
+    stats = parts.groupBy("theme").agg(F.sum("n").alias("runs_mentioning"), F.transform(firsts, lambda c: c["context"]).alias("contexts"))
+    names = listed.select(F.explode("themes.theme").alias("theme"))
     n = good.agg(F.count("*").alias("runs_scanned"))
     return names.join(stats, "theme", "left").join(F.broadcast(n)).select("theme", "runs_scanned", F.coalesce("runs_mentioning", F.lit(0)).alias("runs_mentioning"), "contexts")
 

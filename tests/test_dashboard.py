@@ -89,3 +89,15 @@ def test_table_function_in_sql(spark):
     want = metrics.extract_mentions(runs, ["Alpha", "Beta", "Alpha", ""])
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect())) and got.columns == want.columns
     assert got.where(F.col("role") == "discarded").count() > 0
+
+
+def test_theme_answers_do_not_copy_texts_or_ship_the_runs(spark):
+    found = spark.createDataFrame([("a", "alpha", 3.0), ("a", "beta", 2.0), ("b", "gamma", 1.0), (None, "delta", 1.0)], "theme string, term string, score double")
+    texts = [("r1", "Here beta, then alpha"), ("r2", "gamma Alpha"), ("r3", None), ("r4", "none of them"), ("r5", "x alpha"), ("r6", "y alpha")]
+    out = clusters.theme_answers(found, spark.createDataFrame(texts, "run_id string, text string"))
+    assert {r["theme"]: tuple(r)[1:] for r in out.collect()} == {"a": (5, 4, ["Here beta, then alpha", "gamma Alpha", "x alpha"]), "b": (5, 1, ["gamma Alpha"])}
+    asked = clusters.theme_questions(found, spark.createDataFrame(texts, "id string, text string"))
+    assert sorted(map(tuple, asked.collect())) == [("a", "r1"), ("a", "r2"), ("a", "r5"), ("a", "r6"), ("b", "r2")]
+    # The runs are a small file here; what is broadcast must be the list of terms all the same.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(array_distinct(" not in plan and "Join Inner, rightHint=(strategy=broadcast)" in plan
