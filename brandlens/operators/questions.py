@@ -214,23 +214,25 @@ def inferential_questions(claims: DataFrame, competitors: Sequence[str]) -> Data
 def scan_claims(texts: DataFrame, exclude: Sequence[str] = (), least: int = 3) -> DataFrame:
     """(ord, problem, audience, evidence) from (ord, url, text), in order: what a text says it helps to do.
 
-    A claim runs from a verb of the lists to the end of its sentence; ``help`` and what it addresses are dropped,
-    other verbs stay in their base form. Fragments of fewer than ``least`` words, or that name an excluded term, go.
+    A claim runs from a verb of the lists to the end of its sentence, and another verb within it begins no claim of its
+    own; ``help`` and what it addresses are dropped, other verbs stay in their base form. Fragments of fewer than
+    ``least`` words, or that name an excluded term, go.
     """
     verbs = "|".join([*DROPPED_VERBS, *KEPT_VERBS])
     lines = texts.select("ord", "url", "text", F.posexplode(T.split_sentences(F.col("text"))).alias("at", "line"))
-    found = lines.withColumn("verb", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(rf"\b({verbs})\b"), F.lit(1)))))
-    own = F.expr("regexp_extract(line, concat('(?i)\\\\b', verb, '\\\\b\\\\s+((?:" + "|".join(OBJECTS) + ")\\\\b\\\\s+)?([^.!?]+)'), 2)")
+    found = lines.select("*", F.posexplode(F.regexp_extract_all("line", F.lit(rf"(?i)\b(?:{verbs})\b\s+[^.!?]+"), F.lit(0))).alias("nth", "said"))
+    found = found.withColumn("verb", F.lower(F.regexp_extract("said", rf"(?i)^({verbs})\b", 1)))
+    own = F.regexp_extract("said", r"(?i)^\w+\s+((?:" + "|".join(OBJECTS) + r")\b\s+)?([^.!?]+)", 2)
     base = F.create_map(*[F.lit(x) for kv in KEPT_VERBS.items() for x in kv])[F.col("verb")]
     problem = F.trim(F.when(base.isNull(), own).otherwise(F.concat_ws(" ", base, own)))
-    rows = found.select("ord", "at", "url", "text", problem.alias("problem"), F.col("line").alias("snippet"))
+    rows = found.select("ord", "at", "nth", "url", "text", problem.alias("problem"), F.col("line").alias("snippet"))
     rows = rows.where((F.size(F.split("problem", r"\s+")) >= least) & ~T.contains_excluded(F.col("problem"), exclude))
     low = F.lower("text")
     heard = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(a)), F.lit(a)) for a in (*USER_TYPES, *ORG_TYPES)]))
     grouped = rows.groupBy(F.lower("problem").alias("key")).agg(
-        F.min(F.struct("ord", "at", "problem", heard.alias("audience"))).alias("first"), F.array_sort(F.collect_set(F.struct("url", "snippet"))).alias("evidence")
+        F.min(F.struct("ord", "at", "nth", "problem", heard.alias("audience"))).alias("first"), F.array_sort(F.collect_set(F.struct("url", "snippet"))).alias("evidence")
     )
-    return number(grouped, "first.ord", "first.at", "key").select("ord", "first.problem", "first.audience", "evidence").orderBy("ord")
+    return number(grouped, "first.ord", "first.at", "first.nth", "key").select("ord", "first.problem", "first.audience", "evidence").orderBy("ord")
 
 
 def question_prompts(hook_questions: DataFrame | None, inferential: DataFrame | None, limit: int | None = None) -> DataFrame:

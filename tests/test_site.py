@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from brandlens.plans import catalog
 from brandlens.functions import text as T
 from brandlens.functions import urls as U
 from brandlens.functions.html import parse_page
@@ -171,3 +172,9 @@ def test_lake_documents(spark, tmp_path):
     assert [(r["run_id"], r["text"]) for r in runs.collect()] == [("a", "said"), ("b", None)]
     prompts = spark.createDataFrame([("q", "what", "intent")], "id string, text string, intent string")
     assert clients.replay(runs, prompts).where("intent = 'intent'").count() == 2
+
+
+def test_a_verb_within_a_claim_begins_no_other(spark):
+    text = "It reduces erin and restores order for product teams. It helps you Remove all old noise, v2.Improves speed for everyone here."
+    found = questions.scan_claims(spark.createDataFrame([(1, "u", text)], "ord int, url string, text string")).collect()
+    assert [r["problem"] for r in found] == ["reduce erin and restores order for product teams", "Remove all old noise, v2", "improve speed for everyone here"]
