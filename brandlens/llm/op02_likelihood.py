@@ -7,7 +7,7 @@ vocabulary's own and are re-estimated by expectation over all segmentations of a
 occur; the vocabulary's scores stay in them as a prior. No score is given to whole words as such.
 
 Texts fall into a few classes (languages, styles), each with scores of its own. A mixture over how words begin and end, fitted
-on a bounded sample of training texts, picks the class of a text. A text's score is the log probability of its class
+on all training texts from where a bounded sample begins, picks the class of a text. A text's score is the log probability of its class
 and of the text in it: a sum over all segmentations of each word, by forward recursion in log space.
 """
 
@@ -37,7 +37,9 @@ PRIOR = 300.0
 CLASSES = 16
 #: Starts of the mixture; the likeliest end counts.
 STARTS = 6
-#: The classes are fitted on at most so many training texts of at most so many characters, over so many buckets of words.
+#: Rounds over all training texts, whole, that follow.
+CLASS_ROUNDS = 2
+#: Where those rounds begin is fitted on at most so many training texts of at most so many characters, over so many buckets of words.
 SAMPLE = 4_000
 MOST_CHARS = 20_000
 BUCKETS = 4096
@@ -178,6 +180,57 @@ def sample_classes(training: DataFrame, size: int = SAMPLE, most_chars: int = MO
     return fit_classes(counts)
 
 
+def _soft(classes: Classes):
+    k = len(classes.prior)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, FEATURES + 1))
+        for batch in batches:
+            column = batch.column(0)
+
+            def parts(column=column):
+                for low, high, buf, offsets in textnum.segments(column, STEP):
+                    buf = textnum.LOWER[buf]
+                    starts, ends, rows = textnum.words(buf, offsets)
+                    yield low, rows, features(buf, starts, ends) if len(rows) else ()
+
+            # A batch of long texts is read twice rather than held.
+            held = list(parts()) if column.nbytes <= GROUP_BYTES else None
+            fit = np.tile(classes.prior, (len(column), 1))
+            for low, rows, begin in held if held is not None else parts():
+                if len(rows):
+                    at = np.flatnonzero(np.diff(rows, prepend=-1))
+                    for f in begin:
+                        fit[low + rows[at]] += np.add.reduceat(classes.logs[f], at, axis=0)
+            own = np.exp(fit - fit.max(axis=1, keepdims=True))
+            own /= own.sum(axis=1, keepdims=True)
+            total[:, FEATURES] += own.sum(axis=0)
+            for low, rows, begin in held if held is not None else parts():
+                for c in np.flatnonzero((own > 1e-9).any(axis=0)):
+                    weight = own[:, c][low + rows] if len(rows) else np.zeros(0)
+                    some = np.flatnonzero(weight > 1e-9)
+                    for f in begin if len(some) else ():
+                        total[c, :FEATURES] += np.bincount(f[some], weight[some], minlength=FEATURES)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], names=["at", "n"])
+
+    return run
+
+
+def refine_classes(training: DataFrame, classes: Classes, rounds: int = CLASS_ROUNDS) -> Classes:
+    """EM over all training texts, whole: every odds and share comes from all of them. A number a class and feature
+    returns to the driver, whatever the corpus."""
+    k = len(classes.prior)
+    for _ in range(rounds):
+        found = training.select("text").mapInArrow(_soft(classes), "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        total = np.zeros(k * (FEATURES + 1))
+        total[found.column("at").to_numpy()] = found.column("n").to_numpy()
+        total = total.reshape(k, -1)
+        odds, share = total[:, :FEATURES] + 0.05, total[:, FEATURES] + 1.0
+        classes = Classes(np.log(odds / odds.sum(axis=1, keepdims=True)).T.astype(np.float32), np.log(share / share.sum()))
+    return classes
+
+
 def _tag(classes: Classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,7 +398,8 @@ def score(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "te
     spark = docs.sparkSession
     stash = Stash(spark, "likelihood")
     slim = docs.select(F.col(f"`{key}`").alias("doc_id"), held_out(key).alias("held_out"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
-    classes = sample_classes(slim.where(~F.col("held_out")))
+    training = slim.where(~F.col("held_out"))
+    classes = refine_classes(training, sample_classes(training))
     kind = slim.schema["doc_id"].dataType.simpleString()
     tagged = slim.mapInArrow(_tag(classes), f"doc_id {kind}, held_out boolean, text string, kind int")
     # Written once, so that a row's group is the same whenever it is read.

@@ -200,3 +200,15 @@ def test_pairs_at_the_threshold_and_a_crowd_below_it(spark):
         want[50_000 + n] = 50_000 + n
     got = op07_near_dedup.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(4)).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
+def test_classes_are_fitted_on_all_training_texts(spark):
+    texts = ["abra abri"] * 30 + ["zorn zung"] * 10 + ["zorn " * 9000] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("text", F.coalesce("text", F.lit("")))
+    seeds = op02_likelihood.fit_classes(np.eye(2, op02_likelihood.FEATURES, dtype=np.float32))
+    begin = [op02_likelihood.features(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0][0] for w in (b"abra", b"zorn")]
+    seeds.logs[begin[0]], seeds.logs[begin[1]] = (0, -9), (-9, 0)
+    got = op02_likelihood.refine_classes(docs, seeds)
+    # The long text is above the sample's bound of characters; all of it counts.
+    assert got.logs[begin[1], 1] > got.logs[begin[0], 1] + 8 and got.logs[begin[0], 0] > got.logs[begin[1], 0] + 5
+    assert np.isclose(np.exp(got.prior).sum(), 1) and np.isclose(np.exp(got.prior[0]) + 0, (30 + 1 + 2 * np.exp(got.prior[0])) / 45, atol=0.03)
