@@ -5,7 +5,7 @@ Word boundaries are ASCII (``\\w`` is [A-Za-z0-9_]) and white space is Unicode,
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -48,10 +48,27 @@ RADIUS = 60
 SNIPPET = 240
 
 
+#: A token of three letters or more.
+LONG_TOKEN = TOKEN[:-1] + "{3,}"
+
+
 def tokenize(text: Column) -> Column:
     """Lower-case letter runs longer than two that are no stop words."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
-    return F.filter(found, lambda t: (F.length(t) > 2) & ~t.isin(sorted(set(STOPWORDS))))
+    found = F.regexp_extract_all(F.lower(text), F.lit(LONG_TOKEN), F.lit(0))
+    return F.filter(found, lambda t: ~t.isin(sorted({w for w in STOPWORDS if len(w) > 2})))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is read there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def counted(items: Column) -> Column:
+    """The distinct items of an array, in order, as (term, tf): sorted once, then cut where an item differs from the one
+    before."""
+    at = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    pair = lambda s, p: F.transform(p, lambda x, j: F.struct(F.get(s, x).alias("term"), (F.coalesce(F.get(p, j + 1), F.size(s)) - x).cast("long").alias("tf")))
+    return let(F.sort_array(items), lambda s: F.when(F.size(s) > 0, let(at(s), lambda p: pair(s, p))).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>")))
 
 
 def word_count(text: Column) -> Column:

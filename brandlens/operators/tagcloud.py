@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.scratch import new_folder
 
 SITE_TOP, PAGE_TOP, PHRASE_TERMS, PHRASES, DENSITY_TOP = 50, 10, 30, 5, 10
 #: Parts of a site that are ranked apart before the best of them are.
 PARTS = 64
 
 
+def _by_page(pages: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """The rows that are all of their page, and the rows of pages that have several, if there are any."""
+    several = pages.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    if several.isEmpty():
+        return pages, None
+    folder = new_folder(pages.sparkSession, "several")
+    several.write.parquet(folder)
+    listed = pages.sparkSession.read.schema(several.schema).parquet(folder).alias("r")
+    same = reduce(and_, [F.col(f"p.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
+    return pages.alias("p").join(listed, same, "left_anti"), pages.alias("p").join(listed, same, "left_semi")
+
+
 def term_counts(pages: DataFrame, site: str = "site", page: str = "page", text: str = "text") -> DataFrame:
-    """(site, page, term, tf)."""
-    tokens = pages.select(site, page, F.explode(T.tokenize(F.col(text))).alias("term"))
-    return tokens.groupBy(site, page, "term").agg(F.count("*").alias("tf"))
+    """(site, page, term, tf). A page's terms are counted on its row; only pages of several rows are put together."""
+    once, several = _by_page(pages.select(site, page, text), [site, page])
+    spread = lambda df: df.select(site, page, F.inline(T.counted(T.tokenize(F.col(text)))))
+    if several is None:
+        return spread(once)
+    return spread(once).unionByName(spread(several).groupBy(site, page, "term").agg(F.sum("tf").alias("tf")))
 
 
 def _idf(pages: DataFrame, site: str):
@@ -45,12 +64,20 @@ def page_tagcloud(pages: DataFrame, top: int = PAGE_TOP, site: str = "site", pag
 
 
 def keyword_density(pages: DataFrame, top: int = DENSITY_TOP, page: str = "page", text: str = "text") -> DataFrame:
-    """(page, rank, term, count, density): share of a page's tokens."""
-    tokens = pages.select(page, T.tokenize(F.col(text)).alias("all")).select(page, F.size("all").alias("total"), F.explode("all").alias("term"))
-    counts = tokens.groupBy(page, "total", "term").agg(F.count("*").alias("count"))
+    """(page, rank, term, count, density): share of a page's tokens. A page is ranked on its row, and only where it has
+    several rows are they put together."""
+    once, several = _by_page(pages.select(page, text), [page])
+    share = F.round(F.col("count") / F.col("total"), 6).alias("density")
+    item = lambda x: F.struct((-x["tf"]).alias("c"), x["term"].alias("term"))
+    best = T.let(T.tokenize(F.col(text)), lambda t: F.struct(F.size(t).alias("total"), F.slice(F.array_sort(F.transform(T.counted(t), item)), 1, top).alias("best")))
+    rows = once.select(page, best.alias("b")).select(page, "b.total", F.posexplode("b.best").alias("at", "x"))
+    out = rows.select(page, (F.col("at") + 1).cast("long").alias("rank"), "x.term", (-F.col("x.c")).alias("count"), "total").select(page, "rank", "term", "count", share)
+    if several is None:
+        return out
+    counts = several.select(page, F.inline(T.counted(T.tokenize(F.col(text))))).groupBy(page, "term").agg(F.sum("tf").alias("count"))
     rank = F.row_number().over(W.partitionBy(page).orderBy(F.desc("count"), "term"))
-    ranked = counts.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
-    return ranked.select(page, "rank", "term", "count", F.round(F.col("count") / F.col("total"), 6).alias("density"))
+    ranked = counts.withColumn("total", F.sum("count").over(W.partitionBy(page))).withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
+    return out.unionByName(ranked.select(page, "rank", "term", "count", share))
 
 
 def phrase_cloud(pages: DataFrame, terms: DataFrame, most: int = PHRASES, site: str = "site", page: str = "page", text: str = "text") -> DataFrame:

@@ -186,3 +186,25 @@ def test_html_signals_leaves_open_references(spark, tmp_path):
     row = catalog.html_signals(spark, str(tmp_path)).first()
     assert row["title"] == "Auf & ab &&amp" and row["internal_link_count"] == 1
     assert parse_page("https://a.b/", html)["title"] == "Auf & ab &&"
+
+
+def _rows(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def test_terms_are_counted_on_their_pages_row(spark):
+    rows = [("s", 1, "Alpha beta alpha of the beta alpha gamma"), ("s", 2, "beta"), ("t", 1, "beta"), ("s", 3, ""), (None, None, "alpha")]
+    counts = tagcloud.term_counts(spark.createDataFrame(rows, "site string, page long, text string"))
+    # No page has several rows, so nothing is dealt out to count them.
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    once = [("s", 1, "alpha", 3), ("s", 1, "beta", 2), ("s", 1, "gamma", 1), ("s", 2, "beta", 1), ("t", 1, "beta", 1)]
+    assert sorted(tuple(r) for r in counts.where("page IS NOT NULL").collect()) == once and counts.count() == 6
+    again = tagcloud.term_counts(spark.createDataFrame([*rows, ("s", 2, "beta delta"), (None, None, "alpha")], "site string, page long, text string"))
+    assert _rows(again.where("page = 2")) == [("s", 2, "beta", 2), ("s", 2, "delta", 1)] and again.where("page IS NULL").first()["tf"] == 2
+
+
+def test_keyword_density_puts_a_pages_rows_together(spark):
+    pages = spark.createDataFrame([(1, "beta alpha beta"), (1, "alpha alpha gamma"), (2, "one beta delta")], "page long, text string")
+    assert _rows(tagcloud.keyword_density(pages, 2)) == [(1, 1, "alpha", 3, 0.5), (1, 2, "beta", 2, 0.333333), (2, 1, "beta", 1, 0.5), (2, 2, "delta", 1, 0.5)]
+    single = tagcloud.keyword_density(pages.where("page = 2"))
+    assert "Exchange" not in single._jdf.queryExecution().executedPlan().toString()
