@@ -84,14 +84,21 @@ def phrase_cloud(pages: DataFrame, terms: DataFrame, most: int = PHRASES, site:
     """(site, term, pos, page, snippet): the first sentences of a site that hold a term as a word.
 
     A site's terms (a top list) are one array on its pages; each sentence looks for them in place, and only what is
-    found leaves its row, shortened. The first sentences are ranked within parts of the pages, then among those.
+    found leaves its row, shortened. An ASCII term is a word where it is a whole run of ``\\w``, so that a sentence is cut
+    into runs once for all of them; others are looked for one by one. The first sentences are ranked within parts of
+    the pages, then among those.
     """
-    listed = terms.groupBy(site).agg(F.collect_set("term").alias("terms"))
-    lines = pages.join(listed, site).select(site, page, "terms", F.posexplode(T.split_sentences(F.col(text))).alias("sentence", "line"))
-    low = F.lower("line")
-    found = F.filter("terms", lambda t: F.contains(low, t))
-    hits = lines.select(site, page, "sentence", "line", F.explode(found).alias("term")).where(T.has_word(F.col("line"), F.col("term")))
-    hits = hits.select(site, "term", page, "sentence", T.shorten(F.col("line")).alias("snippet"), F.pmod(F.xxhash64(page), F.lit(PARTS)).alias("part"))
+    ascii = F.col("term").rlike("^[a-z]+$")
+    bound = F.concat(F.lit("(?i)" + T.BOUNDARY), T.quote(F.col("term")), F.lit(T.BOUNDARY))
+    listed = terms.groupBy(site).agg(F.collect_set(F.when(ascii, F.col("term"))).alias("plain"), F.collect_set(F.when(~ascii, F.struct("term", bound.alias("bound")))).alias("other"))
+    lines = pages.join(listed, site).select(site, page, "plain", "other", F.posexplode(T.split_sentences(F.col(text))).alias("sentence", "line"))
+    # In lower case two characters turn into ASCII letters, which they are not in a sentence.
+    low = F.lower(F.replace(F.replace("line", F.lit("\u212a"), F.lit(" ")), F.lit("\u0130"), F.lit(" ")))
+    plain = F.array_intersect("plain", F.regexp_extract_all(low, F.lit(r"\w+"), F.lit(0)))
+    rare = T.let(F.lower("line"), lambda x: F.filter("other", lambda t: F.contains(x, t["term"]) & (F.regexp_instr(F.col("line"), t["bound"]) > 0)))
+    found = F.concat(plain, F.when(F.size("other") > 0, F.transform(rare, lambda t: t["term"])).otherwise(F.array().cast("array<string>")))
+    hits = lines.select(site, page, "sentence", T.shorten(F.col("line")).alias("snippet"), F.explode(found).alias("term"))
+    hits = hits.select(site, "term", page, "sentence", "snippet", F.pmod(F.xxhash64(page), F.lit(PARTS)).alias("part"))
     place = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(page, "sentence"))
     first = hits.withColumn("pos", place(site, "term", "part")).where(F.col("pos") <= most)
     return first.withColumn("pos", place(site, "term").cast("long")).where(F.col("pos") <= most).select(site, "term", "pos", page, "snippet")

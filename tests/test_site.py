@@ -208,3 +208,12 @@ def test_keyword_density_puts_a_pages_rows_together(spark):
     assert _rows(tagcloud.keyword_density(pages, 2)) == [(1, 1, "alpha", 3, 0.5), (1, 2, "beta", 2, 0.333333), (2, 1, "beta", 1, 0.5), (2, 2, "delta", 1, 0.5)]
     single = tagcloud.keyword_density(pages.where("page = 2"))
     assert "Exchange" not in single._jdf.queryExecution().executedPlan().toString()
+
+
+def test_phrase_cloud_looks_for_plain_terms_in_one_pass(spark):
+    text = "A mask here. No masked one. MASK_x no. MasK no. The café is. Cafés no! mask-up yes."
+    pages = spark.createDataFrame([("s", 1, text)], "site string, page long, text string")
+    terms = spark.createDataFrame([("s", "mask"), ("s", "cafés"), ("s", "maña")], "site string, term string")
+    found = tagcloud.phrase_cloud(pages, terms)
+    assert _rows(found.select("term", "pos", "snippet")) == [("cafés", 1, "Cafés no!"), ("mask", 1, "A mask here."), ("mask", 2, "mask-up yes.")]
+    assert "rlike(line" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
