@@ -7,12 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dashboard, metrics, site
+from ..operators import dashboard, metrics
 from ..operators.numbering import number
-from ..shipping import ship
 from ..sources.scratch import new_folder
 from . import oracles
-from .catalog import BRANDS, _t
+from .catalog import BRANDS, _findings, _t
 
 
 def _products(spark, sf):
@@ -57,11 +56,8 @@ def dashboard_bars(spark, sf):
 
 def top_priorities(spark, sf):
     """The findings of all pages that a dashboard shows, in order."""
-    ship(spark)
-    pages = site.parsed(_t(spark, sf, "pages"))
-    none = spark.createDataFrame([], "url string")
-    found = site.seo_findings(site.seo_signals(pages), none).unionByName(site.geo_findings(site.geo_signals(pages)))
-    return dashboard.top_priorities(found)
+    return dashboard.top_priorities(_findings(spark, sf))
+
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (product_summary, dashboard_bars, top_priorities)}

@@ -217,3 +217,10 @@ def test_phrase_cloud_looks_for_plain_terms_in_one_pass(spark):
     found = tagcloud.phrase_cloud(pages, terms)
     assert _rows(found.select("term", "pos", "snippet")) == [("cafés", 1, "Cafés no!"), ("mask", 1, "A mask here."), ("mask", 2, "mask-up yes.")]
     assert "rlike(line" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_findings_parse_each_page_once(spark, tmp_path):
+    spark.createDataFrame([(1, "https://a.b/", PAGE), (2, "https://a.b/c", None)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = catalog.findings_priorities(spark, str(tmp_path))
+    # Parsing and matching are done when the order is made.
+    assert found.count() == 11 and "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
