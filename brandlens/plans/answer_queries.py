@@ -14,7 +14,7 @@ from ..operators.numbering import number
 from ..sources.call_log import CallLog
 from ..sources.scratch import new_folder
 from . import oracles
-from .catalog import BRANDS, THEMES, _clustered, _one_site, _order_mentions, _runs, _site_pages, _t
+from .catalog import BRANDS, THEMES, _kept, _one_site, _order_mentions, _runs, _site_pages, _t
 
 #: Names looked for at once.
 NAMES = 300
@@ -106,9 +106,10 @@ def theme_lists(spark, sf):
 def cluster_comparison(spark, sf):
     """Totals of the taxonomy's themes beside those of a model that groups the same terms by their first letter, leaving
     out the vowels."""
-    found, runs = _clustered(spark, sf), _runs(spark, sf)
+    runs = _runs(spark, sf)
+    cloud = _kept(spark, tagcloud.site_tagcloud(_one_site(spark, sf)), "cloud")
+    found = clusters.cluster_terms(cloud, clusters.taxonomy_table(spark, THEMES))
     asked = _t(spark, sf, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
-    cloud = tagcloud.site_tagcloud(_one_site(spark, sf))
     theme = F.struct(F.col("letter").alias("name"), F.array_sort(F.collect_list("term")).alias("terms"))
     grouped = cloud.withColumn("letter", F.substring("term", 1, 1)).where("letter NOT IN ('a', 'e', 'i', 'o', 'u')").groupBy("letter").agg(theme.alias("theme"))
     said = grouped.agg(F.to_json(F.struct(F.array_sort(F.collect_list("theme")).alias("themes"), F.array().cast("array<string>").alias("unclustered"))).alias("json"))
