@@ -142,30 +142,36 @@ class Lattice:
 
     @staticmethod
     def _levels(level: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Edges in order of level, then node; where each level begins."""
-        order = np.lexsort((node, level))
-        bounds = np.append(np.flatnonzero(np.diff(level[order], prepend=-1)), len(order))
-        return order, bounds
+        """Edges in order of level, then node, then as they stand; where each level begins."""
+        n, high = len(node), int(node.max(initial=0)) + 1
+        bits = n.bit_length()
+        if ((int(level.max(initial=0)) + 1) * high) << bits < 1 << 63:
+            # One number an edge: sorting numbers is much faster than finding an order.
+            order = np.sort((level * high + node) << bits | np.arange(n)) & ((1 << bits) - 1)
+        else:
+            order = np.lexsort((node, level))
+        return order, np.append(np.flatnonzero(np.diff(level[order], prepend=-1)), n)
 
     @staticmethod
-    def _sums(values: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log of the sum of exp over each run of equal nodes."""
-        at = np.flatnonzero(np.diff(nodes, prepend=-1))
-        top = np.maximum.reduceat(values, at)
-        base = np.where(np.isfinite(top), top, 0.0)
+    def _walk(out: np.ndarray, known: np.ndarray, now: np.ndarray, weight: np.ndarray, bounds: np.ndarray) -> None:
+        """Level by level, log of the sum of exp over the edges of each node ``now``, which are of one level and stand side by
+        side, of ``known`` nodes' values and the edges' weights."""
+        at = np.flatnonzero(np.diff(now, prepend=-1))
+        count, nodes, runs = np.diff(np.append(at, len(now))), now[at], np.searchsorted(at, bounds)
         with np.errstate(divide="ignore"):
-            return nodes[at], base + np.log(np.add.reduceat(np.exp(values - np.repeat(base, np.diff(np.append(at, len(nodes))))), at))
+            for low, high, first, last in zip(bounds[:-1].tolist(), bounds[1:].tolist(), runs[:-1].tolist(), runs[1:].tolist()):
+                values, begin = out[known[low:high]] + weight[low:high], at[first:last] - low
+                top = np.maximum.reduceat(values, begin)
+                base = np.where(np.isfinite(top), top, 0.0)
+                values -= np.repeat(base, count[first:last])
+                out[nodes[first:last]] = base + np.log(np.add.reduceat(np.exp(values, out=values), begin))
 
     def forward(self, scores: np.ndarray) -> np.ndarray:
         """For each node, log of the weight of all segmentations before it."""
         alpha = np.full(self.nodes, -np.inf)
         alpha[self.heads] = 0.0
         order, bounds = self.forward_order
-        weight = scores[self.piece]
-        for low, high in zip(bounds[:-1], bounds[1:]):
-            e = order[low:high]
-            node, value = self._sums(alpha[self.source[e]] + weight[e], self.target[e])
-            alpha[node] = value
+        self._walk(alpha, self.source[order], self.target[order], scores[self.piece[order]], bounds)
         return alpha
 
     def marginals(self, scores: np.ndarray) -> np.ndarray:
@@ -189,10 +195,7 @@ class Lattice:
         beta[self.tails] = 0.0
         order, bounds = self._levels(*self._backward_keys)
         weight = scores[self.piece]
-        for low, high in zip(bounds[:-1], bounds[1:]):
-            e = order[low:high]
-            node, value = self._sums(beta[self.target[e]] + weight[e], self.source[e])
-            beta[node] = value
+        self._walk(beta, self.target[order], self.source[order], weight[order], bounds)
         k = self.owner[self.first_byte]
         share = np.exp(alpha[self.source] + weight + beta[self.target] - alpha[self.tails][k]) * times[k]
         return np.bincount(self.piece, share, minlength=len(scores))

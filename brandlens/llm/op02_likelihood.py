@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnum
-from .lattice import DoubleArray, blocks, gather, lattice_of, load_vocabulary
+from .lattice import BLOCK, DoubleArray, blocks, gather, lattice_of, load_vocabulary
 from .storage import Stash
 
 #: Rounds of re-estimation over all words that occur OFTEN times and a slice of the others (one in SLICE, by hash, which
@@ -50,6 +50,8 @@ STEP = 2 << 20
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 300_000
 LOG10 = np.log(10.0)
+#: Distinct words whose lattices are walked at once: a batch's own are too few for the steps of a walk to be cheap.
+WALKED = 8_000
 #: What sets a word's hash in one class apart from that in another.
 _KIND = textnum.spread(256, 97).view(np.int64)
 
@@ -272,6 +274,21 @@ def _counted(part: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(hk), word, pa.array(kind), pa.array(n)], names=["hk", "word", "kind", "n"])
 
 
+def _walked(batches: Iterator[pa.RecordBatch], rows: int = WALKED, size: int = BLOCK) -> Iterator[pa.RecordBatch]:
+    """The same rows in order, batches put together to so many rows as long as their words have at most so many bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if held and sum(b.column(0).nbytes for b in [*held, batch]) > size:
+            yield pa.concat_batches(held)
+            held = []
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _lattices(pieces, batch: pa.RecordBatch, n: int):
     """Runs of rows of (word, kind, ...) and the lattices of their words, each behind a marker; pieces are numbered
     by class and by whether they are a word's last."""
@@ -288,7 +305,7 @@ def _expect(shared, scores, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = scores.value.ravel()
         total = np.zeros(len(flat))
-        for batch in batches:
+        for batch in _walked(batches):
             times = batch.column(2).to_numpy().astype(np.float64)
             for low, high, lattice in _lattices(shared.value, batch, n):
                 total += lattice.expected(flat, times[low:high])
@@ -324,7 +341,7 @@ def estimate(counts: DataFrame, ends: np.ndarray, pieces: Pieces, shared) -> np.
 def _value(shared, scores, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat = scores.value.ravel()
-        for batch in batches:
+        for batch in _walked(batches):
             value = np.zeros(batch.num_rows)
             for low, high, lattice in _lattices(shared.value, batch, n):
                 value[low:high] = lattice.marginals(flat)
@@ -335,15 +352,20 @@ def _value(shared, scores, n: int):
 
 def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(group, hk), once for each that a task meets."""
-    seen: dict[int, np.ndarray] = {}
+    seen: dict[int, list[np.ndarray]] = {}
     for batch in batches:
         groups, kinds = batch.column(4).to_numpy(), batch.column(3).to_numpy()
         for low, high, buf, offsets in textnum.segments(batch.column(2), STEP):
             _, _, _, rows, hashes = _words(buf, offsets)
             own, hk = groups[low:high][rows], hashes ^ _KIND[kinds[low:high][rows]]
             for g in np.unique(groups[low:high]):
-                seen[int(g)] = np.union1d(seen.get(int(g), np.zeros(0, np.int64)), hk[own == g])
-    for g, found in seen.items():
+                parts = seen.setdefault(int(g), [])
+                parts.append(np.unique(hk[own == g]))
+                # Merged when what came since is as much as what there was.
+                if sum(len(p) for p in parts[1:]) > len(parts[0]):
+                    parts[:] = [np.unique(np.concatenate(parts))]
+    for g, parts in seen.items():
+        found = np.unique(np.concatenate(parts))
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), g, np.int32)), pa.array(found)], names=["group", "hk"])
 
 

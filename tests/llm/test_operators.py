@@ -86,6 +86,37 @@ def test_marginals_sum_all_segmentations():
     assert np.isclose(found.expected(scores, np.ones(3)) @ [len(p) for p in pieces], sum(map(len, texts_)))
 
 
+def test_words_of_many_batches_are_walked_at_once(monkeypatch):
+    draw = random.Random(3)
+    pieces = op02_likelihood.Pieces(P.path("piece_bpe_32k.model"))
+    words_ = ["".join(draw.choice("abcdeé") for _ in range(draw.randint(1, 30))).encode() for _ in range(600)]
+    rows = pa.RecordBatch.from_arrays([pa.array(words_), pa.array([i % 2 for i in range(600)], pa.int32()), pa.array(range(600)), pa.array(range(600))], names=["word", "kind", "hk", "h"])
+    made = []
+    monkeypatch.setattr(op02_likelihood, "lattice_of", lambda *a: made.append(1) or lattice.lattice_of(*a))
+
+    class Sent:
+        def __init__(self, value):
+            self.value = value
+
+    run = op02_likelihood._value(Sent(pieces.trie), Sent(pieces.scores(np.zeros((2, 2 * pieces.n)))), pieces.n)
+    found = pa.Table.from_batches(run(rows.slice(i, 10) for i in range(0, 600, 10)))
+    assert len(made) == 1
+    alone = pa.Table.from_batches([b for i in range(600) for b in run(iter([rows.slice(i, 1)]))])
+    assert found.equals(alone)
+    large = [b.num_rows for b in op02_likelihood._walked((rows.slice(i, 10) for i in range(0, 600, 10)), 10_000, 2_000)]
+    assert sum(large) == 600 and max(large) < 600
+
+
+def test_levels_by_sorted_numbers():
+    draw = np.random.default_rng(2)
+    level, node = draw.integers(1, 9, 500), draw.integers(0, 40, 500)
+    for far in (0, 1 << 40):
+        order, bounds = lattice.Lattice._levels(level, node + far)
+        assert order.tolist() == np.lexsort((node, level)).tolist()
+        assert bounds.tolist() == [0, *(np.flatnonzero(np.diff(level[order])) + 1).tolist(), 500]
+    assert [x.tolist() for x in lattice.Lattice._levels(level[:0], node[:0])] == [[], [0]]
+
+
 def test_tokens(docs, none):
     path = P.path("byte_bpe_50k.json")
     library = tokenizers.Tokenizer.from_file(path)
