@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .numbering import number
@@ -66,10 +67,17 @@ def with_questions(rows: DataFrame, questions: DataFrame, key: str, page: int =
 
 def co_occurrence_lists(mentions: DataFrame, brands: DataFrame) -> DataFrame:
     """Each brand (brand, ...) with ``others``: (brand, count) of the brands named in the same runs, most runs first, then
-    the one met first. mentions (run_ord, position, brand): the order of runs and of brands in a run."""
-    sets = mentions.groupBy("run_ord").agg(F.array_sort(F.collect_list(F.struct("position", "brand"))).alias("all"))
-    pairs = sets.select("run_ord", F.explode("all").alias("a"), "all").select("run_ord", F.col("a.brand").alias("brand"), F.explode("all").alias("b"))
-    counted = pairs.where("b.brand <> brand").groupBy("brand", F.col("b.brand").alias("other")).agg(F.count("*").alias("count"), F.min(F.struct("run_ord", "b.position")).alias("met"))
+    the one met first. mentions (run_ord, position, brand), one row a run and brand: the order of runs and of brands in a
+    run; those without a run are left out.
+
+    A run's list is a window over its rows, and a pair's first run and place are two numbers: neither rows nor pairs are
+    sorted to be grouped.
+    """
+    every = F.collect_list(F.struct("position", "brand")).over(W.partitionBy("run_ord"))
+    pairs = mentions.where("run_ord IS NOT NULL").select("run_ord", "brand", every.alias("all")).select("run_ord", "brand", F.explode("all").alias("b"))
+    paired = pairs.where("b.brand <> brand").select("run_ord", "brand", F.col("b.brand").alias("other"), F.col("b.position").alias("position"))
+    counted = paired.groupBy("brand", "other").agg(F.count("*").alias("count"), F.min("run_ord").alias("run"), F.min_by("position", "run_ord").alias("position"))
+    counted = counted.select("brand", "other", "count", F.struct("run", "position").alias("met"))
     item = F.struct((-F.col("count")).alias("c"), "met", "other", "count")
     lists = counted.groupBy("brand").agg(F.sort_array(F.collect_list(item)).alias("_all"))
     others = F.transform("_all", lambda x: F.struct(x["other"].alias("brand"), x["count"].alias("count")))

@@ -101,3 +101,32 @@ def test_theme_answers_do_not_copy_texts_or_ship_the_runs(spark):
     # The runs are a small file here; what is broadcast must be the list of terms all the same.
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "explode(array_distinct(" not in plan and "Join Inner, rightHint=(strategy=broadcast)" in plan
+
+
+def test_order_mentions_with_nulls_as_in_sql_and_in_bounded_tasks(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    from brandlens.plans import answer_queries, catalog, oracles
+
+    lines = [(k // 4, k * 7 % 11, None if k % 13 == 5 else k % 3, None if k % 17 == 3 else "ANRZMP"[k % 6]) for k in range(400)]
+    lines += [(None, 1, 1, "N"), (None, 2, 2, "R"), (200, 1, 5, None), (200, 1, 5, "R"), (201, 1, None, "R"), (201, 1, None, "A"), (201, 2, 3, "N")]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"Brand#{k % 7}") for k in range(11)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(102).selectExpr("id AS o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(catalog, "LINES", 40)
+    # Tasks grow in number with the lines, not in size.
+    assert catalog._order_mentions(spark, str(tmp_path)).rdd.getNumPartitions() == len(lines) // 40 + 1
+    base = duckdb.connect()
+    for table in ("lineitem", "part", "orders"):
+        base.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    every = answer_queries.ORACLE | oracles.ORACLE
+    key = lambda row: [str(x) for x in row]
+    for name, query in (("cooccurrence_lists", answer_queries.cooccurrence_lists), ("brand_metrics_orders", catalog.brand_metrics_orders)):
+        got = sorted((tuple(r) for r in query(spark, str(tmp_path)).collect()), key=key)
+        names = ", ".join(query(spark, str(tmp_path)).columns)
+        want = sorted((tuple(r) for r in base.execute(f"SELECT {names} FROM ({every[name]})").fetchall()), key=key)
+        assert len(got) == len(want)
+        for a, b in zip(got, want):
+            assert all(abs(x - y) < 1e-5 if isinstance(x, float) else x == y for x, y in zip(a, b)), (name, a, b)
+    plan = answer_queries.cooccurrence_lists(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
