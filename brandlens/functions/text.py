@@ -63,12 +63,13 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def counted(items: Column) -> Column:
-    """The distinct items of an array, in order, as (term, tf): sorted once, then cut where an item differs from the one
-    before."""
-    at = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-    pair = lambda s, p: F.transform(p, lambda x, j: F.struct(F.get(s, x).alias("term"), (F.coalesce(F.get(p, j + 1), F.size(s)) - x).cast("long").alias("tf")))
-    return let(F.sort_array(items), lambda s: F.when(F.size(s) > 0, let(at(s), lambda p: pair(s, p))).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>")))
+def counted(items: Column, pair: Callable[[Column, Column], Column] = lambda term, tf: F.struct(term.alias("term"), tf.alias("tf"))) -> Column:
+    """The distinct items of an array, in order, as (term, tf) or as what ``pair`` makes of those: sorted once, then cut
+    where an item differs from the one before."""
+    later = lambda s: F.filter(F.sequence(F.lit(1), F.size(s) - 1), lambda i: F.get(s, i) != F.get(s, i - 1))
+    at = lambda s: F.concat(F.array(F.lit(0)), F.when(F.size(s) > 1, later(s)).otherwise(F.array().cast("array<int>")))
+    pairs = lambda s, p: F.transform(p, lambda x, j: pair(F.get(s, x), (F.coalesce(F.get(p, j + 1), F.size(s)) - x).cast("long")))
+    return let(F.sort_array(items), lambda s: F.when(F.size(s) > 0, let(at(s), lambda p: pairs(s, p))).otherwise(F.slice(pairs(s, F.array(F.lit(0))), 1, 0)))
 
 
 def word_count(text: Column) -> Column:

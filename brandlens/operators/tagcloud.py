@@ -68,8 +68,8 @@ def keyword_density(pages: DataFrame, top: int = DENSITY_TOP, page: str = "page"
     several rows are they put together."""
     once, several = _by_page(pages.select(page, text), [page])
     share = F.round(F.col("count") / F.col("total"), 6).alias("density")
-    item = lambda x: F.struct((-x["tf"]).alias("c"), x["term"].alias("term"))
-    best = T.let(T.tokenize(F.col(text)), lambda t: F.struct(F.size(t).alias("total"), F.slice(F.array_sort(F.transform(T.counted(t), item)), 1, top).alias("best")))
+    item = lambda term, tf: F.struct((-tf).alias("c"), term.alias("term"))
+    best = T.let(T.tokenize(F.col(text)), lambda t: F.struct(F.size(t).alias("total"), F.slice(F.sort_array(T.counted(t, item)), 1, top).alias("best")))
     rows = once.select(page, best.alias("b")).select(page, "b.total", F.posexplode("b.best").alias("at", "x"))
     out = rows.select(page, (F.col("at") + 1).cast("long").alias("rank"), "x.term", (-F.col("x.c")).alias("count"), "total").select(page, "rank", "term", "count", share)
     if several is None:

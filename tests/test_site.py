@@ -224,3 +224,11 @@ def test_findings_parse_each_page_once(spark, tmp_path):
     found = catalog.findings_priorities(spark, str(tmp_path))
     # Parsing and matching are done when the order is made.
     assert found.count() == 11 and "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keyword_density_sorts_by_what_terms_are_and_not_by_comparing_calls(spark):
+    pages = spark.createDataFrame([(1, "beta alpha beta gamma alpha beta"), (2, ""), (3, "solo"), (4, "yes"), (5, "same same same")], "page long, text string")
+    found = tagcloud.keyword_density(pages, 2)
+    assert "array_sort(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert _rows(found) == [(1, 1, "beta", 3, 0.5), (1, 2, "alpha", 2, 0.333333), (3, 1, "solo", 1, 1.0), (5, 1, "same", 3, 1.0)]
+    assert [tuple(map(tuple, r["c"])) for r in pages.select(T.counted(T.tokenize("text")).alias("c"), "page").orderBy("page").collect()] == [(("alpha", 2), ("beta", 3), ("gamma", 1)), (), (("solo", 1),), (), (("same", 3),)]
